@@ -37,8 +37,9 @@ def billed_units(duration_ms: Column, round_up: bool = True) -> Column:
     return F.floor(started / 100).cast("bigint")
 
 
-def compute_cost(duration_ms: Column, rate: Column) -> Column:
-    return billed_units(duration_ms) * rate
+def compute_cost(duration_ms: Column, rate: Column, round_up: bool = True) -> Column:
+    """Billed blocks × price as a decimal, so that sums do not depend on row order."""
+    return billed_units(duration_ms, round_up).cast("decimal(20,0)") * rate.cast("decimal(12,9)")
 
 
 def request_cost(writes: Column, lists: Column, reads: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluiceflow.operators.ordered import Ordered
@@ -84,3 +85,14 @@ def quartiles(df: DataFrame, value: Column, by: Sequence[str]) -> DataFrame:
         for q in ("q1", "q2", "q3")
     ]
     return wanted.select(*by, "low", *between, "high")
+
+
+def normal_cdf(df: DataFrame, value: Column, edges: int) -> DataFrame:
+    """(i, edge, cdf): the fitted normal density at equally spaced edges, summed and scaled to 1."""
+    mean, std, low, high = df.agg(F.avg(value), F.stddev_pop(value), F.min(value), F.max(value)).first()
+    edge = F.lit(low) + F.lit((high - low) / (edges - 1)) * F.col("id")
+    density = F.exp(-((edge - F.lit(mean)) ** 2) / F.lit(2 * std * std)) / F.lit(std * math.sqrt(2 * math.pi))
+    points = df.sparkSession.range(edges).select(F.col("id").cast("int").alias("i"), edge.alias("edge"), density.alias("pdf"))
+    so_far = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # `edges` rows
+    whole = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return points.select("i", "edge", (F.sum("pdf").over(so_far) / F.sum("pdf").over(whole)).alias("cdf"))

@@ -72,3 +72,14 @@ def last_of(df: DataFrame, group: str, order: Sequence[str], columns: Sequence[s
     """The greatest row of each group by `order`, without sorting the group."""
     latest = F.max(F.struct(*order, *[c for c in columns if c not in order])).alias("__last")
     return df.groupBy(group).agg(latest).select(group, *[F.col(f"__last.{c}").alias(c) for c in columns])
+
+
+def part_lists(df: DataFrame, group: str, part: str, per_row: int = 1000) -> DataFrame:
+    """(group, page, n, parts): the parts of each group in order, `per_row` to a row.
+
+    A group of any size becomes as many rows as it needs, so none is gathered whole.
+    """
+    placed = Ordered(df.select(group, part), [part], [group]).extend(row_number="__row")
+    paged = placed.withColumn("page", F.floor((F.col("__row") - 1) / per_row).cast("bigint"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("__row", part))), lambda p: p[part].cast("string"))
+    return paged.groupBy(group, "page").agg(F.count(F.lit(1)).alias("n"), F.concat_ws(",", listed).alias("parts"))

@@ -1 +1,127 @@
+"""Queries for sorts, range boundaries, top-k and samples."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sluiceflow.functions import text as fn
+from sluiceflow.operators import reports as rep, sorting, verbs as op
+from sluiceflow.operators.ordered import Ordered
+from sluiceflow.plans.catalog import query
+from sluiceflow.plans.views import READS, reads
+from sluiceflow.plans.verbs import LINE_KEYS, LINE_ORDER
+from sluiceflow.session import load, scratch_path
+
+PIVOTS = """chunk AS (SELECT CAST(l_suppkey % 5 AS BIGINT) AS chunk, l_extendedprice AS v FROM lineitem),
+size AS (SELECT chunk, greatest(1, count(*) // 8) AS step, max(v) AS top FROM chunk GROUP BY 1),
+bounds AS (SELECT chunk, v AS boundary FROM (SELECT chunk, v, row_number() OVER (PARTITION BY chunk ORDER BY v) - 1 AS i FROM (SELECT DISTINCT chunk, v FROM chunk)) JOIN size USING (chunk)
+  WHERE i % step = 0 AND v <> top UNION ALL SELECT chunk, top + 1 FROM size)"""
+
+
+def chunk_pivots(spark, d):
+    chunks = load(spark, d, "lineitem").select((F.col("l_suppkey") % 5).alias("chunk"), F.col("l_extendedprice").alias("v"))
+    return sorting.pivots(chunks, "v", 8, ["chunk"])
+
+
+@query("pivots_exact", f"WITH {PIVOTS} SELECT chunk, round(boundary, 6) AS boundary FROM bounds")
+def pivots_exact(spark, d):
+    return chunk_pivots(spark, d).withColumn("boundary", F.round("boundary", 6))
+
+
+@query("pivot_merge", f"""WITH {PIVOTS}, u AS (SELECT boundary, row_number() OVER (ORDER BY boundary) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT boundary FROM bounds))
+SELECT DISTINCT round(boundary, 6) AS boundary FROM u WHERE i = n - 1 OR i IN (SELECT CAST(round_even(k * (SELECT max(n) FROM u) / 8.0, 0) AS BIGINT) FROM (SELECT unnest(range(8)) AS k))""")
+def pivot_merge(spark, d):
+    return sorting.merge_pivots(chunk_pivots(spark, d), 8).withColumn("boundary", F.round("boundary", 6))
+
+
+@query("pivots_approx")
+def pivots_approx(spark, d):
+    bounds = sorting.approximate_pivots(load(spark, d, "lineitem"), "l_extendedprice", 8)
+    rows = load(spark, d, "lineitem").select(sorting.bin_column(F.col("l_extendedprice"), bounds).alias("bin"))
+    return rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("partition_bounds")
+def partition_bounds(spark, d):
+    return sorting.partition_bounds(load(spark, d, "lineitem"), "l_extendedprice", 8)
+
+
+@query("sort_range", f"""
+SELECT l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, row_number() OVER (ORDER BY {LINE_ORDER}) AS rn FROM lineitem""")
+def sort_range(spark, d):
+    return Ordered(load(spark, d, "lineitem").select(*LINE_KEYS), LINE_KEYS).extend(row_number="rn")
+
+
+@query("interval_sort", """
+SELECT o_orderkey, CAST(floor((rn - 1) * 35 / total) AS BIGINT) AS bin FROM (
+  SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rn, CAST(count(*) OVER () AS DOUBLE) AS total FROM orders)""")
+def interval_sort(spark, d):
+    """Sort by start, cut into 35 even bins, and write each bin compressed."""
+    orders = load(spark, d, "orders").select("o_orderdate", "o_orderkey")
+    total = orders.count()
+    placed = Ordered(orders, ["o_orderdate", "o_orderkey"]).extend(row_number="rn")
+    binned = placed.withColumn("bin", F.floor((F.col("rn") - 1) * 35 / float(total)).cast("bigint"))
+    path = scratch_path(spark, "intervals")
+    binned.write.option("compression", "zstd").partitionBy("bin").parquet(path)
+    return spark.read.schema("o_orderkey bigint, bin bigint").parquet(path)
+
+
+@query("top_n", """
+SELECT l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem
+ORDER BY l_extendedprice DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC LIMIT 1000""")
+def top_n(spark, d):
+    keys = LINE_KEYS[:-1]
+    return op.top(load(spark, d, "lineitem").select(*keys), 1000, *keys)
+
+
+@query("hash_sample", "SELECT doc_id FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 100")
+def hash_sample(spark, d):
+    return rep.hash_sample(load(spark, d, "documents").select("doc_id"), "doc_id", 100)
+
+
+BASE5 = " + ".join(f"(strpos('ACGNT', substr(seq, {i + 1}, 1)) - 1) * {5 ** (7 - i)}" for i in range(8))
+SIGNED = f"{READS}, signed AS (SELECT doc_id, CAST({BASE5} AS BIGINT) AS signature FROM reads)"
+
+
+@query("signature", f"WITH {SIGNED} SELECT doc_id, signature FROM signed")
+def signature(spark, d):
+    return reads(spark, d).select("doc_id", fn.signature(F.col("seq")).alias("signature"))
+
+
+@query("minimizer", f"""WITH {READS}
+SELECT doc_id, list_min(list_transform(range(1, length(seq) - 6), lambda i: substr(seq, CAST(i AS BIGINT), 8))) AS minimizer FROM reads""")
+def minimizer(spark, d):
+    return reads(spark, d).select("doc_id", fn.minimizer(F.col("seq")).alias("minimizer"))
+
+
+def sorted_reads(spark, d):
+    signed = reads(spark, d).select("doc_id", fn.signature(F.col("seq")).alias("signature"))
+    return Ordered(signed, ["signature", "doc_id"]).extend(row_number="rn")
+
+
+@query("signature_sort", f"WITH {SIGNED} SELECT doc_id, signature, row_number() OVER (ORDER BY signature, doc_id) AS rn FROM signed")
+def signature_sort(spark, d):
+    return sorted_reads(spark, d)
+
+
+@query("pipe_compress", f"""WITH {SIGNED}, placed AS (SELECT signature, row_number() OVER (ORDER BY signature, doc_id) AS rn, count(*) OVER () AS total FROM signed)
+SELECT CAST(floor((rn - 1) * 10 / CAST(total AS DOUBLE)) AS INTEGER) AS bin, count(*) AS n, min(signature) AS low, max(signature) AS high FROM placed GROUP BY 1""")
+def pipe_compress(spark, d):
+    """Sort reads by signature, write them compressed by range, and read the bins back."""
+    placed = sorted_reads(spark, d)
+    total = placed.count()
+    path = scratch_path(spark, "reads")
+    bin_of = F.floor((F.col("rn") - 1) * 10 / float(total)).cast("int")
+    placed.withColumn("bin", bin_of).write.option("compression", "zstd").partitionBy("bin").parquet(path)
+    held = spark.read.schema("doc_id bigint, signature bigint, rn bigint, bin int").parquet(path)
+    return held.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min("signature").alias("low"), F.max("signature").alias("high"))
+
+
+@query("pipe_sort_search", f"""
+SELECT CAST((rn - 1) // 1000 AS BIGINT) AS run, count(*) FILTER (WHERE l_discount <= 0.01) AS hits FROM (
+  SELECT l_discount, row_number() OVER (ORDER BY {LINE_ORDER}) AS rn FROM lineitem) GROUP BY 1""")
+def pipe_sort_search(spark, d):
+    """Sort by price, cut into runs of 1000 rows, and count each run's rows under the threshold."""
+    lines = load(spark, d, "lineitem").select(*LINE_KEYS, "l_discount")
+    runs = op.split_by_count(lines, LINE_KEYS, 1000, "run")
+    return runs.groupBy("run").agg(rep.hits("l_discount").alias("hits"))

@@ -89,17 +89,20 @@ def priced(spark, d):
     return tasklog(spark, d).withColumn("memory", memory).withColumn("rate", costs.memory_rate(F.col("memory")))
 
 
+COST = "CAST({} AS DECIMAL(20,0)) * CAST(rate AS DECIMAL(12,9))"
+COST_SUM = f"CAST(round(sum({COST}), 6) AS DOUBLE)"
 PRICED = f"{TASKLOG}, {PRICES}, priced AS (SELECT * FROM tasklog JOIN stage_memory USING (stage) JOIN price USING (memory))"
 
 
 @query("compute_cost", f"""WITH {PRICED}
-SELECT coalesce(stage, 'total') AS stage, round(sum(((dur_ms + 99) // 100) * rate), 6) AS cost_up, round(sum((dur_ms // 100) * rate), 6) AS cost_down
+SELECT coalesce(stage, 'total') AS stage, {COST_SUM.format('(dur_ms + 99) // 100')} AS cost_up, {COST_SUM.format('dur_ms // 100')} AS cost_down
 FROM priced GROUP BY GROUPING SETS ((stage), ())""")
 def compute_cost(spark, d):
     up = costs.compute_cost(F.col("dur_ms"), F.col("rate"))
-    down = costs.billed_units(F.col("dur_ms"), round_up=False) * F.col("rate")
+    down = costs.compute_cost(F.col("dur_ms"), F.col("rate"), round_up=False)
     return rep.with_totals(
-        priced(spark, d), "stage", F.round(F.sum(up), 6).alias("cost_up"), F.round(F.sum(down), 6).alias("cost_down")
+        priced(spark, d), "stage", F.round(F.sum(up), 6).cast("double").alias("cost_up"),
+        F.round(F.sum(down), 6).cast("double").alias("cost_down"),
     )
 
 
@@ -300,16 +303,12 @@ def count_check(spark, d):
 
 
 @query("group_parts", """
-SELECT host, CAST(len(parts) AS BIGINT) AS n, array_to_string(parts, ',') AS parts FROM (
-  SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, list(page_id ORDER BY page_id) AS parts FROM pages GROUP BY 1)""")
+SELECT host, page, count(*) AS n, string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) AS parts FROM (
+  SELECT host, page_id, CAST((row_number() OVER (PARTITION BY host ORDER BY page_id) - 1) // 1000 AS BIGINT) AS page
+  FROM (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, page_id FROM pages)) GROUP BY 1, 2""")
 def group_parts(spark, d):
-    """Part ids per source as one comma-separated text.
-
-    The list is the result, so it is as long as the source has parts; only ids travel.
-    """
     host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
-    parts = load(spark, d, "pages").groupBy(host.alias("host")).agg(F.sort_array(F.collect_list("page_id")).alias("parts"))
-    return parts.select("host", F.size("parts").cast("bigint").alias("n"), F.concat_ws(",", F.col("parts").cast("array<string>")).alias("parts"))
+    return rep.part_lists(load(spark, d, "pages").select(host.alias("host"), "page_id"), "host", "page_id")
 
 
 @query("last_object", """
