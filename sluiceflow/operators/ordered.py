@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from sluiceflow.session import materialize
 
@@ -90,8 +91,13 @@ class Ordered:
             position = F.col(SPOT) - F.col("__first") + F.col("__n_before") + 1
             added.append(position.cast("bigint").alias(row_number))
         for name in running:
-            earlier = F.coalesce(F.col(f"__sum_{name}"), F.lit(0))
-            added.append((earlier + F.coalesce(F.col(f"__here_{name}"), F.lit(0))).alias(name))
+            here, earlier = F.col(f"__here_{name}"), F.col(f"__sum_{name}")
+            kind = joined.schema[f"__here_{name}"].dataType
+            if isinstance(kind, DecimalType):
+                # One digit less on each side: adding two 38-digit decimals would drop a decimal place.
+                kind = DecimalType(min(kind.precision, 37), kind.scale)
+            zero = F.lit(0).cast(kind)
+            added.append((F.coalesce(earlier.cast(kind), zero) + F.coalesce(here.cast(kind), zero)).alias(name))
         for name in lag:
             edge = F.col(SPOT) == F.col("__first")
             added.append(F.when(edge, F.col(f"__end_{name}")).otherwise(F.col(f"__prev_{name}")).alias(name))

@@ -102,13 +102,13 @@ SPEND = f"""{PRICED}, due AS (SELECT end_us AS t, sum({COST.format('(dur_ms + 99
 spent AS (SELECT t, sum(amount) OVER (ORDER BY t) AS total, (t - (SELECT min(start_us) FROM tasklog)) / 1e6 AS elapsed FROM due)"""
 
 
-@query("cumulative_cost", f"WITH {SPEND} SELECT t, CAST(round(total, 6) AS DOUBLE) AS cost, round(elapsed * 4.256 / 3600, 6) AS machine_cost FROM spent")
+@query("cumulative_cost", f"WITH {SPEND} SELECT t, CAST(total AS DOUBLE) AS cost, round(elapsed * 4.256 / 3600, 6) AS machine_cost FROM spent")
 def cumulative_cost(spark, d):
     log = priced(spark, d)
     begin = tasklog(spark, d).agg(F.min("start_us")).first()[0]
     spent = curves.cumulative(log, "end_us", costs.compute_cost(F.col("dur_ms"), F.col("rate")))
     elapsed = (F.col("t") - F.lit(begin)) / SECOND
-    return spent.select("t", F.round("total", 6).cast("double").alias("cost"), F.round(costs.machine_cost(elapsed), 6).alias("machine_cost"))
+    return spent.select("t", F.col("total").cast("double").alias("cost"), F.round(costs.machine_cost(elapsed), 6).alias("machine_cost"))
 
 
 @query("ecdf", """
@@ -178,7 +178,7 @@ def pipe_cost_report(spark, d):
     n = F.count(F.lit(1))
     table = with_totals(
         log, "stage", n.alias("n"), F.round(costs.request_cost(n, n, n), 6).alias("request_cost"),
-        F.round(F.sum(costs.compute_cost(F.col("dur_ms"), F.col("rate"))), 6).cast("double").alias("compute_cost"),
+        F.sum(costs.compute_cost(F.col("dur_ms"), F.col("rate"))).cast("double").alias("compute_cost"),
         F.round((F.max("end_us") - F.min("start_us")) / SECOND, 6).alias("makespan_s"),
     )
     doubled = log.select(

@@ -317,16 +317,3 @@ def apply_match(spark, d):
     best = op.match_within(scores, ["l_returnflag"], "l_suppkey", "score").drop("score")
     kept = lines.join(op.replicated_if_small(best), ["l_returnflag", "l_suppkey"])
     return kept.groupBy("l_returnflag", "l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
-
-
-@query("explode_lineage", """
-SELECT o_orderkey AS parent, l_linenumber AS child, l_partkey AS part FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber <= 2""")
-def explode_lineage(spark, d):
-    """Payloads nested in a run log, one row per child task.
-
-    Each order stands for a log whose payload list, written as JSON, names its
-    line items; the query reads those logs back.
-    """
-    from sluiceflow.sources.logs import children, nested_logs
-
-    return children(nested_logs(spark, d))

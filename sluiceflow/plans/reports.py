@@ -90,7 +90,7 @@ def priced(spark, d):
 
 
 COST = "CAST({} AS DECIMAL(20,0)) * CAST(rate AS DECIMAL(12,9))"
-COST_SUM = f"CAST(round(sum({COST}), 6) AS DOUBLE)"
+COST_SUM = f"CAST(sum({COST}) AS DOUBLE)"
 PRICED = f"{TASKLOG}, {PRICES}, priced AS (SELECT * FROM tasklog JOIN stage_memory USING (stage) JOIN price USING (memory))"
 
 
@@ -101,8 +101,8 @@ def compute_cost(spark, d):
     up = costs.compute_cost(F.col("dur_ms"), F.col("rate"))
     down = costs.compute_cost(F.col("dur_ms"), F.col("rate"), round_up=False)
     return rep.with_totals(
-        priced(spark, d), "stage", F.round(F.sum(up), 6).cast("double").alias("cost_up"),
-        F.round(F.sum(down), 6).cast("double").alias("cost_down"),
+        priced(spark, d), "stage", F.sum(up).cast("double").alias("cost_up"),
+        F.sum(down).cast("double").alias("cost_down"),
     )
 
 
