@@ -1 +1,153 @@
+"""Whole flows: search, identification, all-pairs scores and training sets."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sluiceflow.flow import Flow
+from sluiceflow.functions import text as fn
+from sluiceflow.operators import grids, polygons as poly, reports as rep, verbs as op
+from sluiceflow.operators.ordered import Ordered
+from sluiceflow.operators.overlap import top_overlaps
+from sluiceflow.plans.catalog import query
+from sluiceflow.plans.verbs import ROUTE_CASE, route_column
+from sluiceflow.session import load, materialize
+
+
+def count_words(batch, params):
+    """Example scorer: words and distinct words of each document."""
+    split = batch["text"].str.split(" ", regex=False)
+    batch["words"] = split.str.len().astype("int64")
+    batch["distinct"] = split.map(lambda words: len(set(words))).astype("int64")
+    return batch[["chunk", "source", "words", "distinct"]]
+
+
+@query("pipe_search", """
+SELECT source, count(*) AS n, CAST(count(DISTINCT chunk) AS BIGINT) AS chunks, round(avg(ratio), 6) AS ratio FROM (
+  SELECT source, CAST(floor((sum(n_chars) OVER (ORDER BY doc_id) - n_chars) / 100000.0) + 1 AS BIGINT) AS chunk,
+         CAST(len(list_distinct(string_split(text, ' '))) AS DOUBLE) / len(string_split(text, ' ')) AS ratio FROM documents)
+WHERE ratio >= 0.5 GROUP BY 1""")
+def pipe_search(spark, d):
+    """Split into chunks, score each document, keep the good ones, and report per source."""
+    documents = load(spark, d, "documents").select("doc_id", "text", "source", "n_chars")
+    found = (
+        Flow(documents)
+        .split(["doc_id"], 100_000, "n_chars")
+        .run(count_words, "chunk bigint, source string, words bigint, distinct bigint")
+        .result()
+    )
+    ratio = F.col("distinct") / F.col("words")
+    per_chunk = found.where(ratio >= 0.5).groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("n"), F.sum(ratio).alias("ratio"))
+    return per_chunk.groupBy("source").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("chunks"), F.round(F.sum("ratio") / F.sum("n"), 6).alias("ratio")
+    )
+
+
+@query("pipe_route", f"SELECT target, count(*) AS n FROM (SELECT {ROUTE_CASE} AS target FROM documents ORDER BY n_chars DESC, doc_id DESC LIMIT 500) GROUP BY 1")
+def pipe_route(spark, d):
+    """The 500 largest documents, each routed by the rules."""
+    documents = load(spark, d, "documents").select("doc_id", "n_chars", "lang", "source")
+    best = Flow(documents).top("n_chars", 500, "doc_id").result()
+    return best.groupBy(route_column().alias("target")).agg(F.count(F.lit(1)).alias("n"))
+
+
+PANEL_WORDS = 50
+WORDS = "token AS (SELECT DISTINCT doc_id, lang, word FROM (SELECT doc_id, lang, unnest(string_split(lower(text), ' ')) AS word FROM documents) WHERE word <> '')"
+
+
+@query("pipe_identify", f"""WITH {WORDS},
+panel AS (SELECT lang AS species, word FROM (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS r FROM token GROUP BY lang, word) WHERE r <= {PANEL_WORDS}),
+score AS (SELECT doc_id, species, count(*) AS overlap FROM token JOIN panel USING (word) GROUP BY 1, 2),
+best AS (SELECT doc_id, species, overlap FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, species) AS r FROM score) WHERE r = 1)
+SELECT lang, count(*) FILTER (WHERE overlap >= 5 AND species = lang) AS correct, count(*) FILTER (WHERE overlap IS NULL OR overlap < 5) AS unknown,
+       count(*) FILTER (WHERE overlap >= 5 AND species <> lang) AS wrong FROM documents LEFT JOIN best USING (doc_id) GROUP BY 1""")
+def pipe_identify(spark, d):
+    """Best word panel for every document: panels, route, score, match, and the tally of the answers."""
+    documents = load(spark, d, "documents").select("doc_id", "lang", "text")
+    tokens = documents.select("doc_id", "lang", F.explode(fn.words(F.col("text"))).alias("word"))
+    counts = tokens.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    # A struct sorts by count, then word; the window keeps 50 rows per language in each task.
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    panel = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PANEL_WORDS)
+    panel = op.replicated_if_small(materialize(panel.select(F.col("lang").alias("species"), "word"), "panel"))
+    scores = tokens.join(panel, "word").groupBy("doc_id", "species").agg(F.count(F.lit(1)).alias("overlap"))
+    best = op.match_within(scores, ["doc_id"], "species", "overlap")
+    answered = documents.select("doc_id", "lang").join(best, "doc_id", "left")
+    known = F.coalesce(F.col("overlap"), F.lit(0)) >= 5
+    right = F.col("species") == F.col("lang")
+    return answered.groupBy("lang").agg(
+        F.count_if(known & right).alias("correct"), F.count_if(~known).alias("unknown"), F.count_if(known & ~right).alias("wrong")
+    )
+
+
+PAIRS = """a AS (SELECT DISTINCT item_id, word FROM (SELECT item_id, unnest(string_split(lower(text), ' ')) AS word FROM benchmark) WHERE word <> ''),
+b AS (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS word FROM documents) WHERE word <> ''),
+best AS (SELECT item_id, doc_id, count(*) AS score FROM a JOIN b USING (word) GROUP BY 1, 2 ORDER BY score DESC, item_id, doc_id LIMIT 100)"""
+
+
+def best_pairs(spark, d):
+    left = load(spark, d, "benchmark").select("item_id", fn.words(F.col("text")).alias("words"))
+    right = load(spark, d, "documents").select("doc_id", fn.words(F.col("text")).alias("words"))
+    return top_overlaps(left, right, "item_id", "doc_id", 100)
+
+
+@query("pipe_pairs", f"WITH {PAIRS} SELECT * FROM best")
+def pipe_pairs(spark, d):
+    """The 100 pairs of benchmark item and document with the most words in common."""
+    return best_pairs(spark, d)
+
+
+@query("pipe_pairs_sorted", f"""WITH {PAIRS}
+SELECT item_id, doc_id, score, row_number() OVER (ORDER BY score, item_id, doc_id) AS rn,
+       CAST(floor((row_number() OVER (ORDER BY score, item_id, doc_id) - 1) / 10.0) AS INTEGER) AS bin FROM best""")
+def pipe_pairs_sorted(spark, d):
+    """The same pairs in ascending order, numbered and cut into bins of 10."""
+    placed = Ordered(best_pairs(spark, d), ["score", "item_id", "doc_id"]).extend(row_number="rn")
+    return placed.withColumn("bin", F.floor((F.col("rn") - 1) / 10).cast("int"))
+
+
+# The two outlines of the training flow, on the grid of labels.
+AREAS = {
+    "field": [(2.0, 2.0), (12.0, 2.0), (12.0, 9.0), (2.0, 9.0)],
+    "wedge": [(14.0, 5.0), (23.0, 11.0), (15.0, 18.0)],
+}
+AREA_EDGES = "edge(x1, y1, x2, y2, name) AS (VALUES " + ", ".join(
+    f"({a[0]}, {a[1]}, {b[0]}, {b[1]}, '{name}')"
+    for name, ring in AREAS.items() for a, b in zip(ring, ring[1:] + ring[:1])
+) + ")"
+
+
+@query("pipe_training", f"""WITH {AREA_EDGES},
+cell AS (SELECT CAST(vec_id % 25 AS BIGINT) AS x, CAST(vec_id // 25 AS BIGINT) AS y, label FROM embeddings),
+blur AS (SELECT a.x, a.y, CAST(floor(avg(b.label) * 10) AS BIGINT) AS v FROM cell a JOIN cell b ON b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 GROUP BY 1, 2),
+slot AS (SELECT dx, dy FROM (SELECT unnest(range(-1, 2)) AS dx) CROSS JOIN (SELECT unnest(range(-1, 2)) AS dy)),
+feature AS (SELECT c.x, c.y, string_agg(CAST(coalesce(g.v, 0) AS VARCHAR), ',' ORDER BY s.dy, s.dx) AS features
+  FROM blur c CROSS JOIN slot s LEFT JOIN blur g ON g.x = c.x + s.dx AND g.y = c.y + s.dy GROUP BY 1, 2),
+hit AS (SELECT x, y, name,
+    bool_or((x = x1 AND y = y1) OR (x = x2 AND y = y2) OR (abs((y - y1) * (x2 - x1) - (x - x1) * (y2 - y1)) <= 10
+      AND (x - x1) * (x2 - x1) + (y - y1) * (y2 - y1) BETWEEN 0 AND (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))) AS near,
+    x BETWEEN min(x1) AND max(x1) AND y BETWEEN min(y1) AND max(y1)
+      AND count(*) FILTER (WHERE (y1 > y) <> (y2 > y) AND x < (x1 - x2) * (y - y2) / nullif(y1 - y2, 0) + x2) % 2 = 1 AS within
+  FROM cell CROSS JOIN edge GROUP BY x, y, name),
+labelled AS (SELECT DISTINCT features, cls FROM feature JOIN (
+  SELECT x, y, CASE WHEN bool_or(near) THEN 1 WHEN bool_or(within) THEN 0 ELSE 2 END AS cls FROM hit GROUP BY 1, 2) USING (x, y))
+SELECT features, cls FROM (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY md5(features), features) AS r FROM labelled)
+WHERE r <= (SELECT min(n) FROM (SELECT count(*) AS n FROM labelled GROUP BY cls))""")
+def pipe_training(spark, d):
+    """Training set: blur, window features, label by outline, drop repeats, and balance the classes."""
+    cells = load(spark, d, "embeddings").select(
+        (F.col("vec_id") % 25).alias("x"), F.expr("vec_id div 25").alias("y"), F.col("label").cast("bigint").alias("v")
+    )
+    blurred = grids.around(cells, ["v"], [F.floor(F.avg("v") * 10).cast("bigint").alias("blur")])
+    features = grids.window_features(blurred, "blur").select("x", "y", F.concat_ws(",", F.col("features").cast("array<string>")).alias("features"))
+    # Two outlines, known here, so they are constants of the expression.
+    near, within = F.lit(False), F.lit(False)
+    for ring in AREAS.values():
+        vertices = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ring])
+        near = near | poly.near_edge(vertices, F.col("x"), F.col("y"))
+        within = within | poly.inside(vertices, F.col("x"), F.col("y"))
+    cls = F.when(near, F.lit(grids.BORDER)).when(within, F.lit(grids.INSIDE)).otherwise(F.lit(grids.OUTSIDE))
+    labelled = materialize(features.select("features", cls.alias("cls")).distinct(), "labelled")
+    return rep.balanced(labelled, "cls", "features")

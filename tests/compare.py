@@ -95,7 +95,7 @@ def main(names: list[str]) -> int:
         try:
             outcome = compare(spark, connection, directory, queries[name], oracles.get(name))
         except Exception as error:  # noqa: BLE001 - report and go on to the next query
-            outcome = "FAIL " + str(error)[:400]
+            outcome = "FAIL " + str(error)[: int(os.environ.get("ERR", "400"))]
         failed += outcome.startswith("FAIL")
         print(f"{name:22s} {time.time() - began:6.2f}s {outcome}", flush=True)
     print("failed", failed)
