@@ -57,9 +57,8 @@ def fill_gaps(curve: DataFrame, step: int, by: Sequence[str] = ()) -> DataFrame:
 def ecdf(df: DataFrame, value: Column) -> DataFrame:
     """(value, n, share): share of rows at or below each distinct value."""
     counts = df.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    placed = Ordered(counts, ["value"]).extend(running={"seen": F.col("n")})
-    total = counts.agg(F.sum("n").alias("total"))
-    return placed.join(F.broadcast(total)).select("value", "n", (F.col("seen") / F.col("total")).alias("share"))
+    placed = Ordered(counts, ["value"]).extend(running={"seen": F.col("n")}, whole={"total": F.col("n")})
+    return placed.select("value", "n", (F.col("seen") / F.col("total")).alias("share"))
 
 
 def quartiles(df: DataFrame, value: Column, by: Sequence[str]) -> DataFrame:
@@ -69,9 +68,7 @@ def quartiles(df: DataFrame, value: Column, by: Sequence[str]) -> DataFrame:
     no group's values are ever held in one place.
     """
     counts = df.groupBy(*by, value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    placed = Ordered(counts, ["v"], by).extend(running={"upto": F.col("n")})
-    sizes = counts.groupBy(*by).agg(F.sum("n").alias("total"), F.min("v").alias("low"), F.max("v").alias("high"))
-    ranked = placed.join(sizes, list(by))
+    ranked = Ordered(counts, ["v"], by).extend(running={"upto": F.col("n")}, whole={"total": F.col("n")})
     picks = []
     for name, share in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75)):
         rank = (F.col("total") - 1) * F.lit(share)
@@ -79,7 +76,7 @@ def quartiles(df: DataFrame, value: Column, by: Sequence[str]) -> DataFrame:
             here = (F.col("upto") - F.col("n") <= position) & (position < F.col("upto"))
             picks.append(F.max(F.when(here, F.col("v"))).alias(f"{name}_{side}"))
         picks.append(F.max(rank - F.floor(rank)).alias(f"{name}_part"))
-    wanted = ranked.groupBy(*by).agg(F.max("low").alias("low"), F.max("high").alias("high"), *picks)
+    wanted = ranked.groupBy(*by).agg(F.min("v").alias("low"), F.max("v").alias("high"), *picks)
     between = [
         (F.col(f"{q}_lo") + (F.col(f"{q}_hi") - F.col(f"{q}_lo")) * F.col(f"{q}_part")).alias(q)
         for q in ("q1", "q2", "q3")

@@ -23,7 +23,7 @@ from sluiceflow.session import at_most, materialize
 
 MAX_PIVOTS = 256
 BLOCK_ROWS = 4096
-SEND_ALL_LIMIT = 20_000
+SEND_ALL_VALUES = 4_000_000
 _TILE = 2_000_000
 _SLACK = 1e-9
 
@@ -77,12 +77,17 @@ def merge_nearest(partial: DataFrame, k: int) -> DataFrame:
 
 
 def nearest(
-    test: DataFrame, train: DataFrame, k: int, skip_same: bool = False, limit: int = SEND_ALL_LIMIT,
+    test: DataFrame, train: DataFrame, k: int, skip_same: bool = False, limit: int = SEND_ALL_VALUES,
     pivots: int | None = None, block: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """(test_id, train_id, distance, rank) for frames of (id, vec)."""
+    """(test_id, train_id, distance, rank) for frames of (id, vec).
+
+    `limit` is the largest training set, in numbers (rows × dimensions), that is
+    copied to every executor.
+    """
     test, train = test.select("id", "vec"), train.select("id", "vec")
-    if at_most(train, limit):
+    first = train.select(F.size("vec").alias("n")).first()
+    if at_most(train, limit // max(1, first["n"] if first else 1)):
         return merge_nearest(_against_all(test, train, k, skip_same), k)
     return merge_nearest(_by_cells(test, train, k, skip_same, pivots, block), k)
 

@@ -28,10 +28,16 @@ def _as_column(value: str | Column) -> Column:
 
 
 class Ordered:
-    """`df` laid out in the order (`within`, `order_by`), where ties are broken by the caller's keys."""
+    """`df` laid out in the order (`within`, `order_by`), where ties are broken by the caller's keys.
 
-    def __init__(self, df: DataFrame, order_by: Sequence[str | Column], within: Sequence[str] = ()):
+    Range partitioning reads its input twice, once to sample it. With `settle`
+    an input that is costly to compute but narrow is written out before that.
+    """
+
+    def __init__(self, df: DataFrame, order_by: Sequence[str | Column], within: Sequence[str] = (), settle: bool = False):
         self.within = list(within)
+        if settle:
+            df = materialize(df, "settled")
         self.order_by = [_as_column(c) for c in order_by]
         layout = [F.col(c) for c in self.within] + self.order_by
         self.rows = materialize(
@@ -48,15 +54,21 @@ class Ordered:
         running: Mapping[str, Column] | None = None,
         lag: Mapping[str, Column] | None = None,
         lead: Mapping[str, Column] | None = None,
+        whole: Mapping[str, Column] | None = None,
     ) -> DataFrame:
-        """Add a 1-based row number, running sums and previous / next values."""
-        running, lag, lead = dict(running or {}), dict(lag or {}), dict(lead or {})
+        """Add a 1-based row number, running sums, previous / next values and sums over the whole group.
+
+        Everything that concerns a group is joined per piece of it, so a group
+        with most of the rows is still handled by many tasks.
+        """
+        running, lag, lead, whole = dict(running or {}), dict(lag or {}), dict(lead or {}), dict(whole or {})
         keys = [*self.within, PIECE]
         pieces = self.rows.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("__n"),
             F.min(SPOT).alias("__first"),
             F.max(SPOT).alias("__last"),
             *[F.sum(c).alias(f"__sum_{name}") for name, c in running.items()],
+            *[F.sum(c).alias(f"__all_{name}") for name, c in whole.items()],
             *[F.max_by(c, SPOT).alias(f"__end_{name}") for name, c in lag.items()],
             *[F.min_by(c, SPOT).alias(f"__begin_{name}") for name, c in lead.items()],
         )
@@ -69,6 +81,7 @@ class Ordered:
             "__last",
             F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n_before"),
             *[F.sum(f"__sum_{n}").over(before).alias(f"__sum_{n}") for n in running],
+            *[F.sum(f"__all_{n}").over(Window.partitionBy(*self.within)).alias(n) for n in whole],
             *[F.lag(f"__end_{n}").over(along).alias(f"__end_{n}") for n in lag],
             *[F.lead(f"__begin_{n}").over(along).alias(f"__begin_{n}") for n in lead],
         )
@@ -104,13 +117,17 @@ class Ordered:
         for name in lead:
             edge = F.col(SPOT) == F.col("__last")
             added.append(F.when(edge, F.col(f"__begin_{name}")).otherwise(F.col(f"__next_{name}")).alias(name))
+        added += [F.col(name) for name in whole]
         kept = [c for c in self.rows.columns if c not in (PIECE, SPOT)]
         return joined.select(*kept, *added)
 
 
-def numbered(df: DataFrame, order_by: Sequence[str | Column], name: str, within: Sequence[str] = ()) -> DataFrame:
-    """`df` with its 1-based position in the order, counted within `within`."""
-    return Ordered(df, order_by, within).extend(row_number=name)
+def numbered(
+    df: DataFrame, order_by: Sequence[str | Column], name: str, within: Sequence[str] = (), total: str | None = None
+) -> DataFrame:
+    """`df` with its 1-based position in the order within its group, and the group's row count."""
+    whole = {total: F.lit(1).cast("bigint")} if total else None
+    return Ordered(df, order_by, within).extend(row_number=name, whole=whole)
 
 
 def running_total(

@@ -57,9 +57,9 @@ def balanced(df: DataFrame, label: str, key: str) -> DataFrame:
     Rows are ranked across range partitions, so a label with most of the rows
     is not gathered in one place.
     """
-    fewest = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("n")).first()["n"]
-    hashed = df.withColumn("__h", F.md5(F.col(key).cast("string")))
-    placed = Ordered(hashed, ["__h", key], [label]).extend(row_number="__row")
+    hashed = Ordered(df.withColumn("__h", F.md5(F.col(key).cast("string"))), ["__h", key], [label])
+    fewest = hashed.rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("n")).first()["n"]
+    placed = hashed.extend(row_number="__row")
     return placed.where(F.col("__row") <= (fewest or 0)).drop("__h", "__row")
 
 

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluiceflow.operators.ordered import Ordered, numbered
-from sluiceflow.session import materialize
+from sluiceflow.operators.ordered import Ordered
 
 
 def bin_column(value: Column, boundaries: Sequence[float]) -> Column:
@@ -31,23 +30,21 @@ def bin_column(value: Column, boundaries: Sequence[float]) -> Column:
 def pivots(df: DataFrame, value: str, bins: int, within: Sequence[str] = ()) -> DataFrame:
     """Exact boundaries per group: every (rows div bins)-th distinct value, and the maximum + 1."""
     counts = df.groupBy(*within, value).agg(F.count(F.lit(1)).alias("n"))
-    placed = materialize(numbered(counts, [value], "place", within), "distinct")
-    sizes = placed.groupBy(*within).agg(F.sum("n").alias("rows"), F.max(value).alias("top"))
-    step = F.greatest(F.lit(1), F.floor(F.col("rows") / bins))
-    # One row per group, and groups are chunks of a table.
-    inner = placed.join(sizes, list(within)) if within else placed.join(F.broadcast(sizes))
-    chosen = inner.where(((F.col("place") - 1) % step == 0) & (F.col(value) != F.col("top")))
-    return chosen.select(*within, F.col(value).alias("boundary")).unionByName(
-        sizes.select(*within, (F.col("top") + 1).alias("boundary"))
+    placed = Ordered(counts, [value], within).extend(
+        row_number="place", lead={"following": F.col(value)}, whole={"rows": F.col("n")}
     )
+    step = F.greatest(F.lit(1), F.floor(F.col("rows") / bins))
+    last = F.col("following").isNull()
+    chosen = placed.where(last | ((F.col("place") - 1) % step == 0))
+    return chosen.select(*within, F.when(last, F.col(value) + 1).otherwise(F.col(value)).alias("boundary"))
 
 
 def merge_pivots(boundaries: DataFrame, bins: int) -> DataFrame:
     """Distinct union of boundary lists, resampled to `bins` ranges; the maximum stays."""
-    placed = materialize(numbered(boundaries.select("boundary").distinct(), ["boundary"], "place"), "union")
-    total = placed.count()
+    union = Ordered(boundaries.select("boundary").distinct(), ["boundary"])
+    total = union.rows.count()
     wanted = {min(round(i * total / bins), total - 1) for i in range(bins)} | {total - 1}
-    return placed.where(F.col("place").isin([w + 1 for w in sorted(wanted)])).select("boundary")
+    return union.extend(row_number="place").where(F.col("place").isin([w + 1 for w in sorted(wanted)])).select("boundary")
 
 
 def approximate_pivots(df: DataFrame, value: str, bins: int, accuracy: float = 0.001) -> list[float]:

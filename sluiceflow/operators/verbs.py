@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluiceflow.operators.ordered import numbered, running_total
@@ -95,11 +95,13 @@ def fan_out(
     spark = inputs.sparkSession
     total = keys.count()
     blocks = -(-total // KEY_BLOCK)
+    if total <= limit:
+        placed = keys.withColumn("file_id", F.row_number().over(Window.orderBy(*order_by)).cast("bigint"))
+    else:
+        placed = numbered(keys, order_by, "file_id")
     member = F.struct(*[F.col(c) for c in keys.columns], F.col("file_id"))
-    packed = (
-        numbered(keys, order_by, "file_id")
-        .groupBy(F.floor((F.col("file_id") - 1) / KEY_BLOCK).cast("int").alias("__block"))
-        .agg(F.collect_list(member).alias("__keys"))
+    packed = placed.groupBy(F.floor((F.col("file_id") - 1) / KEY_BLOCK).cast("int").alias("__block")).agg(
+        F.collect_list(member).alias("__keys")
     )
     spread = inputs.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))))
     if total <= limit:

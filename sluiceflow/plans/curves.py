@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sluiceflow.functions import costs
 from sluiceflow.operators import curves
-from sluiceflow.operators.ordered import Ordered
+from sluiceflow.operators.ordered import Ordered, numbered
 from sluiceflow.plans.catalog import query
 from sluiceflow.plans.reports import COST, COST_SUM, PRICED, priced
 from sluiceflow.plans.views import SECOND, TASKLOG, tasklog
@@ -158,9 +158,7 @@ def relative_time(spark, d):
 SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS file_id, count(*) OVER (PARTITION BY user_id) AS num_files FROM events""")
 def chunk_numbers(spark, d):
     events = load(spark, d, "events").select("event_id", "user_id", "ts")
-    placed = Ordered(events, ["ts", "event_id"], ["user_id"]).extend(row_number="file_id")
-    sizes = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("num_files"))
-    return placed.join(sizes, "user_id").select("event_id", "user_id", "file_id", "num_files")
+    return numbered(events, ["ts", "event_id"], "file_id", ["user_id"], total="num_files").drop("ts")
 
 
 @query("pipe_cost_report", f"""WITH {SPEND}, {_curve_sql('tasklog')},

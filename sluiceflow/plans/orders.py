@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sluiceflow.functions import text as fn
 from sluiceflow.operators import reports as rep, sorting, verbs as op
-from sluiceflow.operators.ordered import Ordered
+from sluiceflow.operators.ordered import Ordered, numbered
 from sluiceflow.plans.catalog import query
 from sluiceflow.plans.views import READS, reads
 from sluiceflow.plans.verbs import LINE_KEYS, LINE_ORDER
@@ -58,9 +58,8 @@ SELECT o_orderkey, CAST(floor((rn - 1) * 35 / total) AS BIGINT) AS bin FROM (
 def interval_sort(spark, d):
     """Sort by start, cut into 35 even bins, and write each bin compressed."""
     orders = load(spark, d, "orders").select("o_orderdate", "o_orderkey")
-    total = orders.count()
-    placed = Ordered(orders, ["o_orderdate", "o_orderkey"]).extend(row_number="rn")
-    binned = placed.withColumn("bin", F.floor((F.col("rn") - 1) * 35 / float(total)).cast("bigint"))
+    placed = numbered(orders, ["o_orderdate", "o_orderkey"], "rn", total="total")
+    binned = placed.select("o_orderkey", F.floor((F.col("rn") - 1) * 35 / F.col("total")).cast("bigint").alias("bin"))
     path = scratch_path(spark, "intervals")
     binned.write.option("compression", "zstd").partitionBy("bin").parquet(path)
     return spark.read.schema("o_orderkey bigint, bin bigint").parquet(path)
@@ -96,12 +95,12 @@ def minimizer(spark, d):
 
 def sorted_reads(spark, d):
     signed = reads(spark, d).select("doc_id", fn.signature(F.col("seq")).alias("signature"))
-    return Ordered(signed, ["signature", "doc_id"]).extend(row_number="rn")
+    return Ordered(signed, ["signature", "doc_id"], settle=True).extend(row_number="rn", whole={"total": F.lit(1).cast("bigint")})
 
 
 @query("signature_sort", f"WITH {SIGNED} SELECT doc_id, signature, row_number() OVER (ORDER BY signature, doc_id) AS rn FROM signed")
 def signature_sort(spark, d):
-    return sorted_reads(spark, d)
+    return sorted_reads(spark, d).drop("total")
 
 
 @query("pipe_compress", f"""WITH {SIGNED}, placed AS (SELECT signature, row_number() OVER (ORDER BY signature, doc_id) AS rn, count(*) OVER () AS total FROM signed)
@@ -109,9 +108,8 @@ SELECT CAST(floor((rn - 1) * 10 / CAST(total AS DOUBLE)) AS INTEGER) AS bin, cou
 def pipe_compress(spark, d):
     """Sort reads by signature, write them compressed by range, and read the bins back."""
     placed = sorted_reads(spark, d)
-    total = placed.count()
     path = scratch_path(spark, "reads")
-    bin_of = F.floor((F.col("rn") - 1) * 10 / float(total)).cast("int")
+    bin_of = F.floor((F.col("rn") - 1) * 10 / F.col("total")).cast("int")
     placed.withColumn("bin", bin_of).write.option("compression", "zstd").partitionBy("bin").parquet(path)
     held = spark.read.schema("doc_id bigint, signature bigint, rn bigint, bin int").parquet(path)
     return held.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min("signature").alias("low"), F.max("signature").alias("high"))

@@ -57,7 +57,7 @@ LETTERS = "upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))"
 
 @query("scan_fasta", f"SELECT doc_id || ' ' || lang AS header, CAST(length({LETTERS}) AS INTEGER) AS n, md5({LETTERS}) AS sequence FROM documents")
 def scan_fasta(spark, d):
-    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
+    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]+", ""))
     wrapped = F.regexp_replace(letters, "(.{60})", "$1\n")
     path = lines_of(spark, load(spark, d, "documents"), F.concat(F.lit(">"), "doc_id", F.lit(" "), "lang", F.lit("\n"), wrapped))
     return records.read_fasta(spark, path).select("header", F.length("sequence").alias("n"), F.md5(F.col("sequence").cast("binary")).alias("sequence"))

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from sluiceflow.functions import text as fn
 from sluiceflow.operators import verbs as op
-from sluiceflow.operators.ordered import Ordered
+from sluiceflow.operators.ordered import Ordered, numbered
 from sluiceflow.plans.catalog import query
-from sluiceflow.session import load, materialize, scratch_path
+from sluiceflow.session import load, scratch_path
 
 LINE_KEYS = ("l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
 LINE_ORDER = ", ".join(LINE_KEYS)
@@ -165,9 +165,8 @@ SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_extendedprice,
 def renumber(spark, d):
     lines = load(spark, d, "lineitem").select(*LINE_KEYS)
     order = [k for k in LINE_KEYS if k != "l_suppkey"]
-    placed = Ordered(lines, order, ["l_suppkey"]).extend(row_number="rn")
-    totals = lines.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("total"))
-    return placed.join(totals, "l_suppkey").select(
+    placed = numbered(lines, order, "rn", ["l_suppkey"], total="total")
+    return placed.select(
         "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", (F.col("rn") - 1).alias("index"), "total"
     )
 
@@ -271,12 +270,14 @@ def run_many(spark, d):
     """An application that turns one row into several output frames."""
 
     def lines(batch, params):
-        for doc_id, text in zip(batch["doc_id"], batch["text"]):
-            parts = text.split("\n")
-            yield type(batch)({"doc_id": doc_id, "line": range(1, len(parts) + 1), "n": [len(p) for p in parts]})
+        split = batch["text"].str.split("\n", regex=False)
+        batch["n"] = split.map(lambda parts: [len(p) for p in parts])
+        batch["line"] = split.map(lambda parts: range(1, len(parts) + 1))
+        for start in range(0, len(batch), params["rows"]):
+            yield batch[start : start + params["rows"]][["doc_id", "line", "n"]].explode(["line", "n"])
 
     docs = load(spark, d, "documents").select("doc_id", "text")
-    return op.run(docs, lines, "doc_id bigint, line bigint, n bigint")
+    return op.run(docs, lines, "doc_id bigint, line bigint, n bigint", {"rows": 500})
 
 
 @query("pipe_app", "SELECT c_name AS line FROM customer")

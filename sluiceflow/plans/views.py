@@ -66,7 +66,7 @@ def grid(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, directory: str) -> DataFrame:
-    seq = F.upper(F.regexp_replace("text", "[^ACGTacgt]", ""))
+    seq = F.upper(F.regexp_replace("text", "[^ACGTacgt]+", ""))
     return load(spark, directory, "documents").select("doc_id", seq.alias("seq")).where(F.length("seq") >= 8)
 
 

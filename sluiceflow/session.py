@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -39,10 +38,10 @@ def load(spark: SparkSession, directory: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{table}.parquet")
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder all executors share.
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder on the storage all executors share.
 
-    The cluster names that folder in `spark.checkpoint.dir`. Only when it is
+    The cluster names that storage in `spark.checkpoint.dir`. Only when it is
     unset, as in tests on one machine, is a temporary folder made and set.
     """
     context = spark.sparkContext
@@ -50,7 +49,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="sluiceflow-")
         context.setCheckpointDir(base)
-    return os.path.join(base, f"{label}-{uuid.uuid4().hex}")
+    return f"{base.rstrip('/')}/sluiceflow-{context.applicationId}"
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path for one intermediate table."""
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once no result is read from them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
