@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # The parts of a key name, in order, and what each may hold.
 KEY_FIELDS = (
-    ("prefix", "int"), ("timestamp", "double"), ("nonce", "int"), ("bin", "int"), ("num_bins", "int"),
+    ("prefix", "int"), ("timestamp", "double"), ("nonce", "bigint"), ("bin", "int"), ("num_bins", "int"),
     ("file_id", "int"), ("execute", "double"), ("num_files", "int"), ("suffix", "string"),
 )
 KEY_PATTERN = (
@@ -23,7 +23,7 @@ BASES, DIGITS = "ACGNT", "01234"
 def parse_key(name: Column) -> Column:
     """Struct of the nine key fields and the extension; null when the name has another form."""
     parts = [
-        F.regexp_extract(name, KEY_PATTERN, i + 1).cast(kind).alias(field)
+        F.regexp_extract(name, KEY_PATTERN, i + 1).try_cast(kind).alias(field)
         for i, (field, kind) in enumerate(KEY_FIELDS)
     ]
     ext = F.regexp_extract(name, KEY_PATTERN, len(KEY_FIELDS) + 1).alias("ext")
@@ -52,9 +52,9 @@ def minimizer(seq: Column, length: int = 8) -> Column:
 
 def align_score(report: Column) -> Column:
     """1000 × optimal score, plus the suboptimal one where the report has it."""
-    best = F.regexp_extract(report, r"(?m)^optimal_alignment_score:\s([0-9]+)", 1).cast("double")
-    second = F.regexp_extract(report, r"suboptimal_alignment_score:\s([0-9]+)", 1)
-    return best * 1000 + F.coalesce(F.when(second != "", second).cast("double"), F.lit(0.0))
+    best = F.regexp_extract(report, r"(?m)^optimal_alignment_score:\s([0-9]+)", 1).try_cast("double")
+    second = F.regexp_extract(report, r"suboptimal_alignment_score:\s([0-9]+)", 1).try_cast("double")
+    return best * 1000 + F.coalesce(second, F.lit(0.0))
 
 
 def elapsed_label(seconds: Column) -> Column:

@@ -60,15 +60,12 @@ def stage_run_summary(spark, d):
     return runs.join(longest, "stage")
 
 
-REQUESTS = (F.sum("l_linenumber"), F.count(F.lit(1)), F.sum("l_quantity"))
-
-
 @query("request_cost", """
 SELECT coalesce(l_returnflag, 'total') AS l_returnflag,
        round((sum(l_linenumber) + count(*)) / 1000.0 * 0.005 + sum(l_quantity) / 1000.0 * 0.0004, 6) AS cost
 FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), ())""")
 def request_cost(spark, d):
-    cost = F.round(costs.request_cost(*REQUESTS), 6)
+    cost = F.round(costs.request_cost(F.sum("l_linenumber"), F.count(F.lit(1)), F.sum("l_quantity")), 6)
     return rep.with_totals(load(spark, d, "lineitem"), "l_returnflag", cost.alias("cost"))
 
 

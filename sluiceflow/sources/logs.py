@@ -64,7 +64,7 @@ def read_access(spark: SparkSession, path: str, column: int = 6) -> DataFrame:
 
 
 def _number(text: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).cast("double")
+    return F.regexp_extract(text, pattern, 1).try_cast("double")
 
 
 def read_memory_reports(spark: SparkSession, path: str) -> DataFrame:

@@ -45,7 +45,7 @@ def read_alignments(spark: SparkSession, path: str) -> DataFrame:
     """(target, query, optimal, suboptimal, score): paragraphs of an alignment report."""
 
     def number(name: str) -> Column:
-        return F.try_to_number(F.nullif(F.regexp_extract("value", name + r":\s([0-9]+)", 1), F.lit("")), F.lit("9" * 18)).cast("bigint")
+        return F.regexp_extract("value", name + r":\s([0-9]+)", 1).try_cast("bigint")
 
     return spark.read.text(path, lineSep="\n\n").where(F.col("value").rlike(r"\S")).select(
         F.regexp_extract("value", r"target_name: ([^\n]*)", 1).alias("target"),
@@ -123,7 +123,7 @@ def read_polygons(spark: SparkSession, path: str) -> DataFrame:
     outline = F.when(line.contains("EMPTY"), none).otherwise(F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))))
     return read_lines(spark, path).where(line.contains("POLYGON") | line.contains("EMPTY")).select(
         F.regexp_extract("value", r"^([A-Za-z0-9_]+),", 1).alias("name"),
-        F.regexp_extract("value", r"^[A-Za-z0-9_]+,([0-9]+),", 1).cast("int").alias("id"),
+        F.regexp_extract("value", r"^[A-Za-z0-9_]+,(-?[0-9]+),", 1).try_cast("int").alias("id"),
         outline.alias("vertices"),
     )
 
