@@ -31,17 +31,18 @@ def _weighted(words: DataFrame, key: str, frequency: DataFrame) -> DataFrame:
 def top_overlaps(left: DataFrame, right: DataFrame, left_key: str, right_key: str, number: int) -> DataFrame:
     """(left_key, right_key, score) of the `number` best pairs; each input is (key, words), words distinct."""
     a = left.select(left_key, F.explode("words").alias("word"))
-    b = right.select(right_key, F.explode("words").alias("word"))
-    known = a.groupBy("word").agg(F.count(F.lit(1)).alias("na"))
-    shared = replicated_if_small(known, 200_000)
-    counted = (
-        b.join(shared, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("nb"))
-        .join(known, "word")
-        .select("word", (F.col("na") * F.col("nb")).alias("freq"))
+    known = materialize(a.groupBy("word").agg(F.count(F.lit(1)).alias("na")), "known")
+    # The long side is cut into words once; only words the other side has are kept.
+    b = materialize(
+        right.select(right_key, F.explode("words").alias("word"))
+        .join(replicated_if_small(known.select("word"), 200_000), "word", "left_semi"),
+        "words",
     )
-    frequency = replicated_if_small(materialize(counted, "frequency"), 200_000)
-    a_rows = materialize(_weighted(a, left_key, frequency), "left")
-    b_rows = materialize(_weighted(b, right_key, frequency), "right")
+    counted = b.groupBy("word").agg(F.count(F.lit(1)).alias("nb")).join(known, "word")
+    frequency = materialize(counted.select("word", (F.col("na") * F.col("nb")).alias("freq")), "frequency")
+    small = replicated_if_small(frequency, 200_000)
+    a_rows = materialize(_weighted(a, left_key, small), "left")
+    b_rows = materialize(_weighted(b, right_key, small), "right")
 
     score = F.size(F.array_intersect("lw", "rw")).cast("bigint")
     seeds_a = top(a_rows.withColumn("n", F.size("words")), SEEDS, "n", left_key).select(F.col("words").alias("lw"), F.lit(0).alias("j"))

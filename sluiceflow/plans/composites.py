@@ -11,7 +11,7 @@ from sluiceflow.operators.ordered import Ordered
 from sluiceflow.operators.overlap import top_overlaps
 from sluiceflow.plans.catalog import query
 from sluiceflow.plans.verbs import ROUTE_CASE, route_column
-from sluiceflow.session import load, materialize
+from sluiceflow.session import load, materialize, spread
 
 
 def count_words(batch, params):
@@ -63,7 +63,7 @@ SELECT lang, count(*) FILTER (WHERE overlap >= 5 AND species = lang) AS correct,
        count(*) FILTER (WHERE overlap >= 5 AND species <> lang) AS wrong FROM documents LEFT JOIN best USING (doc_id) GROUP BY 1""")
 def pipe_identify(spark, d):
     """Best word panel for every document: panels, route, score, match, and the tally of the answers."""
-    documents = load(spark, d, "documents").select("doc_id", "lang", "text")
+    documents = spread(load(spark, d, "documents").select("doc_id", "lang", "text"), "doc_id")
     tokens = documents.select("doc_id", "lang", F.explode(fn.words(F.col("text"))).alias("word"))
     counts = tokens.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     # A struct sorts by count, then word; the window keeps 50 rows per language in each task.
@@ -89,7 +89,8 @@ best AS (SELECT item_id, doc_id, count(*) AS score FROM a JOIN b USING (word) GR
 
 def best_pairs(spark, d):
     left = load(spark, d, "benchmark").select("item_id", fn.words(F.col("text")).alias("words"))
-    right = load(spark, d, "documents").select("doc_id", fn.words(F.col("text")).alias("words"))
+    documents = spread(load(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    right = documents.select("doc_id", fn.words(F.col("text")).alias("words"))
     return top_overlaps(left, right, "item_id", "doc_id", 100)
 
 

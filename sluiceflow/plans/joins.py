@@ -8,7 +8,7 @@ from sluiceflow.operators import grids, neighbors as knn, polygons as poly, verb
 from sluiceflow.plans.catalog import query
 from sluiceflow.plans.views import GRID, PRICES, SECOND, TASKLOG, grid, tasklog
 from sluiceflow.functions import costs
-from sluiceflow.session import load, materialize
+from sluiceflow.session import load, materialize, small_table
 
 DAY_OF_MONTH = "CAST(day(ts) AS INTEGER)"
 
@@ -117,8 +117,8 @@ def pipe_knn_border(spark, d):
 SELECT stage, memory, count(*) AS n, round(sum(dur_ms / 1000.0 * rate), 6) AS cost
 FROM tasklog JOIN stage_memory USING (stage) JOIN price USING (memory) GROUP BY 1, 2""")
 def log_price(spark, d):
-    memory = spark.createDataFrame(list(costs.STAGE_MEMORY.items()), "stage string, memory int")
-    price = spark.createDataFrame(list(costs.MEMORY_PRICES.items()), "memory int, rate double")
+    memory = small_table(spark, list(costs.STAGE_MEMORY.items()), "stage string, memory int")
+    price = small_table(spark, list(costs.MEMORY_PRICES.items()), "memory int, rate double")
     # Two fixed tables of a few rows each.
     priced = tasklog(spark, d).join(F.broadcast(memory), "stage").join(F.broadcast(price), "memory")
     return priced.groupBy("stage", "memory").agg(

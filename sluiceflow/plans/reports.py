@@ -8,7 +8,7 @@ from sluiceflow.functions import costs
 from sluiceflow.operators import curves, reports as rep
 from sluiceflow.plans.catalog import query
 from sluiceflow.plans.views import PRICES, SCORES, SECOND, TASKLOG, scores, tasklog
-from sluiceflow.session import load
+from sluiceflow.session import load, small_table
 
 # The thresholds of the accuracy sweep.
 THRESHOLDS = [round(0.05 * i, 2) for i in range(1, 15)]
@@ -289,8 +289,8 @@ LEFT JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY 1) ON event_typ
 UNION ALL SELECT event_type, NULL, count(*), FALSE FROM events WHERE event_type NOT IN ('view', 'click', 'purchase', 'signup', 'percolator') GROUP BY 1""")
 def count_check(spark, d):
     """Task counts per stage against an expected table; a stage missing on either side is unequal unless 0 was expected."""
-    expected = spark.createDataFrame(
-        [("view", 150), ("click", 48), ("purchase", 268), ("signup", 1), ("percolator", 0)], "stage string, expected bigint"
+    expected = small_table(
+        spark, [("view", 150), ("click", 48), ("purchase", 268), ("signup", 1), ("percolator", 0)], "stage string, expected bigint"
     )
     counted = load(spark, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count(F.lit(1)).alias("n"))
     n = F.coalesce("n", F.lit(0))

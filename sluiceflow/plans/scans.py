@@ -69,7 +69,7 @@ def scan_fastq(spark, d):
     """Reads written four lines each; many quality lines begin with `@` or `+`."""
     quality = F.translate("seq", "ACGT", "@I;+")
     path = lines_of(spark, reads(spark, d), F.concat_ws("\n", F.concat(F.lit("@"), "doc_id"), "seq", F.lit("+"), quality))
-    scanned = read_fastq(spark, path, split_bytes=200_000)
+    scanned = read_fastq(spark, path, split_bytes=1_000_000)
     return scanned.select(
         "id", F.md5(F.col("seq").cast("binary")).alias("seq"), F.md5(F.col("qual").cast("binary")).alias("qual"),
         fn.signature(F.col("seq")).alias("signature"),

@@ -8,7 +8,7 @@ from sluiceflow.functions import text as fn
 from sluiceflow.operators import verbs as op
 from sluiceflow.operators.ordered import Ordered, numbered
 from sluiceflow.plans.catalog import query
-from sluiceflow.session import load, scratch_path
+from sluiceflow.session import load, scratch_path, small_table
 
 LINE_KEYS = ("l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
 LINE_ORDER = ", ".join(LINE_KEYS)
@@ -95,7 +95,7 @@ def every_nth(spark, d):
 SELECT o_orderkey, o_custkey FROM orders
 WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment IN ('MACHINERY', 'FURNITURE'))""")
 def exclude(spark, d):
-    segments = spark.createDataFrame([("MACHINERY",), ("FURNITURE",)], "c_mktsegment string")
+    segments = small_table(spark, [("MACHINERY",), ("FURNITURE",)], "c_mktsegment string")
     listed = load(spark, d, "customer").join(F.broadcast(segments), "c_mktsegment", "left_semi")
     orders = load(spark, d, "orders").select("o_orderkey", "o_custkey")
     return op.exclude(orders, listed.select(F.col("c_custkey").alias("o_custkey")), ["o_custkey"])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceflow.functions.costs import MEMORY_PRICES, STAGE_MEMORY
-from sluiceflow.session import load
+from sluiceflow.session import load, spread
 
 SECOND = 1_000_000
 
@@ -67,7 +67,8 @@ def grid(spark: SparkSession, directory: str) -> DataFrame:
 
 def reads(spark: SparkSession, directory: str) -> DataFrame:
     seq = F.upper(F.regexp_replace("text", "[^ACGTacgt]+", ""))
-    return load(spark, directory, "documents").select("doc_id", seq.alias("seq")).where(F.length("seq") >= 8)
+    documents = spread(load(spark, directory, "documents").select("doc_id", "text"), "doc_id")
+    return documents.select("doc_id", seq.alias("seq")).where(F.length("seq") >= 8)
 
 
 def scores(spark: SparkSession, directory: str) -> DataFrame:

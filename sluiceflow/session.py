@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Largest table, in rows, that an operator may copy to every executor. Each use
 # counts the table first and takes a shuffled join when there are more rows.
@@ -75,6 +76,23 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Share rows that are costly to process among all cores when the files give fewer splits than that.
+
+    A table of many files or row groups is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few constant rows, as an expression of the plan."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    kinds = [part.split()[1] for part in schema.split(", ")]
+    items = [F.struct(*[F.lit(v).cast(k).alias(n) for v, k, n in zip(row, kinds, names)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*items)))
+
+
 def at_most(df: DataFrame, limit: int = REPLICATE_LIMIT) -> bool:
     """Whether `df` has at most `limit` rows; reads no more than limit + 1."""
     return df.limit(limit + 1).count() <= limit

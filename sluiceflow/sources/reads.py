@@ -12,13 +12,15 @@ import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SPLIT_BYTES = 64_000_000
-BATCH_RECORDS = 20_000
+BLOCK_BYTES = 8_000_000
+MARGIN_BYTES = 64_000
 FIELDS = ("id", "seq", "plus", "qual")
 
 
@@ -54,40 +56,50 @@ class FastqReader(DataSourceReader):
         ]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+        """The records whose header line begins inside the range."""
         store, _ = fs.FileSystem.from_uri(self.path)
         with store.open_input_file(partition.path) as raw:
-            stream = io.BufferedReader(raw, 1 << 20)
-            position = partition.start
-            if position:
-                # The rest of a line that began before this range belongs to the range before.
-                stream.seek(position - 1)
-                position += len(stream.readline()) - 1
-            ahead = [line for line in (stream.readline() for _ in range(7)) if line]
-            first = first_header(ahead)
-            if first is None:
+            position = self.align(raw, partition.start)
+            if position is None:
                 return
-            position += sum(len(line) for line in ahead[:first])
-            pending = ahead[first:]
-            columns: list[list[str]] = [[], [], [], []]
+            raw.seek(position)
+            rest = b""
             while position < partition.end:
-                while len(pending) < 4:
-                    pending.append(stream.readline())
-                record, pending = pending[:4], pending[4:]
-                if not record[0].strip():
-                    break
-                position += sum(len(line) for line in record)
-                for column, line in zip(columns, record):
-                    column.append(line.decode().rstrip("\r\n"))
-                if len(columns[0]) == BATCH_RECORDS:
-                    yield self.batch(columns)
-                    columns = [[], [], [], []]
-            if columns[0]:
-                yield self.batch(columns)
+                block = raw.read(min(BLOCK_BYTES, partition.end - position + MARGIN_BYTES))
+                lines = (rest + block).split(b"\n")
+                # The text after the last line end is incomplete unless the file ends there.
+                tail = lines.pop() if block or not lines[-1] else b""
+                whole = len(lines) // 4 * 4
+                rest = b"\n".join([*lines[whole:], tail])
+                lines = lines[:whole]
+                sizes = np.fromiter((len(line) + 1 for line in lines), dtype=np.int64, count=whole).reshape(-1, 4).sum(1)
+                starts = position + np.cumsum(sizes) - sizes
+                inside = int((starts < partition.end).sum())
+                if inside:
+                    yield self.batch(lines[: 4 * inside])
+                position += int(sizes.sum())
+                if not block:
+                    return
 
     @staticmethod
-    def batch(columns: list[list[str]]) -> pa.RecordBatch:
-        ids = [name[1:] for name in columns[0]]
-        return pa.RecordBatch.from_pydict(dict(zip(FIELDS, [ids, *columns[1:]])))
+    def align(raw, start: int) -> int | None:
+        """Where the first record at or after `start` begins."""
+        if start == 0:
+            return 0
+        raw.seek(start - 1)
+        stream = io.BufferedReader(raw, MARGIN_BYTES)
+        # The rest of a line that began before this range belongs to the range before.
+        position = start - 1 + len(stream.readline())
+        ahead = [line for line in (stream.readline() for _ in range(7)) if line]
+        stream.detach()
+        first = first_header(ahead)
+        return None if first is None else position + sum(len(line) for line in ahead[:first])
+
+    @staticmethod
+    def batch(lines: list[bytes]) -> pa.RecordBatch:
+        columns = [[line.rstrip(b"\r").decode() for line in lines[i::4]] for i in range(4)]
+        columns[0] = [name[1:] for name in columns[0]]
+        return pa.RecordBatch.from_pydict(dict(zip(FIELDS, columns)))
 
 
 class FastqSource(DataSource):

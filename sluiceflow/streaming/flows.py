@@ -13,7 +13,6 @@ from contextlib import contextmanager
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from sluiceflow.session import scratch_path
@@ -73,54 +72,42 @@ def before_deadline(stream: DataFrame, reexecute: Column, execute: Column, now:
     return stream.where((reexecute <= 0) | (execute <= 0) | (now < execute))
 
 
-class _Barrier(StatefulProcessor):
-    """Counts the distinct members of a group and lets the group through once."""
-
-    ttl_ms: int | None = None
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.members = handle.getMapState("members", "member string", "seen boolean", ttlDurationMs=self.ttl_ms)
-        self.count = handle.getValueState("count", "n int, released boolean", ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, released = self.count.get() if self.count.exists() else (0, False)
-        if released:
-            for _ in rows:
-                pass
-            return
-        needed = None
-        for batch in rows:
-            # By position: the plan may rename a constant column.
-            needed = int(batch.iloc[0, -1])
-            for member in batch.iloc[:, -2].unique():
-                if not self.members.containsKey((member,)):
-                    self.members.updateValue((member,), (True,))
-                    n += 1
-        released = needed is not None and n >= needed
-        self.count.update((n, released))
-        if released:
-            self.members.clear()
-            yield pd.DataFrame([[*key, n]], columns=[*self.keys, "members"])
-
-    def close(self) -> None:
-        pass
-
-
-def barrier(stream: DataFrame, keys: Sequence[str], member: Column, needed: Column, ttl_ms: int | None = None) -> DataFrame:
+def barrier(
+    stream: DataFrame, keys: Sequence[str], member: Column, needed: Column, time: str | None = None,
+    delay: str = "1 hour", ttl_ms: int | None = None,
+) -> DataFrame:
     """(keys…, members): each group once, when `needed` distinct members have arrived.
 
-    Repeats are dropped on (keys, member) first, so the state of a group sees
-    every member once, however many rows the group has.
+    Repeats are dropped on (keys, member) first, in as many tasks as there are
+    members, so a group's own task sees every member once, however many rows
+    the group has. `time` and `ttl_ms` let the state of old groups expire.
     """
     kinds = dict(stream.dtypes)
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "members int"])
-    once = stream.select(*keys, member.cast("string").alias("__member"), needed.cast("int").alias("__needed")).dropDuplicates(
-        [*keys, "__member"]
-    )
-    processor = _Barrier()
-    processor.keys, processor.ttl_ms = list(keys), ttl_ms
-    return once.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None"
+    times = [time] if time else []
+    rows = stream.select(*keys, *times, member.cast("string").alias("__member"), needed.cast("int").alias("__needed"))
+    once = deduplicated(rows, [*keys, "__member"], time, delay).select(*keys, "__member", "__needed")
+    names = [*keys, "members"]
+
+    def count(key, batches, state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        members, released = state.get if state.exists else (0, False)
+        needed = None
+        for batch in batches:
+            members += len(batch)
+            # By position: the plan may rename a constant column.
+            needed = int(batch.iloc[0, -1])
+        opens = not released and needed is not None and members >= needed
+        state.update((members, released or opens))
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
+        if opens:
+            yield pd.DataFrame([[*key, members]], columns=names)
+
+    return once.groupBy(*keys).applyInPandasWithState(
+        count, schema, "members int, released boolean", "append", "ProcessingTimeTimeout" if ttl_ms else "NoTimeout"
     )
 
 
