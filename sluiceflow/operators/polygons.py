@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluiceflow.session import REPLICATE_LIMIT, at_most
+from sluiceflow.operators.verbs import replicated_if_small
+from sluiceflow.session import REPLICATE_LIMIT
+
+# Fixed value: the largest cross product of a point that counts as near an edge.
+SLACK = 10.0
 
 
 def edges(vertices: Column) -> Column:
@@ -35,39 +39,52 @@ def inside(vertices: Column, x: Column, y: Column) -> Column:
     return in_box(vertices, x, y) & (F.size(F.filter(edges(vertices), crossed)) % 2 == 1)
 
 
-def near_edge(vertices: Column, x: Column, y: Column, slack: float = 10.0) -> Column:
-    """Whether the point is a vertex, or beside an edge with a cross product of at most `slack`."""
+def near_edge(vertices: Column, x: Column, y: Column, slack: float = SLACK) -> Column:
+    """Whether the point is a vertex, or beside an edge with a cross product of at most `slack`.
+
+    A vertex given twice in a row makes no edge.
+    """
 
     def close(edge: Column) -> Column:
         a, b = edge["a"], edge["b"]
         along_x, along_y = b["x"] - a["x"], b["y"] - a["y"]
+        length = along_x * along_x + along_y * along_y
         cross = (y - a["y"]) * along_x - (x - a["x"]) * along_y
         dot = (x - a["x"]) * along_x + (y - a["y"]) * along_y
         corner = ((x == a["x"]) & (y == a["y"])) | ((x == b["x"]) & (y == b["y"]))
-        beside = (F.abs(cross) <= slack) & (dot >= 0) & (dot <= along_x * along_x + along_y * along_y)
-        return corner | beside
+        return corner | ((length > 0) & (F.abs(cross) <= slack) & dot.between(F.lit(0.0), length))
 
     return F.exists(edges(vertices), close)
 
 
+def reach(vertices: Column, slack: float = SLACK) -> Column:
+    """How far from its outline a point can be and still be `near_edge`: slack / shortest edge."""
+
+    def length(edge: Column) -> Column:
+        return F.hypot(edge["b"]["x"] - edge["a"]["x"], edge["b"]["y"] - edge["a"]["y"])
+
+    shortest = F.array_min(F.filter(F.transform(edges(vertices), length), lambda n: n > 0))
+    return F.coalesce(F.lit(slack) / shortest, F.lit(0.0))
+
+
 def pair_with_polygons(
-    points: DataFrame, polygons: DataFrame, condition: Column, cell: float = 100.0, margin: float = 0.0,
+    points: DataFrame, polygons: DataFrame, condition: Column, cell: float = 100.0, margin: Column | float = 0.0,
     limit: int = REPLICATE_LIMIT,
 ) -> DataFrame:
     """Points (x, y, …) with the polygons (name, vertices) for which `condition` holds.
 
-    Few polygons are sent to every executor. Many are joined by grid cell: a
-    polygon is listed in all cells its box, widened by `margin`, touches, and a
-    point looks in its own cell only.
+    Joined by grid cell: a polygon is listed in all cells its box, widened by
+    `margin`, touches, and a point looks in its own cell only. A short list is
+    sent to every executor, so that the points do not move.
     """
-    if at_most(polygons, limit):
-        return points.join(F.broadcast(polygons), condition)
+    margin = F.lit(margin) if isinstance(margin, float) else margin
 
     def spanned(axis: str) -> Column:
         values = F.transform("vertices", lambda v: v[axis])
-        low, high = F.array_min(values) - margin, F.array_max(values) + margin
-        return F.sequence(F.floor(low / cell), F.floor(high / cell))
+        return F.sequence(F.floor((F.array_min(values) - margin) / cell), F.floor((F.array_max(values) + margin) / cell))
 
-    listed = polygons.withColumn("__cx", F.explode(spanned("x"))).withColumn("__cy", F.explode(spanned("y")))
+    drawn = polygons.where(F.size("vertices") > 0)
+    listed = drawn.withColumn("__cx", F.explode(spanned("x"))).withColumn("__cy", F.explode(spanned("y")))
     placed = points.withColumn("__cx", F.floor(F.col("x") / cell)).withColumn("__cy", F.floor(F.col("y") / cell))
-    return placed.join(listed, ["__cx", "__cy"]).where(condition).drop("__cx", "__cy")
+    joined = placed.join(replicated_if_small(listed, limit), ["__cx", "__cy"])
+    return joined.where(condition).drop("__cx", "__cy")

@@ -19,7 +19,7 @@ def count_words(batch, params):
     split = batch["text"].str.split(" ", regex=False)
     batch["words"] = split.str.len().astype("int64")
     batch["distinct"] = split.map(lambda words: len(set(words))).astype("int64")
-    return batch[["chunk", "source", "words", "distinct"]]
+    return batch[["doc_id", "source", "n_chars", "words", "distinct"]]
 
 
 @query("pipe_search", """
@@ -28,12 +28,17 @@ SELECT source, count(*) AS n, CAST(count(DISTINCT chunk) AS BIGINT) AS chunks, r
          CAST(len(list_distinct(string_split(text, ' '))) AS DOUBLE) / len(string_split(text, ' ')) AS ratio FROM documents)
 WHERE ratio >= 0.5 GROUP BY 1""")
 def pipe_search(spark, d):
-    """Split into chunks, score each document, keep the good ones, and report per source."""
+    """Split into chunks, score each document, keep the good ones, and report per source.
+
+    A document's score does not depend on its chunk, so the texts are scored
+    where they are read and only the narrow scores are ordered and numbered.
+    """
     documents = load(spark, d, "documents").select("doc_id", "text", "source", "n_chars")
     found = (
         Flow(documents)
+        .run(count_words, "doc_id bigint, source string, n_chars bigint, words bigint, distinct bigint")
+        .transform(lambda scores: materialize(scores, "scores"))
         .split(["doc_id"], 100_000, "n_chars")
-        .run(count_words, "chunk bigint, source string, words bigint, distinct bigint")
         .result()
     )
     ratio = F.col("distinct") / F.col("words")

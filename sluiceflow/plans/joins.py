@@ -167,10 +167,11 @@ POINTS = "point AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS x, p_retailprice
 
 
 def outlines(spark):
-    return spark.createDataFrame(
-        [(name, [{"x": x, "y": y} for x, y in ring]) for name, ring in OUTLINES.items()],
-        "name string, vertices array<struct<x double, y double>>",
-    )
+    """The example outlines as a table; a corner list is a constant of the plan."""
+    corners = [(name, i, x, y) for name, ring in OUTLINES.items() for i, (x, y) in enumerate(ring)]
+    table = small_table(spark, corners, "name string, i int, x double, y double")
+    ring = F.sort_array(F.collect_list(F.struct("i", "x", "y")))
+    return table.groupBy("name").agg(F.transform(ring, lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("vertices"))
 
 
 def points(spark, d):
@@ -192,7 +193,8 @@ SELECT DISTINCT name, p_partkey FROM point CROSS JOIN edge WHERE (x = x1 AND y =
   AND (x - x1) * (x2 - x1) + (y - y1) * (y2 - y1) BETWEEN 0 AND (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))""")
 def near_border(spark, d):
     hit = poly.near_edge(F.col("vertices"), F.col("x"), F.col("y"))
-    return poly.pair_with_polygons(points(spark, d), outlines(spark), hit).select("name", "p_partkey")
+    near = poly.pair_with_polygons(points(spark, d), outlines(spark), hit, margin=poly.reach(F.col("vertices")))
+    return near.select("name", "p_partkey")
 
 
 @query("compare_runs", """

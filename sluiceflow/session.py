@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,12 @@ from pyspark.sql import functions as F
 # counts the table first and takes a shuffled join when there are more rows.
 REPLICATE_LIMIT = 10_000
 
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+PARTITION_BYTES = 128 * 1024 * 1024
+MAX_PARTITIONS = 50_000
+# Spark gives sources of unknown size the largest number there is.
+UNKNOWN_BYTES = 2**62
+
 
 def build_session(app: str = "sluiceflow", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are planned for.
@@ -64,6 +72,34 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Size of the files and tables a plan reads, where Spark knows it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(size for size in sizes if size < UNKNOWN_BYTES)
+
+
+@contextmanager
+def sized_shuffles(df: DataFrame) -> Iterator[None]:
+    """Let shuffles start with partitions in proportion to the input.
+
+    `spark.sql.shuffle.partitions` does not grow with the data. Adaptive
+    execution joins small partitions again, so starting with many is safe.
+    """
+    spark = df.sparkSession
+    key = INITIAL_PARTITIONS if spark.conf.get(INITIAL_PARTITIONS, None) else "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    wanted = min(input_bytes(df) // PARTITION_BYTES, MAX_PARTITIONS)
+    if wanted <= int(before):
+        yield
+        return
+    spark.conf.set(key, wanted)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write `df` once to shared storage and continue from the written table.
 
@@ -72,7 +108,8 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     files outlive lost executors.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with sized_shuffles(df):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -284,3 +284,36 @@ def test_deadline(spark):
     df = spark.createDataFrame([(1, 0), (1, 200), (1, 50), (0, 50)], "again int, execute int")
     kept = verbs.before_deadline(df, F.col("again"), F.col("execute"), F.lit(100)).collect()
     assert [(r.again, r.execute) for r in kept] == [(1, 0), (1, 200), (0, 50)]
+
+
+def near(ring, x, y):
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+        dx, dy = bx - ax, by - ay
+        cross, dot = (y - ay) * dx - (x - ax) * dy, (x - ax) * dx + (y - ay) * dy
+        if (x, y) in ((ax, ay), (bx, by)) or (abs(cross) <= 10 and 0 <= dot <= dx * dx + dy * dy):
+            return True
+    return False
+
+
+def test_points_near_edges_across_cells(spark):
+    rings = {"wide": [(10.0, 10.0), (200.0, 15.0), (90.0, 180.0)], "tiny": [(50.0, 50.0), (50.5, 50.0), (50.2, 50.7)]}
+    spots = [(i, RANDOM.uniform(0, 250), RANDOM.uniform(0, 250)) for i in range(400)]
+    spots += [(1000 + i, 50.2 + i, 50.1 + i / 3) for i in range(30)] + [(2000, 10.0, 10.0)]
+    shapes = spark.createDataFrame([(n, [{"x": x, "y": y} for x, y in r]) for n, r in rings.items()], "name string, vertices array<struct<x double, y double>>")
+    points = spark.createDataFrame(spots, "id bigint, x double, y double")
+    hit = polygons.near_edge(F.col("vertices"), F.col("x"), F.col("y"))
+    found = polygons.pair_with_polygons(points, shapes, hit, cell=20.0, margin=polygons.reach(F.col("vertices")))
+    rows = [(r.id, r.name) for r in found.collect()]
+    assert len(rows) == len(set(rows))
+    assert set(rows) == {(i, n) for i, x, y in spots for n, r in rings.items() if near(r, x, y)}
+
+
+def test_shuffles_grow_with_the_input(spark, tmp_path, monkeypatch):
+    from sluiceflow import session
+
+    spark.range(200_000).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(session, "PARTITION_BYTES", max(1, session.input_bytes(df) // 40))
+    with session.sized_shuffles(df):
+        assert df.repartitionByRange("id").rdd.getNumPartitions() >= 39
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
