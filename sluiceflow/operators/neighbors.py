@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from sluiceflow.session import at_most, materialize
 
-MAX_PIVOTS = 256
+MAX_PIVOTS = 2048
+# Numbers the driver may hold while bounding the cells: pivots² × (k + 1).
+BOUND_VALUES = 50_000_000
 BLOCK_ROWS = 4096
 SEND_ALL_VALUES = 4_000_000
 _TILE = 2_000_000
@@ -109,7 +111,14 @@ def _by_cells(
     test: DataFrame, train: DataFrame, k: int, skip_same: bool, pivots: int | None, block: int
 ) -> DataFrame:
     wanted = k + 1 if skip_same else k
-    count = pivots or min(MAX_PIVOTS, max(1, int(train.count() ** 0.5)))
+    # Of equal vectors only the smallest ids can be among the nearest. However
+    # many copies there are, each task sends on no more than `wanted` of them.
+    copies = Window.partitionBy("vec").orderBy("id")
+    train = materialize(
+        train.withColumn("__copy", F.row_number().over(copies)).where(F.col("__copy") <= wanted).drop("__copy"), "train"
+    )
+    ceiling = min(MAX_PIVOTS, int((BOUND_VALUES / (wanted + 1)) ** 0.5))
+    count = pivots or min(ceiling, max(1, int(train.count() ** 0.5)))
     chosen = train.orderBy(F.xxhash64("id"), "id").limit(count).select("vec").toPandas()
     centres = matrix(chosen["vec"])
 

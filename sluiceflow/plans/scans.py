@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,6 +142,29 @@ def scan_vector_bytes(spark, d):
     return found.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(vec_id).alias("ids"), F.sum(F.size("features")).alias("values"))
 
 
+@query("scan_image", """
+SELECT label AS g, count(*) AS n, CAST(sum(x) AS BIGINT) AS x, CAST(sum(r) AS BIGINT) AS r, max(y) AS y FROM (
+  SELECT label, CAST(vec_id % 256 AS INTEGER) AS y, unnest(range(len(embedding))) AS x,
+         unnest(list_transform(embedding, lambda v: CAST(floor((CAST(v AS DOUBLE) + 1) * 100) AS INTEGER))) AS r FROM embeddings) GROUP BY 1""")
+def scan_image(spark, d):
+    """Vectors drawn as images, 256 to an image and one to a row, and read back pixel by pixel."""
+    def draw(key, rows):
+        ordered = rows.sort_values("y")
+        red = np.floor((np.vstack(ordered["embedding"].to_numpy()).astype("float64") + 1) * 100).astype("uint8")
+        planes = np.zeros((*red.shape, 3), dtype="uint8")
+        planes[:, :, 0], planes[:, :, 1] = red, ordered["label"].to_numpy()[:, None]
+        return pd.DataFrame({"block": [key[0]], "image": [records.png(planes)]})
+
+    path = scratch_path(spark, "images")
+    table = load(spark, d, "embeddings").select(F.expr("vec_id div 256").alias("block"), (F.col("vec_id") % 256).alias("y"), "embedding", "label")
+    images = table.groupBy("block").applyInPandas(draw, "block bigint, image binary")
+    # One row per folder, so one image per file.
+    images.select("block", F.col("image").cast("string").alias("value")).write.partitionBy("block").text(path)
+    return records.read_image(spark, path).groupBy("g").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"), F.sum("r").alias("r"), F.max("y").alias("y")
+    )
+
+
 def neighbor_file(spark, d) -> str:
     near = neighbours(spark, d).join(vectors(spark, d).select(F.col("id").alias("train_id"), "cls"), "train_id")
     point = F.concat_ws(" ", F.col("test_id") % 25, F.expr("test_id div 25"))

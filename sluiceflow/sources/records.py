@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -192,6 +194,18 @@ def read_image(spark: SparkSession, path: str) -> DataFrame:
     return fields.withColumnRenamed("nChannels", "channels").mapInPandas(explode, "path string, x int, y int, r int, g int, b int")
 
 
+def png(planes: np.ndarray) -> bytes:
+    """An image file of (height, width, 3) bytes."""
+    height, width, _ = planes.shape
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    head = chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0))
+    rows = np.hstack([np.zeros((height, 1), dtype=np.uint8), planes.reshape(height, width * 3)])
+    return b"\x89PNG\r\n\x1a\n" + head + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+
+
 def list_objects(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, modified) of all files below a folder; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

@@ -17,8 +17,11 @@ from pyspark.sql.types import StructType
 
 from sluiceflow.session import scratch_path
 
-STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# State beyond executor memory, and sessions merged in each task before they are shuffled.
+STREAM_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+}
 
 
 def arrivals(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -30,24 +33,23 @@ def arrivals(spark: SparkSession, folder: str, schema: StructType, pattern: str
 
 
 @contextmanager
-def state_on_disk(spark: SparkSession) -> Iterator[None]:
-    """State beyond executor memory: RocksDB for the queries started inside."""
-    before = spark.conf.get(STATE_PROVIDER, None)
-    spark.conf.set(STATE_PROVIDER, ROCKSDB)
+def stream_settings(spark: SparkSession) -> Iterator[None]:
+    """The settings above, for the queries started inside."""
+    before = {key: spark.conf.get(key, None) for key in STREAM_SETTINGS}
+    for key, value in STREAM_SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(STATE_PROVIDER)
-        else:
-            spark.conf.set(STATE_PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def drain(stream: DataFrame, label: str = "stream") -> DataFrame:
     """Process what has arrived, in checkpointed batches, and return the written result."""
     spark = stream.sparkSession
     path, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
-    with state_on_disk(spark):
+    with stream_settings(spark):
         writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
         writer.format("parquet").option("path", path).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
@@ -56,7 +58,7 @@ def drain(stream: DataFrame, label: str = "stream") -> DataFrame:
 def drain_each(stream: DataFrame, handle: Callable[[DataFrame, int], None], label: str = "stream") -> None:
     """Process what has arrived, giving every batch and its number to `handle`."""
     spark = stream.sparkSession
-    with state_on_disk(spark):
+    with stream_settings(spark):
         writer = stream.writeStream.option("checkpointLocation", scratch_path(spark, f"{label}-checkpoint"))
         writer.foreachBatch(handle).trigger(availableNow=True).start().awaitTermination()
 

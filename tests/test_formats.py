@@ -1,8 +1,6 @@
 """Literal files in, exact records out; small splits force records across boundaries."""
 
-import struct
-import zlib
-
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,17 +176,9 @@ def test_scored_tables(spark, put):
     assert formats.read(spark, "confidence", folder, "q-value").where("`q-value` <= 0.01").count() == 2
 
 
-def png(width, height, pixel):
-    def chunk(kind, data):
-        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-
-    raw = b"".join(b"\0" + b"".join(bytes(pixel(x, y)) for x in range(width)) for y in range(height))
-    head = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
-
-
 def test_image(spark, put):
-    folder = put("a.png", png(3, 2, lambda x, y: (x, y, 10 * x + y)))
+    planes = np.array([[(x, y, 10 * x + y) for x in range(3)] for y in range(2)], dtype="uint8")
+    folder = put("a.png", records.png(planes))
     rows = sorted(values(records.read_image(spark, folder), "x", "y", "r", "g", "b"))
     assert rows == sorted((x, y, x, y, 10 * x + y) for x in range(3) for y in range(2))
 

@@ -132,6 +132,18 @@ def test_overlaps_match_brute_force(spark):
         assert [(r.l, r.r, r.score) for r in rows] == expected[:number]
 
 
+def test_overlaps_of_many_copies(spark):
+    left = {i: ["a", "b", "c"] if i % 3 else [f"x{i}", "a"] for i in range(60)}
+    right = {i: ["b", "c", "d"] if i % 3 else [f"x{i}", "a", "z"] for i in range(90)}
+    pairs = [(-len(set(a) & set(b)), i, j) for (i, a), (j, b) in itertools.product(left.items(), right.items())]
+    expected = [(i, j, -s) for s, i, j in sorted(p for p in pairs if p[0] < 0)]
+    a = spark.createDataFrame(list(left.items()), "l bigint, words array<string>")
+    b = spark.createDataFrame(list(right.items()), "r bigint, words array<string>")
+    for number in (3, 70, 500, 100_000):
+        rows = top_overlaps(a, b, "l", "r", number).collect()
+        assert [(r.l, r.r, r.score) for r in rows] == expected[:number]
+
+
 def test_overlap_without_common_words(spark):
     a = spark.createDataFrame([(1, ["x"])], "l bigint, words array<string>")
     b = spark.createDataFrame([(1, ["y"])], "r bigint, words array<string>")
