@@ -17,6 +17,8 @@ from sluiceflow.operators.verbs import replicated_if_small, top
 from sluiceflow.session import materialize
 
 SEEDS = 32
+# Largest vocabulary, in words, that is copied to every executor.
+WORD_LIMIT = 200_000
 
 
 def _weighted(words: DataFrame, key: str, frequency: DataFrame) -> DataFrame:
@@ -48,12 +50,12 @@ def top_overlaps(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     # The long side is cut into words once; only words the other side has are kept.
     b = materialize(
         right.select(right_key, F.explode("words").alias("word"))
-        .join(replicated_if_small(known.select("word"), 200_000), "word", "left_semi"),
+        .join(replicated_if_small(known.select("word"), WORD_LIMIT), "word", "left_semi"),
         "words",
     )
     counted = b.groupBy("word").agg(F.count(F.lit(1)).alias("nb")).join(known, "word")
-    frequency = materialize(counted.select("word", (F.col("na") * F.col("nb")).alias("freq")), "frequency")
-    small = replicated_if_small(frequency, 200_000)
+    frequency = counted.select("word", (F.col("na") * F.col("nb")).alias("freq"))
+    small = replicated_if_small(frequency, WORD_LIMIT, settle=True)
     a_sets = materialize(_distinct_sets(_weighted(a, left_key, small), left_key, number), "left")
     b_sets = materialize(_distinct_sets(_weighted(b, right_key, small), right_key, number), "right")
 

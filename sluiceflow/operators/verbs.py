@@ -11,13 +11,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluiceflow.operators.ordered import numbered, running_total
-from sluiceflow.session import REPLICATE_LIMIT, at_most
+from sluiceflow.session import REPLICATE_LIMIT, at_most, materialize
 
 KEY_BLOCK = 500
 
 
-def replicated_if_small(df: DataFrame, limit: int = REPLICATE_LIMIT) -> DataFrame:
-    """Mark `df` for broadcast when a count shows it is small; else leave it to a shuffled join."""
+def replicated_if_small(df: DataFrame, limit: int = REPLICATE_LIMIT, settle: bool = False) -> DataFrame:
+    """Mark `df` for broadcast when a count shows it is small; else leave it to a shuffled join.
+
+    With `settle` a table that is costly to compute is written first, so that
+    counting it does not compute it a second time.
+    """
+    if settle:
+        df = materialize(df, "settled")
     return F.broadcast(df) if at_most(df, limit) else df
 
 
@@ -57,7 +63,7 @@ def route(rules: Sequence[tuple[Column, str]], otherwise: str) -> Column:
 
 
 def exclude(df: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
-    return df.join(replicated_if_small(listed.select(*keys).distinct()), keys, "left_anti")
+    return df.join(replicated_if_small(listed.select(*keys).distinct(), settle=True), keys, "left_anti")
 
 
 def top(df: DataFrame, number: int, score: str | Column, *ties: str | Column) -> DataFrame:

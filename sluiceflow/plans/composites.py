@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sluiceflow.flow import Flow
@@ -71,12 +72,10 @@ def pipe_identify(spark, d):
     documents = spread(load(spark, d, "documents").select("doc_id", "lang", "text"), "doc_id")
     tokens = documents.select("doc_id", "lang", F.explode(fn.words(F.col("text"))).alias("word"))
     counts = tokens.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    # A struct sorts by count, then word; the window keeps 50 rows per language in each task.
-    from pyspark.sql import Window
-
+    # The window keeps 50 rows per language in each task before the shuffle.
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     panel = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PANEL_WORDS)
-    panel = op.replicated_if_small(materialize(panel.select(F.col("lang").alias("species"), "word"), "panel"))
+    panel = op.replicated_if_small(panel.select(F.col("lang").alias("species"), "word"), settle=True)
     scores = tokens.join(panel, "word").groupBy("doc_id", "species").agg(F.count(F.lit(1)).alias("overlap"))
     best = op.match_within(scores, ["doc_id"], "species", "overlap")
     answered = documents.select("doc_id", "lang").join(best, "doc_id", "left")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from sluiceflow.operators import grids, neighbors as knn, polygons as poly, verbs as op
+from sluiceflow.operators.sorting import bin_column
 from sluiceflow.plans.catalog import query
 from sluiceflow.plans.views import GRID, PRICES, SECOND, TASKLOG, grid, tasklog
 from sluiceflow.functions import costs
@@ -29,7 +31,7 @@ CROSS JOIN (SELECT item_id // 10 AS train, count(*) AS n_train FROM benchmark GR
 def pair_blocks(spark, d):
     tests = load(spark, d, "documents").groupBy(F.expr("doc_id div 50").alias("test")).agg(F.count(F.lit(1)).alias("n_test"))
     trains = load(spark, d, "benchmark").groupBy(F.expr("item_id div 10").alias("train")).agg(F.count(F.lit(1)).alias("n_train"))
-    return op.fan_out(tests, trains, ["train"])
+    return op.fan_out(tests, materialize(trains, "trains"), ["train"])
 
 
 K = 5
@@ -82,8 +84,6 @@ SELECT o_custkey, o_orderkey, o_totalprice, rank FROM (
   FROM orders) WHERE rank <= 5""")
 def topk_per_group(spark, d):
     """The window keeps 5 rows per key in each task before the shuffle, so a hot key sends few rows."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")
     orders = load(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     return orders.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 5)
@@ -144,8 +144,6 @@ SELECT CAST(b.i AS INTEGER) AS bin, count(*) AS n, min(l_extendedprice) AS low,
 FROM lineitem JOIN (SELECT unnest(range(12)) AS i) b ON b.i * 10000 <= l_extendedprice AND l_extendedprice < (b.i + 1) * 10000 GROUP BY 1""")
 def range_bin(spark, d):
     """Half-open ranges given as a sorted list of boundaries."""
-    from sluiceflow.operators.sorting import bin_column
-
     price = F.col("l_extendedprice")
     bins = bin_column(price, [10_000.0 * i for i in range(13)])
     return (
@@ -317,5 +315,5 @@ def apply_match(spark, d):
     lines = load(spark, d, "lineitem").select("l_returnflag", "l_suppkey", "l_quantity", "l_discount")
     scores = lines.groupBy("l_returnflag", "l_suppkey").agg(F.count_if(F.col("l_discount") <= 0.01).alias("score"))
     best = op.match_within(scores, ["l_returnflag"], "l_suppkey", "score").drop("score")
-    kept = lines.join(op.replicated_if_small(best), ["l_returnflag", "l_suppkey"])
+    kept = lines.join(op.replicated_if_small(best, settle=True), ["l_returnflag", "l_suppkey"])
     return kept.groupBy("l_returnflag", "l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
