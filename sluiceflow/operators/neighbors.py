@@ -118,7 +118,9 @@ def _by_cells(
         train.withColumn("__copy", F.row_number().over(copies)).where(F.col("__copy") <= wanted).drop("__copy"), "train"
     )
     ceiling = min(MAX_PIVOTS, int((BOUND_VALUES / (wanted + 1)) ** 0.5))
-    count = pivots or min(ceiling, max(1, int(train.count() ** 0.5)))
+    # No more cells than blocks of test vectors: where the bounds cut little off,
+    # a training vector is then sent no further than in a plain block join.
+    count = pivots or min(ceiling, -(-test.count() // block) + 1, train.count())
     chosen = train.orderBy(F.xxhash64("id"), "id").limit(count).select("vec").toPandas()
     centres = matrix(chosen["vec"])
 
