@@ -34,9 +34,15 @@ def arrivals(spark: SparkSession, folder: str, schema: StructType, pattern: str
 
 @contextmanager
 def stream_settings(spark: SparkSession) -> Iterator[None]:
-    """The settings above, for the queries started inside."""
-    before = {key: spark.conf.get(key, None) for key in STREAM_SETTINGS}
-    for key, value in STREAM_SETTINGS.items():
+    """The settings above, for the queries started inside.
+
+    State is kept in one partition per core: every batch opens all of them, and
+    their number stays as it was when the query first started.
+    """
+    cores = str(spark.sparkContext.defaultParallelism)
+    wanted = {**STREAM_SETTINGS, "spark.sql.shuffle.partitions": cores}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
         spark.conf.set(key, value)
     try:
         yield
