@@ -37,10 +37,11 @@ def _distinct_sets(rows: DataFrame, key: str, number: int) -> DataFrame:
     Pairs of copies all score the same and are ranked by their keys, so further
     copies cannot be among the best; each task drops them before the shuffle.
     """
-    copies = Window.partitionBy("words").orderBy(key)
-    kept = rows.withColumn("__copy", F.row_number().over(copies)).where(F.col("__copy") <= number)
-    ids = F.sort_array(F.collect_list(key))
-    return kept.groupBy("words").agg(ids.alias("ids")).select(F.element_at("ids", 1).alias("first"), "words", "ids")
+    digested = rows.withColumn("__set", F.sha2(F.to_json("words"), 256))
+    copies = Window.partitionBy("__set").orderBy(key)
+    kept = digested.withColumn("__copy", F.row_number().over(copies)).where(F.col("__copy") <= number)
+    sets = kept.groupBy("__set").agg(F.sort_array(F.collect_list(key)).alias("ids"), F.min_by("words", key).alias("words"))
+    return sets.select(F.element_at("ids", 1).alias("first"), "words", "ids")
 
 
 def top_overlaps(left: DataFrame, right: DataFrame, left_key: str, right_key: str, number: int) -> DataFrame:
