@@ -6,16 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluiceflow.llm import decontaminate, packed
-from sluiceflow.session import load
+from sluiceflow.llm import chat, decontaminate, media, packed, url_rules
+from sluiceflow.llm.common import keep
+from sluiceflow.session import load, small_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_media(spark: SparkSession, directory: str) -> DataFrame:
+    return media.features(keep(media.store(load(spark, directory, "documents")), "media", rows=500))
+
+
 def op4_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     return decontaminate.contamination(load(spark, directory, "documents"), load(spark, directory, "benchmark"))
 
 
+RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op6_url_rules(spark: SparkSession, directory: str) -> DataFrame:
+    rules = small_table(spark, RULES, "host string, path string, action string")
+    return url_rules.judge(load(spark, directory, "pages"), rules)
+
+
+SAMPLE_TURN = "</s>[INST] ok [/INST]"
+
+
+def op7_chat_windows(spark: SparkSession, directory: str) -> DataFrame:
+    sample = small_table(
+        spark, [(-1, 0, "user", SAMPLE_TURN), (-1, 1, "assistant", SAMPLE_TURN)], "conv_id long, turn long, role string, text string",
+    )
+    turns = load(spark, directory, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(keep(chat.windows(turns.unionByName(sample)), "chat-windows"))
+
+
 def op8_token_matrices(spark: SparkSession, directory: str) -> DataFrame:
     return packed.pack_ids(load(spark, directory, "documents"))
 
@@ -25,7 +52,9 @@ def op9_grouped_packing(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op4_decontamination, op8_token_matrices, op9_grouped_packing)
+    f.__name__: f for f in (
+        op1_media, op4_decontamination, op6_url_rules, op7_chat_windows, op8_token_matrices, op9_grouped_packing,
+    )
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -53,4 +82,58 @@ SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN hits USING (nr) LEFT JOIN names USING (nr)"""
 
-ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL}
+OP6_SQL = """
+WITH rules(host, path, action) AS (VALUES """ + ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in RULES) + f"""),
+page AS (
+  SELECT row_number() OVER () AS nr, page_id,
+         {_LOWER.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1)")} AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages),
+ranked AS (
+  SELECT p.nr, r.host || r.path AS rule, r.action,
+         row_number() OVER (PARTITION BY p.nr ORDER BY length(r.host || r.path) DESC, length(r.host) DESC, r.action DESC) AS k
+  FROM page p JOIN rules r
+    ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict
+FROM page LEFT JOIN (SELECT * FROM ranked WHERE k = 1) USING (nr)"""
+
+_ESCAPED = r"regexp_replace(replace({}, '\', '\\'), '([<\[])(\||/?s>|/?INST\])', '\1\\\2', 'g')"
+_SPACED = r"[^ \t\n\x0b\f\r]+"
+
+OP7_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{SAMPLE_TURN}'), (-1, 1, 'assistant', '{SAMPLE_TURN}')),
+escaped AS (
+  SELECT *, {chat.TURN_TOKENS} + len(regexp_extract_all(text, '{_SPACED}')) AS size,
+         {len(chat.TURN) + len(chat.TEXT) + len(chat.END)}
+         + length({_ESCAPED.format('role')})
+         + length({_ESCAPED.format('text')}) AS chars
+  FROM turns),
+counted AS (
+  SELECT *, row_number() OVER w AS nr, sum(size) OVER w AS upto, first(CASE WHEN role = 'system' THEN size END) OVER w AS sys,
+         first(CASE WHEN role = 'system' THEN chars END) OVER w AS sys_chars
+  FROM escaped WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+placed AS (
+  SELECT *, upto - size - coalesce(sys, 0) AS before, upto - coalesce(sys, 0) - 1 AS last,
+         greatest({chat.BUDGET - chat.HISTORY_TOKENS} - coalesce(sys, 0), 1) AS cell, nr = 1 AND sys IS NOT NULL AS heading
+  FROM counted),
+spanned AS (
+  SELECT *, CASE WHEN NOT heading THEN 2 * (before // cell) + (last // cell > before // cell)::INT END AS span FROM placed),
+begun AS (
+  SELECT *, NOT heading AND lag(span) OVER w IS DISTINCT FROM span AS begins
+  FROM spanned WINDOW w AS (PARTITION BY conv_id ORDER BY nr)),
+repeated AS (
+  SELECT b.conv_id, sum(h.chars) AS chars FROM begun b JOIN begun h
+    ON h.conv_id IS NOT DISTINCT FROM b.conv_id AND h.nr BETWEEN b.nr - {chat.HISTORY_TURNS} AND b.nr - 1
+   AND NOT h.heading AND b.before - h.before <= {chat.HISTORY_TOKENS}
+  WHERE b.begins GROUP BY b.conv_id)
+SELECT b.conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nr)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY nr) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(b.chars) + coalesce(sum(sys_chars) FILTER (WHERE begins AND nr > 2), 0) + coalesce(any_value(r.chars), 0) AS BIGINT)
+         AS formatted_chars
+FROM begun b LEFT JOIN repeated r ON r.conv_id IS NOT DISTINCT FROM b.conv_id GROUP BY b.conv_id"""
+
+ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL, "op6_url_rules": OP6_SQL, "op7_chat_windows": OP7_SQL}
