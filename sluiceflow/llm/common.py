@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from sluiceflow.session import scratch_path, sized_shuffles
 
@@ -46,3 +47,11 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def extended(df: DataFrame, **more: str) -> StructType:
+    """The schema of `df` with columns added; `df.schema` itself is kept by the frame and must not change."""
+    schema = StructType(list(df.schema.fields))
+    for name, kind in more.items():
+        schema = schema.add(name, kind)
+    return schema

@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluiceflow.llm.common import fresh, keep
+from sluiceflow.llm.common import extended, fresh, keep
 
 WINDOW = 10
 # Item words in one automaton (some 300 bytes each). More items make more automata, which documents
@@ -281,8 +281,7 @@ def decontaminate(
                     changed[i] = new
             yield _replaced(batch, {text_col: changed} | ({length_col: {i: len(t) for i, t in changed.items()}} if length_col else {}), {lost: gone})
 
-    schema = df.schema.add(lost, "boolean")
-    return df.mapInArrow(scan, schema).where(~F.col(lost)).drop(lost)
+    return df.mapInArrow(scan, extended(df, **{lost: "boolean"})).where(~F.col(lost)).drop(lost)
 
 
 def _replaced(batch: pa.RecordBatch, changes: dict[str, dict[int, object]], more: dict[str, list]) -> pa.RecordBatch:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluiceflow.llm.common import extended
+
 Runs = list[tuple[int, int]]  # (length, how many), in order of place
 
 # Sizes to which long pieces are rounded; each is tried and the fewest sequences win.
@@ -256,7 +258,7 @@ def place(pieces: DataFrame, capacity: int, planner) -> DataFrame:
     ranked = pieces.join(firsts, ["part", "length"]).withColumn("rank", F.col("first") + F.col("nth")).drop("first", "nth", "part")
     spark = pieces.sparkSession
     shared = spark.sparkContext.broadcast(table)  # bounded by the capacity, see the module's head
-    schema = ranked.drop("rank").schema.add("sequence_id", "long").add("offset", "integer")
+    schema = extended(ranked.drop("rank"), sequence_id="long", offset="integer")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

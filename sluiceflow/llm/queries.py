@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluiceflow.llm import chat, decontaminate, media, packed, url_rules
+from sluiceflow.llm import chat, decontaminate, media, packed, simhash, sites, url_rules
 from sluiceflow.llm.common import keep
 from sluiceflow.session import load, small_table
 
@@ -17,6 +17,10 @@ def op1_media(spark: SparkSession, directory: str) -> DataFrame:
     return media.features(keep(media.store(load(spark, directory, "documents")), "media", rows=500))
 
 
+def op2_simhash(spark: SparkSession, directory: str) -> DataFrame:
+    return simhash.near_copies(load(spark, directory, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     return decontaminate.contamination(load(spark, directory, "documents"), load(spark, directory, "benchmark"))
 
@@ -51,9 +55,14 @@ def op9_grouped_packing(spark: SparkSession, directory: str) -> DataFrame:
     return packed.pack_grouped(load(spark, directory, "documents"))
 
 
+def op10_site_quality(spark: SparkSession, directory: str) -> DataFrame:
+    return sites.quality(load(spark, directory, "documents"), load(spark, directory, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        op1_media, op4_decontamination, op6_url_rules, op7_chat_windows, op8_token_matrices, op9_grouped_packing,
+        op1_media, op2_simhash, op4_decontamination, op6_url_rules, op7_chat_windows, op8_token_matrices,
+        op9_grouped_packing, op10_site_quality,
     )
 }
 
