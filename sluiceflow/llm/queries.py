@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluiceflow.llm import chat, decontaminate, media, packed, simhash, sites, url_rules
+from sluiceflow.llm import chat, decontaminate, findings, media, packed, simhash, sites, url_rules
 from sluiceflow.llm.common import keep
 from sluiceflow.session import load, small_table
 
@@ -21,6 +21,10 @@ def op2_simhash(spark: SparkSession, directory: str) -> DataFrame:
     return simhash.near_copies(load(spark, directory, "documents"))
 
 
+def op3_secrets(spark: SparkSession, directory: str) -> DataFrame:
+    return findings.scan(load(spark, directory, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     return decontaminate.contamination(load(spark, directory, "documents"), load(spark, directory, "benchmark"))
 
@@ -61,8 +65,8 @@ def op10_site_quality(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        op1_media, op2_simhash, op4_decontamination, op6_url_rules, op7_chat_windows, op8_token_matrices,
-        op9_grouped_packing, op10_site_quality,
+        op1_media, op2_simhash, op3_secrets, op4_decontamination, op6_url_rules, op7_chat_windows,
+        op8_token_matrices, op9_grouped_packing, op10_site_quality,
     )
 }
 
