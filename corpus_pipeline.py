@@ -1,25 +1,45 @@
-"""The corpus pipeline: reject, drop near copies, decontaminate, redact, pack."""
+"""The corpus pipeline: reject poor documents, drop near copies, cut out benchmark passages, redact secrets, pack.
+
+Every stage takes all rows that its predecessor kept and, but for the last,
+returns the columns of documents. Rows with nulls and repeated rows pass like
+others; the operators' docstrings say what each stage does with them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluiceflow.llm import decontaminate, packed
+from sluiceflow.llm import decontaminate, findings, packed, simhash, sites
 from sluiceflow.llm.common import keep
 from sluiceflow.session import load
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sites.keep_good(docs, load(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, load(spark, sf_dir, "benchmark"), length_col="n_chars")
 
 
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return findings.redact(docs, length_col="n_chars")
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed.pack_grouped(docs)
 
 
-STAGES = [("benchmark decontamination", decontamination), ("best-fit packing", packing)]
+STAGES = [
+    ("quality classifier", quality), ("SimHash near-dedup", near_dedup), ("benchmark decontamination", decontamination),
+    ("secret scans", secrets), ("best-fit packing", packing),
+]
 
-# Models, anchors and packing plans are beyond SQL; tests hold each stage against brute force.
+# A trained classifier, a forest and packing plans are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

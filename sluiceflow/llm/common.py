@@ -32,12 +32,15 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH
                 spark.conf.set(key, value)
 
 
-def keep(df: DataFrame, label: str, rows: int = BATCH_ROWS) -> DataFrame:
-    """Write `df` once to the shared folder and go on from the files, which outlive lost executors."""
+def keep(df: DataFrame, label: str, rows: int = BATCH_ROWS, per_file: int = 0) -> DataFrame:
+    """Write `df` once to the shared folder and go on from the files, which outlive lost executors.
+
+    `per_file` bounds the rows of a file, where rows are large.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     with sized_shuffles(df), small_batches(spark, rows):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", per_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

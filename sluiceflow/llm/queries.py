@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluiceflow.llm import chat, decontaminate, findings, media, packed, simhash, sites, url_rules
+from sluiceflow.llm import chat, decontaminate, findings, lm_scores, media, packed, simhash, sites, url_rules
 from sluiceflow.llm.common import keep
 from sluiceflow.session import load, small_table
 
@@ -29,6 +29,10 @@ def op4_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     return decontaminate.contamination(load(spark, directory, "documents"), load(spark, directory, "benchmark"))
 
 
+def op5_lm_scores(spark: SparkSession, directory: str) -> DataFrame:
+    return lm_scores.score(load(spark, directory, "documents"))
+
+
 RULES = [
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
@@ -65,8 +69,8 @@ def op10_site_quality(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        op1_media, op2_simhash, op3_secrets, op4_decontamination, op6_url_rules, op7_chat_windows,
-        op8_token_matrices, op9_grouped_packing, op10_site_quality,
+        op1_media, op2_simhash, op3_secrets, op4_decontamination, op5_lm_scores, op6_url_rules,
+        op7_chat_windows, op8_token_matrices, op9_grouped_packing, op10_site_quality,
     )
 }
 
