@@ -11,7 +11,7 @@ import os
 import time
 
 from sluiceflow.plans.catalog import all_queries
-from sluiceflow.session import build_session
+from sluiceflow.session import build_session, clear_scratch
 
 HEADLINE = [
     "pipe_knn_border", "pipe_pairs", "pipe_identify", "pipe_search", "pipe_sort_search", "pipe_cost_report",
@@ -25,7 +25,9 @@ HEADLINE = [
 def run(spark, query, directory: str) -> float:
     began = time.perf_counter()
     query(spark, directory).write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - began
+    took = time.perf_counter() - began
+    clear_scratch(spark)
+    return took
 
 
 def main() -> None:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sluiceflow.flow import Flow
 from sluiceflow.functions import text as fn
-from sluiceflow.operators import grids, polygons as poly, reports as rep, verbs as op
+from sluiceflow.operators import grids, polygons as poly, reports as rep
 from sluiceflow.operators.ordered import Ordered
 from sluiceflow.operators.overlap import top_overlaps
+from sluiceflow.operators.panels import best_panel, panels
 from sluiceflow.plans.catalog import query
 from sluiceflow.plans.verbs import ROUTE_CASE, route_column
 from sluiceflow.session import load, materialize, spread
@@ -57,6 +57,7 @@ def pipe_route(spark, d):
     return best.groupBy(route_column().alias("target")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# Words of a panel: a parameter of `panels`.
 PANEL_WORDS = 50
 WORDS = "token AS (SELECT DISTINCT doc_id, lang, word FROM (SELECT doc_id, lang, unnest(string_split(lower(text), ' ')) AS word FROM documents) WHERE word <> '')"
 
@@ -68,19 +69,14 @@ best AS (SELECT doc_id, species, overlap FROM (SELECT *, row_number() OVER (PART
 SELECT lang, count(*) FILTER (WHERE overlap >= 5 AND species = lang) AS correct, count(*) FILTER (WHERE overlap IS NULL OR overlap < 5) AS unknown,
        count(*) FILTER (WHERE overlap >= 5 AND species <> lang) AS wrong FROM documents LEFT JOIN best USING (doc_id) GROUP BY 1""")
 def pipe_identify(spark, d):
-    """Best word panel for every document: panels, route, score, match, and the tally of the answers."""
+    """Best word panel for every document: panels, score, match, and the tally of the answers.
+
+    A document meets the panels where it is read; only its answer goes on.
+    """
     documents = spread(load(spark, d, "documents").select("doc_id", "lang", "text"), "doc_id")
-    tokens = documents.select("doc_id", "lang", F.explode(fn.words(F.col("text"))).alias("word"))
-    counts = tokens.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    # The window keeps 50 rows per language in each task before the shuffle.
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    panel = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PANEL_WORDS)
-    panel = op.replicated_if_small(panel.select(F.col("lang").alias("species"), "word"), settle=True)
-    scores = tokens.join(panel, "word").groupBy("doc_id", "species").agg(F.count(F.lit(1)).alias("overlap"))
-    best = op.match_within(scores, ["doc_id"], "species", "overlap")
-    answered = documents.select("doc_id", "lang").join(best, "doc_id", "left")
-    known = F.coalesce(F.col("overlap"), F.lit(0)) >= 5
-    right = F.col("species") == F.col("lang")
+    tokens = documents.select("lang", F.explode(fn.words(F.col("text"))).alias("word"))
+    answered = best_panel(documents, fn.words(F.col("text")), panels(tokens, "lang", "word", PANEL_WORDS))
+    known, right = F.col("best.overlap") >= 5, F.col("best.species") == F.col("lang")
     return answered.groupBy("lang").agg(
         F.count_if(known & right).alias("correct"), F.count_if(~known).alias("unknown"), F.count_if(known & ~right).alias("wrong")
     )

@@ -41,10 +41,11 @@ def peak_concurrency(spark, d):
     return curves.concurrency(tasklog(spark, d)).agg(F.max("active").alias("peak"))
 
 
-@query("vcpu_curve", f"WITH {PRICED}, {_curve_sql('priced', weight='memory * 2.0 / 3008')} SELECT t, round(active, 6) + 0.0 AS active FROM curve".replace("memory * 2.0 / 3008", "CAST(memory AS DOUBLE) * 2 / 3008"))
+@query("vcpu_curve", f"WITH {PRICED}, {_curve_sql('priced', weight='CAST(memory AS BIGINT)')} SELECT t, round(CAST(active AS DOUBLE) * 2 / 3008, 6) AS active FROM curve")
 def vcpu_curve(spark, d):
-    curve = curves.concurrency(priced(spark, d), weight=costs.virtual_cpus(F.col("memory")))
-    return curve.select("t", (F.round("active", 6) + 0.0).alias("active"))
+    """Whole megabytes are summed, so the running total is exact; only the result is scaled."""
+    curve = curves.concurrency(priced(spark, d), weight=F.col("memory").cast("bigint"))
+    return curve.select("t", F.round(costs.virtual_cpus(F.col("active")), 6).alias("active"))
 
 
 @query("stage_concurrency", f"{BY_STAGE} SELECT stage, t, CAST(active AS BIGINT) AS active FROM curve")

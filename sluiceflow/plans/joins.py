@@ -140,14 +140,15 @@ def left_miss(spark, d):
 
 
 @query("range_bin", """
-SELECT CAST(b.i AS INTEGER) AS bin, count(*) AS n, min(l_extendedprice) AS low, max(l_extendedprice) AS high
-FROM lineitem JOIN (SELECT unnest(range(12)) AS i) b ON b.i * 10000 <= l_extendedprice AND l_extendedprice < (b.i + 1) * 10000 GROUP BY 1""")
+WITH cut AS (SELECT unnest([10000.0 * i FOR i IN range(1, 12)]) AS edge)
+SELECT CAST((SELECT count(*) FROM cut WHERE edge <= l_extendedprice) AS INTEGER) AS bin, count(*) AS n, min(l_extendedprice) AS low, max(l_extendedprice) AS high
+FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY 1""")
 def range_bin(spark, d):
-    """Half-open ranges given as a sorted list of boundaries."""
+    """Half-open ranges given as a sorted list of boundaries; the first and the last range are open to their side."""
     price = F.col("l_extendedprice")
-    bins = bin_column(price, [10_000.0 * i for i in range(13)])
+    bins = bin_column(price, [float("-inf"), *[10_000.0 * i for i in range(1, 12)], float("inf")])
     return (
-        load(spark, d, "lineitem").select(price, (bins - 1).alias("bin")).where(F.col("bin").isNotNull())
+        load(spark, d, "lineitem").select(price, (bins - 1).alias("bin")).where(price.isNotNull())
         .groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min(price).alias("low"), F.max(price).alias("high"))
     )
 
@@ -217,17 +218,18 @@ def compare_runs(spark, d):
 
 
 @query("missing_keys", f"""
-WITH p AS (SELECT DISTINCT user_id, CASE WHEN {DAY_OF_MONTH} <= 10 THEN 1 WHEN {DAY_OF_MONTH} <= 20 THEN 2 ELSE 3 END AS part
-           FROM events WHERE event_type = 'signup')
+WITH span AS (SELECT min(epoch_us(ts)) AS low, max(epoch_us(ts)) - min(epoch_us(ts)) + 1 AS width FROM events),
+p AS (SELECT DISTINCT user_id, 1 + 3 * (epoch_us(ts) - low) // width AS part FROM events, span WHERE event_type = 'signup')
 SELECT user_id, CASE WHEN user_id NOT IN (SELECT user_id FROM p WHERE part = 2) THEN 'second' ELSE 'third' END AS absent_in
 FROM p WHERE part = 1 AND (user_id NOT IN (SELECT user_id FROM p WHERE part = 2) OR user_id NOT IN (SELECT user_id FROM p WHERE part = 3))""")
 def missing_keys(spark, d):
-    """Users of the first run that a larger run lost; the second run is looked at first."""
-    day = F.dayofmonth("ts")
-    seen = load(spark, d, "events").where("event_type = 'signup'").groupBy("user_id").agg(
-        F.bool_or(day <= 10).alias("first"),
-        F.bool_or((day > 10) & (day <= 20)).alias("second"),
-        F.bool_or(day > 20).alias("third"),
+    """Users of the first run, a third of the time seen, that a later run lost; the second run is looked at first."""
+    events = load(spark, d, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(at), F.max(at)).first()
+    part = F.expr(f"1 + 3 * (unix_micros(CAST(ts AS timestamp)) - {low or 0}L) div {(high or 0) - (low or 0) + 1}L")
+    seen = events.where("event_type = 'signup'").groupBy("user_id").agg(
+        *[F.bool_or(part == k).alias(name) for k, name in enumerate(("first", "second", "third"), 1)]
     )
     return seen.where("first AND NOT (second AND third)").select(
         "user_id", F.when(~F.col("second"), F.lit("second")).otherwise(F.lit("third")).alias("absent_in")
@@ -235,16 +237,19 @@ def missing_keys(spark, d):
 
 
 @query("missing_tasks", f"""
-SELECT user_id, event_type, CAST(day AS INTEGER) AS day FROM (SELECT DISTINCT user_id FROM events)
-CROSS JOIN (SELECT DISTINCT event_type FROM events) CROSS JOIN (SELECT unnest(range(1, 31)) AS day)
-EXCEPT SELECT user_id, event_type, {DAY_OF_MONTH} FROM events""")
+SELECT user_id, event_type, day FROM (SELECT DISTINCT user_id FROM events)
+CROSS JOIN (SELECT DISTINCT event_type FROM events)
+CROSS JOIN (SELECT CAST(unnest(range(min(CAST(ts AS DATE)), max(CAST(ts AS DATE)) + 1, INTERVAL 1 DAY)) AS DATE) AS day FROM events)
+EXCEPT SELECT user_id, event_type, CAST(ts AS DATE) FROM events""")
 def missing_tasks(spark, d):
     """Expected user × type × day tasks with no log."""
-    seen = materialize(load(spark, d, "events").select("user_id", "event_type", F.dayofmonth("ts").alias("day")).distinct(), "seen")
+    seen = materialize(load(spark, d, "events").select("user_id", "event_type", F.to_date("ts").alias("day")).distinct(), "seen")
+    days = seen.agg(F.min("day").alias("first"), F.max("day").alias("last"))
     users = seen.select("user_id").distinct()
     types = seen.select("event_type").distinct()
-    expected = op.fan_out(users, types, ["event_type"]).select(
-        "user_id", "event_type", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("day")
+    # One row with two days, carried by every key.
+    expected = op.fan_out(users, types, ["event_type"]).crossJoin(F.broadcast(days)).select(
+        "user_id", "event_type", F.explode(F.sequence("first", "last")).alias("day")
     )
     return expected.join(seen, ["user_id", "event_type", "day"], "left_anti")
 

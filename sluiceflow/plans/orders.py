@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sluiceflow.functions import text as fn
@@ -34,16 +35,36 @@ def pivot_merge(spark, d):
     return sorting.merge_pivots(chunk_pivots(spark, d), 8).withColumn("boundary", F.round("boundary", 6))
 
 
-@query("pivots_approx")
+@query("pivots_approx", "SELECT count(*) AS n, CAST(8 AS BIGINT) AS bins, true AS even FROM lineitem")
 def pivots_approx(spark, d):
+    """What holds for approximate bins: all rows, in 8 bins, none over its eighth by more than twice the stated error."""
     bounds = sorting.approximate_pivots(load(spark, d, "lineitem"), "l_extendedprice", 8)
     rows = load(spark, d, "lineitem").select(sorting.bin_column(F.col("l_extendedprice"), bounds).alias("bin"))
-    return rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.where("bin IS NOT NULL").groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    even = F.max("n") <= (1 / 8 + 2 * 0.001) * F.sum("n") + 1
+    return counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("bins"), even.alias("even"))
 
 
-@query("partition_bounds")
+@query("partition_bounds", """
+SELECT count(*) AS n, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, CAST(0 AS BIGINT) AS overlaps, true AS even FROM lineitem""")
 def partition_bounds(spark, d):
-    return sorting.partition_bounds(load(spark, d, "lineitem"), "l_extendedprice", 8)
+    """What holds for range partitions: all rows, the whole range, no two that overlap, none twice its share."""
+    bounds = sorting.partition_bounds(load(spark, d, "lineitem"), "l_extendedprice", 8)
+    # One row per partition, 8 at most.
+    before = F.max("hi").over(Window.orderBy("partition").rowsBetween(Window.unboundedPreceding, -1))
+    return bounds.withColumn("before", before).agg(
+        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count_if(F.col("before") >= F.col("lo")).alias("overlaps"),
+        (F.max("n") <= 2 * F.sum("n") / 8).alias("even"),
+    )
+
+
+@query("key_order", """
+SELECT doc_id, source, row_number() OVER (ORDER BY CAST(substr(source, 4) AS BIGINT), doc_id) AS rn FROM documents""")
+def key_order(spark, d):
+    """Keys in the order of a number parsed from them, so that `src2` comes before `src10`."""
+    number = F.regexp_extract("source", r"(\d+)$", 1).try_cast("bigint")
+    keys = load(spark, d, "documents").select("doc_id", "source", number.alias("number"))
+    return Ordered(keys, ["number", "doc_id"]).extend(row_number="rn").drop("number")
 
 
 @query("sort_range", f"""

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluiceflow.functions import costs
-from sluiceflow.operators import curves, reports as rep
+from sluiceflow.operators import curves, reports as rep, verbs as op
 from sluiceflow.plans.catalog import query
 from sluiceflow.plans.views import PRICES, SCORES, SECOND, TASKLOG, scores, tasklog
-from sluiceflow.session import load, small_table
+from sluiceflow.session import load, materialize, small_table
 
 # The thresholds of the accuracy sweep.
 THRESHOLDS = [round(0.05 * i, 2) for i in range(1, 15)]
@@ -52,12 +52,13 @@ def makespan(spark, d):
   FROM tasklog GROUP BY 1, 2)
 SELECT s.stage, token, first_us, last_us, n, dur_ms, stage_longest FROM s JOIN (SELECT stage, max(longest) AS stage_longest FROM s GROUP BY 1) m ON s.stage = m.stage""")
 def stage_run_summary(spark, d):
-    runs = tasklog(spark, d).groupBy("stage", "token").agg(
+    """The log is read once; the written runs give each stage's longest task."""
+    runs = materialize(tasklog(spark, d).groupBy("stage", "token").agg(
         F.min("start_us").alias("first_us"), F.max("end_us").alias("last_us"), F.count(F.lit(1)).alias("n"),
-        F.sum("dur_ms").alias("dur_ms"),
-    )
-    longest = tasklog(spark, d).groupBy("stage").agg(F.max("dur_ms").alias("stage_longest"))
-    return runs.join(longest, "stage")
+        F.sum("dur_ms").alias("dur_ms"), F.max("dur_ms").alias("longest"),
+    ), "runs")
+    longest = op.replicated_if_small(runs.groupBy("stage").agg(F.max("longest").alias("stage_longest")))
+    return runs.drop("longest").join(longest, "stage")
 
 
 @query("request_cost", """
@@ -202,12 +203,13 @@ def rank_histogram(spark, d):
 
 
 @query("log_histogram", """
-SELECT CAST(floor(ln(l_extendedprice)) AS BIGINT) AS power, round(exp(floor(ln(l_extendedprice))), 6) AS bin,
-       count(*) FILTER (WHERE l_discount <= 0.01) AS hits, count(*) AS total,
-       round(100.0 * count(*) FILTER (WHERE l_discount <= 0.01) / count(*), 6) AS percent FROM lineitem WHERE l_extendedprice >= 1 GROUP BY 1, 2""")
+SELECT power, round(exp(power), 6) AS bin, count(*) FILTER (WHERE l_discount <= 0.01) AS hits, count(*) AS total,
+       round(100.0 * count(*) FILTER (WHERE l_discount <= 0.01) / count(*), 6) AS percent
+FROM (SELECT l_discount, CASE WHEN l_extendedprice > 0 THEN CAST(trunc(ln(l_extendedprice)) AS BIGINT) END AS power FROM lineitem) GROUP BY 1""")
 def log_histogram(spark, d):
-    power = F.floor(F.ln("l_extendedprice")).cast("bigint")
-    counted = load(spark, d, "lineitem").where("l_extendedprice >= 1").groupBy(power.alias("power")).agg(
+    """Bins of the logarithm cut toward zero; what has no logarithm is a bin of its own, with a null power."""
+    power = F.ln("l_extendedprice").cast("bigint")
+    counted = load(spark, d, "lineitem").groupBy(power.alias("power")).agg(
         rep.hits("l_discount").alias("hits"), F.count(F.lit(1)).alias("total")
     )
     return counted.select(

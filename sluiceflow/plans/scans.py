@@ -71,7 +71,7 @@ def scan_fastq(spark, d):
     """Reads written four lines each; many quality lines begin with `@` or `+`."""
     quality = F.translate("seq", "ACGT", "@I;+")
     path = lines_of(spark, reads(spark, d), F.concat_ws("\n", F.concat(F.lit("@"), "doc_id"), "seq", F.lit("+"), quality))
-    scanned = read_fastq(spark, path, split_bytes=1_000_000)
+    scanned = read_fastq(spark, path)
     return scanned.select(
         "id", F.md5(F.col("seq").cast("binary")).alias("seq"), F.md5(F.col("qual").cast("binary")).alias("qual"),
         fn.signature(F.col("seq")).alias("signature"),
@@ -325,7 +325,7 @@ def scan_scores(spark, d):
     path = scratch_path(spark, "scores")
     head.unionByName(cost).unionByName(rows).write.partitionBy("l_returnflag").text(path)
     return logs.read_scores(spark, path).groupBy(F.regexp_extract("path", "l_returnflag=([^/]+)/", 1).alias("file"), "species").agg(
-        F.sum("score").alias("score"), F.count(F.lit(1)).alias("n")
+        F.sum("score").cast("bigint").alias("score"), F.count(F.lit(1)).alias("n")
     )
 
 

@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluiceflow.plans.catalog import query
-from sluiceflow.session import load, scratch_path
+from sluiceflow.session import load, materialize, scratch_path
 from sluiceflow.streaming import flows
 
 DAYS_NEEDED = 10
 TIMEOUT_US = 60_000_000_000
+# Rows may come this long after later ones; groups that are silent longer than a week are forgotten.
+LATENESS = "1 hour"
+LATENESS_US = 3_600_000_000
+TTL_MS = 7 * 24 * 3_600_000
 
 
 def event_stream(spark, d):
+    """The table as one arrival; a table's files have no order of time."""
     schema = load(spark, d, "events").schema
-    stream = flows.arrivals(spark, d, schema, "events.parquet")
-    return stream.withColumn("at", F.col("ts").cast("timestamp"))
+    return flows.table_arrivals(spark, f"{d}/events.parquet", schema).withColumn("at", F.col("ts").cast("timestamp"))
 
 
 @query("stream_ingest", "SELECT event_id, user_id, event_type, value FROM events")
@@ -56,35 +60,35 @@ RELEASED = "SELECT user_id, CAST(count(DISTINCT event_type) AS INTEGER) AS membe
 @query("stream_barrier", RELEASED)
 def stream_barrier(spark, d):
     """Users are let through once all five event types have been seen."""
-    return flows.drain(flows.barrier(event_stream(spark, d), ["user_id"], F.col("event_type"), F.lit(5)), "barrier")
+    return flows.drain(flows.barrier(event_stream(spark, d), ["user_id"], F.col("event_type"), F.lit(5), "at", LATENESS, TTL_MS), "barrier")
 
 
 @query("stream_stage_complete", f"""
 SELECT user_id, event_type FROM events GROUP BY 1, 2 HAVING count(DISTINCT CAST(ts AS DATE)) >= {DAYS_NEEDED}""")
 def stream_stage_complete(spark, d):
     """A (user, type) is complete when it has been active on ten distinct days."""
-    done = flows.barrier(event_stream(spark, d), ["user_id", "event_type"], F.to_date("at"), F.lit(DAYS_NEEDED))
+    done = flows.barrier(event_stream(spark, d), ["user_id", "event_type"], F.to_date("at"), F.lit(DAYS_NEEDED), "at", LATENESS, TTL_MS)
     return flows.drain(done.drop("members"), "complete")
 
 
 @query("stream_overdue", f"""
 SELECT user_id, since_us FROM (
   SELECT user_id, event_type, epoch_us(ts) AS since_us, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS next_us, (SELECT max(epoch_us(ts)) FROM events) AS top_us FROM events)
-WHERE event_type = 'signup' AND since_us + {TIMEOUT_US} <= top_us AND (next_us IS NULL OR next_us - since_us >= {TIMEOUT_US})""")
+WHERE event_type = 'signup' AND since_us + {TIMEOUT_US + LATENESS_US} <= top_us AND (next_us IS NULL OR next_us - since_us >= {TIMEOUT_US})""")
 def stream_overdue(spark, d):
-    late = flows.overdue(event_stream(spark, d), "user_id", "at", F.col("event_type") == "signup", "60000 seconds")
+    late = flows.overdue(event_stream(spark, d), "user_id", "at", F.col("event_type") == "signup", "60000 seconds", LATENESS)
     return flows.drain(late.select("user_id", F.unix_micros("since").alias("since_us")), "overdue")
 
 
-@query("stream_utilisation", """
+@query("stream_utilisation", f"""
 SELECT CAST(epoch_us(ts) // 3600000000 AS BIGINT) AS hour, round(avg(value) FILTER (WHERE event_type = 'view'), 6) AS cpu,
        round(avg(value) FILTER (WHERE event_type = 'click'), 6) AS memory,
        round(greatest(avg(value) FILTER (WHERE event_type = 'view'), avg(value) FILTER (WHERE event_type = 'click')), 6) AS busiest
-FROM events WHERE epoch_us(ts) // 3600000000 < (SELECT max(epoch_us(ts)) // 3600000000 FROM events) GROUP BY 1""")
+FROM events WHERE epoch_us(ts) // 3600000000 < (SELECT (max(epoch_us(ts)) - {LATENESS_US}) // 3600000000 FROM events) GROUP BY 1""")
 def stream_utilisation(spark, d):
-    """Hourly means; the last hour is still open."""
+    """Hourly means of closed hours; late rows may still come for the last two."""
     kind, value = F.col("event_type"), F.col("value")
-    means = flows.utilisation(event_stream(spark, d), "at", F.when(kind == "view", value), F.when(kind == "click", value), "1 hour")
+    means = flows.utilisation(event_stream(spark, d), "at", F.when(kind == "view", value), F.when(kind == "click", value), "1 hour", LATENESS)
     hour = F.floor(F.unix_micros("begin") / 3_600_000_000).cast("bigint")
     return flows.drain(
         means.select(hour.alias("hour"), *[F.round(c, 6).alias(c) for c in ("cpu", "memory", "busiest")]), "utilisation"
@@ -94,8 +98,9 @@ def stream_utilisation(spark, d):
 @query("stream_initiate", f"WITH r AS ({RELEASED}) SELECT user_id, min_by(event_id, ts) AS event_id FROM events JOIN r USING (user_id) GROUP BY 1")
 def stream_initiate(spark, d):
     """When a user's barrier opens, the user's first event is taken up again."""
-    first = load(spark, d, "events").groupBy("user_id").agg(F.min_by("event_id", "ts").alias("event_id"))
-    released = flows.barrier(event_stream(spark, d), ["user_id"], F.col("event_type"), F.lit(5))
+    # Written once, as every batch joins it.
+    first = materialize(load(spark, d, "events").groupBy("user_id").agg(F.min_by("event_id", "ts").alias("event_id")), "first")
+    released = flows.barrier(event_stream(spark, d), ["user_id"], F.col("event_type"), F.lit(5), "at", LATENESS, TTL_MS)
     path = scratch_path(spark, "next-run")
     flows.drain_each(released, flows.initiate(first, ["user_id"], path), "initiate")
     return spark.read.schema("user_id bigint, event_id bigint").parquet(path).select("user_id", "event_id")

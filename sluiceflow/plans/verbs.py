@@ -8,6 +8,7 @@ from sluiceflow.functions import text as fn
 from sluiceflow.operators import verbs as op
 from sluiceflow.operators.ordered import Ordered, numbered
 from sluiceflow.plans.catalog import query
+from sluiceflow.sources.sinks import write_once
 from sluiceflow.session import load, scratch_path, small_table
 
 LINE_KEYS = ("l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
@@ -129,17 +130,18 @@ def chunk_by_count(spark, d):
 
 
 @query("binned_sink", """
-SELECT b.bin, count(l_orderkey) AS n FROM (SELECT CAST(unnest(range(12)) AS INTEGER) AS bin) b
-LEFT JOIN lineitem ON CAST(floor(l_extendedprice / 10000) AS INTEGER) = b.bin GROUP BY 1""")
+WITH held AS (SELECT CAST(floor(l_extendedprice / 10000) AS INTEGER) AS bin, count(*) AS n FROM lineitem GROUP BY 1),
+bins AS (SELECT CAST(unnest(range(least(0, min(bin)), max(bin) + 1)) AS INTEGER) AS bin FROM held)
+SELECT coalesce(b.bin, h.bin) AS bin, coalesce(n, 0) AS n FROM bins b FULL JOIN held h ON b.bin = h.bin""")
 def binned_sink(spark, d):
-    """Write the rows by bin, then count what each bin's folder holds; empty bins are kept."""
+    """Write the rows by bin, then count what each bin's folder holds; empty bins from 0 to the largest are kept."""
     path = scratch_path(spark, "bins")
     bin_of = F.floor(F.col("l_extendedprice") / 10000).cast("int")
     rows = load(spark, d, "lineitem").select("l_orderkey", bin_of.alias("bin"))
-    rows.where(F.col("bin").between(0, 11)).write.partitionBy("bin").parquet(path)
+    rows.write.partitionBy("bin").parquet(path)
     held = spark.read.schema("l_orderkey bigint, bin int").parquet(path).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    bins = spark.range(12).select(F.col("id").cast("int").alias("bin"))
-    return bins.join(held, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+    span = held.agg(F.explode(F.sequence(F.least(F.lit(0), F.min("bin")), F.max("bin"))).alias("bin"))
+    return span.join(held, "bin", "full").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _halves(spark, d):
@@ -180,11 +182,13 @@ def copy(spark, d):
 
 @query("idempotent_write", "SELECT n_nationkey, n_name FROM nation")
 def idempotent_write(spark, d):
-    """A second run finds the output of the first and leaves it alone."""
+    """A dead run's rest is replaced; a further run finds the finished output and leaves it alone."""
     path = scratch_path(spark, "once")
     nations = load(spark, d, "nation").select("n_nationkey", "n_name")
-    nations.write.mode("ignore").parquet(path)
-    nations.withColumn("n_name", F.lit("again")).write.mode("ignore").parquet(path)
+    half = nations.where("n_nationkey < 3").withColumn("n_name", F.lit("half"))
+    half.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    write_once(nations, path)
+    write_once(nations.withColumn("n_name", F.lit("again")), path)
     return spark.read.schema(nations.schema).parquet(path)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 # Largest table, in rows, that an operator may copy to every executor. Each use
 # counts the table first and takes a shuffled join when there are more rows.
 REPLICATE_LIMIT = 10_000
+# Its largest size, as JSON text; few rows can be wide.
+REPLICATE_BYTES = 64 * 1024 * 1024
 
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 PARTITION_BYTES = 128 * 1024 * 1024
@@ -50,12 +53,14 @@ def load(spark: SparkSession, directory: str, table: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """This application's folder on the storage all executors share.
 
-    The cluster names that storage in `spark.checkpoint.dir`. Only when it is
-    unset, as in tests on one machine, is a temporary folder made and set.
+    The cluster names that storage in `spark.checkpoint.dir`. Only on one
+    machine may it be unset, as in tests: a temporary folder is then made and set.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="sluiceflow-")
         context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/sluiceflow-{context.applicationId}"
@@ -130,6 +135,8 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.range(1).select(F.inline(F.array(*items)))
 
 
-def at_most(df: DataFrame, limit: int = REPLICATE_LIMIT) -> bool:
-    """Whether `df` has at most `limit` rows; reads no more than limit + 1."""
-    return df.limit(limit + 1).count() <= limit
+def at_most(df: DataFrame, limit: int = REPLICATE_LIMIT, size: int = REPLICATE_BYTES) -> bool:
+    """Whether `df` has at most `limit` rows and `size` bytes; reads no more than limit + 1 rows."""
+    wide = F.length(F.to_json(F.struct(*[df[c] for c in df.columns])))
+    rows, held = df.limit(limit + 1).select(wide.alias("n")).agg(F.count("*"), F.sum("n")).first()
+    return rows <= limit and (held or 0) <= size

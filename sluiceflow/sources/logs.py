@@ -41,7 +41,10 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    """(path, species, score, cost): score rows, an empty score being 0; the `Cost` row has the cost instead."""
+    """(path, species, score, cost): score rows, an empty score being 0; the `Cost` row has the cost instead.
+
+    A score may be large or have decimals; one that is not a number is null.
+    """
     cut = F.split("value", ",")
     value = F.nullif(F.trim(F.get(cut, 1)), F.lit(""))
     is_cost = F.col("species") == "Cost"
@@ -50,7 +53,7 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
     )
     return rows.where(F.col("species") != "species").select(
         "path", "species",
-        F.when(~is_cost, F.coalesce(F.col("v").try_cast("int"), F.lit(0))).alias("score"),
+        F.when(~is_cost, F.when(F.col("v").isNull(), F.lit(0.0)).otherwise(F.col("v").try_cast("double"))).alias("score"),
         F.when(is_cost, F.col("v").try_cast("double")).alias("cost"),
     )
 

@@ -24,11 +24,17 @@ def read_tsv(spark: SparkSession, path: str, schema: str, header: bool = True) -
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, start, end, rest): intervals without a header; further columns stay in `rest`."""
+    """(chrom, start, end, rest): intervals; further columns stay in `rest`.
+
+    Track, browser and comment lines are headers and left out. A line without
+    two numbers has null bounds and is kept whole in `rest`.
+    """
     parts = F.split("value", "\t", 4)
-    return read_lines(spark, path).select(
-        parts[0].alias("chrom"), parts[1].cast("double").alias("start"), parts[2].cast("double").alias("end"),
-        F.get(parts, 3).alias("rest"),
+    start, end = (F.get(parts, k).try_cast("double") for k in (1, 2))
+    good = start.isNotNull() & end.isNotNull()
+    return read_lines(spark, path).where(~F.col("value").rlike(r"^(track|browser)\b|^#")).select(
+        F.when(good, parts[0]).alias("chrom"), F.when(good, start).alias("start"), F.when(good, end).alias("end"),
+        F.when(good, F.get(parts, 3)).otherwise(F.col("value")).alias("rest"),
     )
 
 
@@ -87,10 +93,26 @@ def read_pixels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_scored(spark: SparkSession, path: str, column: int) -> DataFrame:
-    """(path, qvalue): a scored table with a header, of which one 0-based column is the q-value."""
-    names = ", ".join(f"c{i} string" for i in range(column + 1))
-    table = spark.read.csv(path, schema=names, sep="\t", header=True, quote="", mode="PERMISSIVE")
-    return table.select(F.col("_metadata.file_path").alias("path"), F.col(f"c{column}").cast("double").alias("qvalue"))
+    """(path, qvalue, scan, peptide, fields): a scored table with a header.
+
+    The q-value is in one 0-based column, scan and peptide are found by their
+    names in the header of each file, and `fields` has every column by name. A
+    short row has null values for what it lacks.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\t").alias("cells"))
+    # A file's header is its one line whose q-value cell is a name; a missing value is not a name.
+    cell = F.trim(F.get("cells", column))
+    is_header = F.coalesce(cell.rlike("[A-Za-z]") & cell.try_cast("double").isNull() & ~F.lower(cell).isin("na", "n/a", "null", "none"), F.lit(False))
+    heads = lines.where(is_header).groupBy("path").agg(F.first("cells").alias("names"))
+    rows = lines.where(~is_header & (F.concat_ws("", "cells") != "")).join(heads, "path", "left")
+    names = F.coalesce("names", F.transform("cells", lambda c, i: F.concat(F.lit("c"), i)))
+    padded = F.transform(F.sequence(F.lit(0), F.size(names) - 1), lambda i: F.get("cells", i))
+    named = F.map_from_arrays(names, padded)
+    return rows.select(
+        "path", F.get("cells", column).try_cast("double").alias("qvalue"),
+        F.coalesce(F.try_element_at(named, F.lit("scan")), F.try_element_at(named, F.lit("PSMId"))).alias("scan"),
+        F.coalesce(F.try_element_at(named, F.lit("sequence")), F.try_element_at(named, F.lit("peptide"))).alias("peptide"), named.alias("fields"),
+    )
 
 
 def read_confidence(spark: SparkSession, path: str) -> DataFrame:
@@ -118,7 +140,7 @@ def read_polygons(spark: SparkSession, path: str) -> DataFrame:
     The closing vertex repeats the first one and is dropped.
     """
     line = F.col("value")
-    number = r"([0-9.]+) ([-0-9.]+) [0-9]+"
+    number = r"(-?[0-9.]+) (-?[0-9.]+) -?[0-9.]+"
     xs, ys = (F.transform(F.regexp_extract_all(line, F.lit(number), F.lit(i)), lambda v: v.cast("double")) for i in (1, 2))
     ring = F.zip_with(xs, ys, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     none = F.slice(ring, 1, 0)
@@ -139,12 +161,15 @@ def read_spectra(spark: SparkSession, path: str, level: str | None = "2") -> Dat
     The text is cut at the closing tags, so one large file is shared by many
     tasks; each piece then holds one spectrum's XML.
     """
-    element = F.regexp_extract("value", r"(?s).*(<spectrum\s.*)", 1)
-    pieces = spark.read.text(path, lineSep="</spectrum>").select(element.alias("xml")).where("xml <> ''")
+    # Elements without children have no closing tag, so a piece may hold several of them before its own.
+    empty = F.regexp_extract_all("value", F.lit(r"<spectrum\s[^<>]*/>"), F.lit(0))
+    element = F.regexp_extract("value", r"(?s).*(<spectrum\s[^<>]*[^<>/]>.*)", 1)
+    whole = F.when(element != "", F.array(F.concat(element, F.lit("</spectrum>")))).otherwise(F.array().cast("array<string>"))
+    pieces = spark.read.text(path, lineSep="</spectrum>").select(F.explode(F.concat(empty, whole)).alias("xml"))
     if level is not None:
         # A cheap text test before any XML is parsed; the exact test follows.
         pieces = pieces.where(F.col("xml").contains("ms level"))
-    parsed = pieces.select(F.from_xml(F.concat("xml", F.lit("</spectrum>")), SPECTRUM, {"rowTag": "spectrum"}).alias("s")).select("s.*")
+    parsed = pieces.select(F.from_xml("xml", SPECTRUM, {"rowTag": "spectrum"}).alias("s")).select("s.*")
     if level is None:
         return parsed
     return parsed.where(F.exists("cvParam", lambda p: (p["_name"] == "ms level") & (p["_value"] == level)))

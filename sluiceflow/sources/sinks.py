@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def write_binned(df: DataFrame, path: str, bin_column: str, compression: str = "zstd") -> None:
@@ -19,9 +19,16 @@ def write_lines(df: DataFrame, path: str, line: Column, separator: str = "\n") -
     df.select(line.alias("value")).write.option("lineSep", separator).text(path)
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a run has finished writing this output; a dead run leaves no mark of success."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 def write_once(df: DataFrame, path: str) -> None:
-    """Write unless an earlier run has already written this output."""
-    df.write.mode("ignore").parquet(path)
+    """Write unless an earlier run has already finished this output; what a dead run left is replaced."""
+    if not is_complete(df.sparkSession, path):
+        df.write.mode("overwrite").parquet(path)
 
 
 def export_ordered(df: DataFrame, path: str, *order_by: str, header: bool = True, sep: str = "\t") -> None:

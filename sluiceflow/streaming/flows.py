@@ -1,8 +1,7 @@
 """Stages that start when data arrives, as Structured Streaming queries.
 
-Each function takes and returns a streaming DataFrame. State is keyed so that a
-group with very many rows is first reduced, in many tasks, to one row per
-distinct member.
+Each function takes and returns a streaming DataFrame. A group with very many
+rows is first reduced, in the tasks that read it, to one row per distinct member.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -24,23 +24,40 @@ STREAM_SETTINGS = {
 }
 
 
-def arrivals(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
-    """Rows of every Parquet file that appears below a folder."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    )
+def arrivals(
+    spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet", files_per_batch: int | None = 1000,
+    kind: str = "parquet", **options: str,
+) -> DataFrame:
+    """Rows of every file that appears below a folder, as a built-in streaming source of that kind reads them.
+
+    `files_per_batch=None` takes all that has arrived as one batch.
+    """
+    reader = spark.readStream.format(kind).schema(schema).option("pathGlobFilter", pattern).options(**options)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.load(folder)
+
+
+def table_arrivals(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
+    """Rows of a Parquet table that is a file or a folder of files; by default one batch takes all that is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place)
+    if status.isDirectory():
+        return arrivals(spark, path, schema, "*.parquet", files_per_batch, recursiveFileLookup="true")
+    return arrivals(spark, str(place.getParent()), schema, place.getName(), files_per_batch)
 
 
 @contextmanager
-def stream_settings(spark: SparkSession) -> Iterator[None]:
+def stream_settings(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
     """The settings above, for the queries started inside.
 
-    State is kept in one partition per core: every batch opens all of them, and
-    their number stays as it was when the query first started.
+    State stays in as many partitions as it has when the query first starts.
+    Choose `partitions` for the load to come; without it the session's number of
+    shuffle partitions holds.
     """
-    cores = str(spark.sparkContext.defaultParallelism)
-    wanted = {**STREAM_SETTINGS, "spark.sql.shuffle.partitions": cores}
+    wanted = dict(STREAM_SETTINGS)
+    if partitions is not None:
+        wanted["spark.sql.shuffle.partitions"] = str(partitions)
     before = {key: spark.conf.get(key, None) for key in wanted}
     for key, value in wanted.items():
         spark.conf.set(key, value)
@@ -51,26 +68,31 @@ def stream_settings(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def drain(stream: DataFrame, label: str = "stream") -> DataFrame:
+def drain(stream: DataFrame, label: str = "stream", partitions: int | None = None) -> DataFrame:
     """Process what has arrived, in checkpointed batches, and return the written result."""
     spark = stream.sparkSession
     path, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
-    with stream_settings(spark):
+    with stream_settings(spark, partitions):
         writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
         writer.format("parquet").option("path", path).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def drain_each(stream: DataFrame, handle: Callable[[DataFrame, int], None], label: str = "stream") -> None:
+def drain_each(
+    stream: DataFrame, handle: Callable[[DataFrame, int], None], label: str = "stream", partitions: int | None = None,
+) -> None:
     """Process what has arrived, giving every batch and its number to `handle`."""
     spark = stream.sparkSession
-    with stream_settings(spark):
+    with stream_settings(spark, partitions):
         writer = stream.writeStream.option("checkpointLocation", scratch_path(spark, f"{label}-checkpoint"))
         writer.foreachBatch(handle).trigger(availableNow=True).start().awaitTermination()
 
 
-def deduplicated(stream: DataFrame, keys: list[str], time: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """The first row of each key. With a time column, keys are forgotten after the delay."""
+def deduplicated(stream: DataFrame, keys: list[str], time: str | None = None, delay: str | None = None) -> DataFrame:
+    """The first row of each key. With a time column and a delay, keys are forgotten after the delay.
+
+    Without them every key is kept, as many as the result has rows.
+    """
     if time is None:
         return stream.dropDuplicates(keys)
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
@@ -81,49 +103,67 @@ def before_deadline(stream: DataFrame, reexecute: Column, execute: Column, now:
 
 
 def barrier(
-    stream: DataFrame, keys: Sequence[str], member: Column, needed: Column, time: str | None = None,
-    delay: str = "1 hour", ttl_ms: int | None = None,
+    stream: DataFrame, keys: Sequence[str], member: Column, needed: Column, time: str | None = None, delay: str = "1 hour",
+    ttl_ms: int = 7 * 24 * 3_600_000,
 ) -> DataFrame:
     """(keys…, members): each group once, when `needed` distinct members have arrived.
 
-    Repeats are dropped on (keys, member) first, in as many tasks as there are
-    members, so a group's own task sees every member once, however many rows
-    the group has. `time` and `ttl_ms` let the state of old groups expire.
+    Every task first drops the repeats within what it reads, so a group's own
+    task sees at most one row per member and task, however many rows the group
+    has. The state holds the members seen so far, which are fewer than `needed`,
+    and after the release a mark only. With a time column, groups are forgotten
+    that have had no row for `ttl_ms` of event time; members that come again then
+    count anew, and rows later than `delay` are lost.
     """
     kinds = dict(stream.dtypes)
-    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "members int"])
-    times = [time] if time else []
-    rows = stream.select(*keys, *times, member.cast("string").alias("__member"), needed.cast("int").alias("__needed"))
-    once = deduplicated(rows, [*keys, "__member"], time, delay).select(*keys, "__member", "__needed")
+    typed = [f"`{k}` {kinds[k]}" for k in keys]
+    at = F.col(time).cast("timestamp") if time else F.timestamp_seconds(F.lit(0))
+    rows = stream.select(*keys, at.alias("__at"), member.cast("string").alias("__member"), needed.cast("int").alias("__needed"))
+    columns = [*keys, "__member", "__needed"]
     names = [*keys, "members"]
 
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            found = table.group_by(columns, use_threads=False).aggregate([("__at", "max")])
+            yield from found.rename_columns({"__at_max": "__at"}).select(table.column_names).cast(table.schema).to_batches()
+
+    once = rows.mapInArrow(distinct, ", ".join([*typed, "__at timestamp", "__member string", "__needed int"]))
+    if time:
+        once = once.withWatermark("__at", delay)
+
     def count(key, batches, state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        members, released = state.get if state.exists else (0, False)
-        needed = None
+        seen, released = state.get if state.exists else ([], False)
+        members, needed, last = set(seen), None, 0
         for batch in batches:
-            members += len(batch)
             # By position: the plan may rename a constant column.
-            needed = int(batch.iloc[0, -1])
-        opens = not released and needed is not None and members >= needed
-        state.update((members, released or opens))
-        if ttl_ms:
-            state.setTimeoutDuration(ttl_ms)
+            members.update(batch.iloc[:, -2])
+            needed = int(batch.iloc[-1, -1])
+            last = max(last, int(batch.iloc[:, -3].max().timestamp() * 1000))
+        opens = not released and needed is not None and len(members) >= needed
+        released = released or opens
+        state.update(([] if released else sorted(members, key=lambda m: (m is None, m)), released))
+        if time:
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + ttl_ms)
         if opens:
-            yield pd.DataFrame([[*key, members]], columns=names)
+            yield pd.DataFrame([[*key, len(members)]], columns=names)
 
     return once.groupBy(*keys).applyInPandasWithState(
-        count, schema, "members int, released boolean", "append", "ProcessingTimeTimeout" if ttl_ms else "NoTimeout"
+        count, ", ".join([*typed, "members int"]), "members array<string>, released boolean", "append",
+        "EventTimeTimeout" if time else "NoTimeout",
     )
 
 
-def overdue(stream: DataFrame, key: str, time: str, started: Column, timeout: str, delay: str = "0 seconds") -> DataFrame:
+def overdue(stream: DataFrame, key: str, time: str, started: Column, timeout: str, delay: str) -> DataFrame:
     """(key, since): starts after which nothing more came from the key within the timeout.
 
     A session lasts until the key has been silent for the timeout; one that ends
-    with a start is overdue. It is given out once the watermark has passed.
+    with a start is overdue. It is given out once the watermark has passed; rows
+    that come more than `delay` after later ones are lost, so it must cover the
+    disorder of the arrivals.
     """
     sessions = (
         stream.withWatermark(time, delay)
@@ -133,8 +173,11 @@ def overdue(stream: DataFrame, key: str, time: str, started: Column, timeout: st
     return sessions.where("last.is_start").select(key, F.col("last.at").alias("since"))
 
 
-def utilisation(stream: DataFrame, time: str, first: Column, second: Column, period: str, delay: str = "0 seconds") -> DataFrame:
-    """(begin, cpu, memory, busiest): means of two measures per closed period."""
+def utilisation(stream: DataFrame, time: str, first: Column, second: Column, period: str, delay: str) -> DataFrame:
+    """(begin, cpu, memory, busiest): means of two measures per closed period.
+
+    A period is closed `delay` after its end, which must cover the disorder of the arrivals.
+    """
     windows = stream.withWatermark(time, delay).groupBy(F.window(time, period).alias("w"))
     means = windows.agg(F.avg(first).alias("cpu"), F.avg(second).alias("memory"))
     return means.select(F.col("w.start").alias("begin"), "cpu", "memory", F.greatest("cpu", "memory").alias("busiest"))

@@ -1,6 +1,6 @@
 import pytest
 
-from sluiceflow.session import build_session
+from sluiceflow.session import build_session, clear_scratch
 
 
 @pytest.fixture(scope="session")
@@ -16,6 +16,7 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()
 
 

@@ -167,8 +167,8 @@ def test_split_ranges(spark):
 
 
 def test_pivots_of_scores(spark):
-    df = spark.createDataFrame([(v,) for v in (540009, 2009, 300112, 290321, 193048)], "score bigint")
-    assert sorted(r.boundary for r in sorting.pivots(df, "score", 2).collect()) == [2009, 290321, 540010]
+    df = spark.createDataFrame([(v,) for v in (71, 12, 55, 40, 33)], "score bigint")
+    assert sorted(r.boundary for r in sorting.pivots(df, "score", 2).collect()) == [12, 40, 72]
 
 
 def test_pivots_with_more_bins_than_rows(spark):
@@ -177,7 +177,7 @@ def test_pivots_with_more_bins_than_rows(spark):
 
 
 def test_pivot_merge_keeps_the_ends(spark):
-    lists = [20, 25, 60, 61, 80, 1, 40, 50, 63, 81, 10, 12, 40, 41, 42]
+    lists = [3, 14, 15, 92, 65, 35, 8, 97, 9, 32, 3, 84, 62]
     df = spark.createDataFrame([(float(v),) for v in lists], "boundary double")
     union = sorted(set(map(float, lists)))
     expected = sorted({union[min(round(i * len(union) / 5), len(union) - 1)] for i in range(5)} | {union[-1]})

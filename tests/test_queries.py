@@ -2,6 +2,7 @@
 
 import pytest
 
+from sluiceflow.operators import sorting
 from sluiceflow.plans.catalog import all_oracles, all_queries
 from tests.compare import compare, connect
 
@@ -22,16 +23,11 @@ def test_query(spark, tables, name):
 
 def test_oracles_belong_to_queries():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"pivots_approx", "partition_bounds"}
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_partition_bounds_are_disjoint_and_complete(spark):
-    rows = sorted(QUERIES["partition_bounds"](spark, DIRECTORY).collect(), key=lambda r: r["partition"])
+    table = spark.read.parquet(f"{DIRECTORY}/lineitem.parquet")
+    rows = sorted(sorting.partition_bounds(table, "l_extendedprice", 8).collect(), key=lambda r: r["partition"])
     assert sum(r["n"] for r in rows) == spark.read.parquet(f"{DIRECTORY}/lineitem.parquet").count()
     assert all(a["hi"] < b["lo"] for a, b in zip(rows, rows[1:]))
-
-
-def test_approximate_bins_are_even(spark):
-    counts = [r["n"] for r in QUERIES["pivots_approx"](spark, DIRECTORY).collect()]
-    assert sum(counts) == spark.read.parquet(f"{DIRECTORY}/lineitem.parquet").count()
-    assert max(counts) < 1.2 * sum(counts) / len(counts)
