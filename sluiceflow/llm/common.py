@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 from sluiceflow.session import scratch_path, sized_shuffles
 
@@ -52,7 +52,7 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def extended(df: DataFrame, **more: str) -> StructType:
+def extended(df: DataFrame, **more: str | DataType) -> StructType:
     """The schema of `df` with columns added; `df.schema` itself is kept by the frame and must not change."""
     schema = StructType(list(df.schema.fields))
     for name, kind in more.items():

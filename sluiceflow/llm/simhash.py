@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from sluiceflow.llm.common import extended, fresh, keep
 
@@ -124,8 +125,49 @@ def anchor_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(index), np.concatenate(keys)
 
 
-def forest(keys: np.ndarray, prints: np.ndarray, sides: np.ndarray | None = None, bits: int = LINK_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join the components of each run of equal keys; with `sides`, only those across sides are compared."""
+WIDE_WORDS, BANDS, BAND_BITS = 4, 64, 22
+_BAND_WORDS = BANDS * BAND_BITS // 64
+WIDE_SHINGLE = 5
+
+
+def wide_print(text: str | None) -> tuple[list[int], np.ndarray]:
+    """WIDE_WORDS words of fingerprint over five-word shingles, and BANDS bands of bits over three-word shingles."""
+
+    def bits(values: np.ndarray, words: int, first: int) -> np.ndarray:
+        """The majority bits of `words` further hashes of every value, 64 to a word."""
+        if not len(values):
+            return np.zeros(words, dtype=np.uint64)
+        nth = np.arange(first, first + words, dtype=np.uint64)[:, None]
+        x = (values[None, :] + nth * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(29)
+        cuts = np.arange(0, len(values), 255)
+        counts = np.empty((words, 64), dtype=np.int64)
+        for k in range(8):
+            sums = np.add.reduceat((x >> np.uint64(k)) & _LANES, cuts, axis=1)
+            counts[:, k::8] = np.ascontiguousarray(sums).view(np.uint8).reshape(words, -1, 8).sum(axis=1, dtype=np.int64)
+        return np.packbits(2 * counts > len(values), axis=1, bitorder="little").view("<u8")[:, 0]
+
+    with np.errstate(over="ignore"):
+        check, bands = bits(hashes(text, WIDE_SHINGLE), WIDE_WORDS, 1), bits(hashes(text, SHINGLE), _BAND_WORDS, 100)
+    flat = np.unpackbits(bands.view(np.uint8), bitorder="little").reshape(BANDS, BAND_BITS).astype(np.int64)
+    return check.tolist(), flat @ (1 << np.arange(BAND_BITS, dtype=np.int64)) | np.arange(BANDS) << BAND_BITS
+
+
+def wide_bits(similarity: float) -> int:
+    """How many bits of a wide fingerprint are expected to differ at a Jaccard similarity.
+
+    Sets of like size with that similarity have the cosine 2 s / (1 + s), and a bit differs with probability angle / pi.
+    """
+    return round(64 * WIDE_WORDS * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+
+
+def forest(keys: np.ndarray, words: list[np.ndarray], sides: np.ndarray | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) whose links join the components of each run of equal keys; with `sides`, only those across sides are compared.
+
+    Two rows link if their words differ in at most `bits` bits.
+    """
     n = len(keys)
     root = np.arange(n)
     a, b = [], []
@@ -136,7 +178,7 @@ def forest(keys: np.ndarray, prints: np.ndarray, sides: np.ndarray | None = None
         if not len(live):
             break
         other = live + gap
-        near = np.bitwise_count(prints[live] ^ prints[other]) <= bits
+        near = sum(np.bitwise_count(w[live] ^ w[other]).astype(np.int16) for w in words) <= bits
         if sides is not None:
             near &= sides[live] != sides[other]
         i, j = live[near], other[near]
@@ -163,19 +205,13 @@ def forest(keys: np.ndarray, prints: np.ndarray, sides: np.ndarray | None = None
                 break
             parent = jumped
         root = parent
-    at, to = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-    return prints[at], prints[to]
+    return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
 
-_LINKS = "a long, b long, anchor long"
-
-
-def _rows(a: np.ndarray, b: np.ndarray | None, anchor: np.ndarray | None) -> pa.RecordBatch:
-    nothing = pa.nulls(len(a), pa.int64())
-    return pa.RecordBatch.from_pydict({
-        "a": pa.array(a.view(np.int64)), "b": nothing if b is None else pa.array(b.view(np.int64)),
-        "anchor": nothing if anchor is None else pa.array(anchor.view(np.int64)),
-    })
+def _rows(names: list[str], columns: list[np.ndarray | None]) -> pa.RecordBatch:
+    size = next(len(c) for c in columns if c is not None)
+    arrays = [pa.nulls(size, pa.int64()) if c is None else pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns]
+    return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], columns: int, block: int) -> Iterator[tuple[bool, list[np.ndarray]]]:
@@ -213,53 +249,80 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: int, block: int) -> Iterat
         yield False, held
 
 
-def links(points: DataFrame, bits: int = LINK_BITS, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that join the components of the distinct fingerprints in column `fp`; written."""
+def _met(met: DataFrame, words: list[str], bits: int, block: int) -> DataFrame:
+    """Links (a, b) of fingerprints in (key, fp, further words) rows with a common key and few differing bits in `words`; written.
 
-    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            index, keys = anchor_keys(prints)
-            yield pa.RecordBatch.from_pydict({"anchor": pa.array(keys.view(np.int64)), "fp": pa.array(prints[index].view(np.int64))})
+    `words` are names among fp and the further ones.
+    """
+    carried = met.columns
+    schema = ", ".join(f"{c} long" for c in ["a", "b", *carried])
+    names = ["a", "b", *carried]
+    used = [carried.index(w) for w in words]
+
+    def linked(cols: list[np.ndarray], sides: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        i, j = forest(cols[0], [cols[k] for k in used], sides, bits)
+        if len(i):
+            yield _rows(names, [cols[1][i], cols[1][j], *[None] * len(carried)])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for late, (anchor, prints) in _runs(batches, 2, block):
+        for late, cols in _runs(batches, len(carried), block):
             if late:
-                yield _rows(prints, None, anchor)
-                continue
-            a, b = forest(anchor, prints, bits=bits)
-            if len(a):
-                yield _rows(a, b, None)
-
-    met = points.select("fp").mapInArrow(replicate, "anchor long, fp long").repartition("anchor").sortWithinPartitions("anchor")
-    first = keep(met.mapInArrow(compare, _LINKS), "links", rows=10_000)
-    found = first.where("b IS NOT NULL").select("a", "b")
-    crowded = first.where("b IS NULL").select("anchor", F.col("a").alias("fp"))
-    sizes = keep(crowded.groupBy("anchor").agg(F.count("*").alias("size")), "crowded")
+                yield _rows(names, [None, None, *cols])
+            else:
+                yield from linked(cols, None)
+
+    first = keep(met.repartition("key").sortWithinPartitions("key").mapInArrow(compare, schema), "links", rows=10_000)
+    found = first.where("a IS NOT NULL").select("a", "b")
+    crowded = first.where("a IS NULL").select(*carried)
+    sizes = keep(crowded.groupBy("key").agg(F.count("*").alias("size")), "crowded")
     if sizes.isEmpty():
         return found
-    # A point of a crowded anchor is in one block, and so in one pair of blocks with every block.
+    # A row of a crowded key is in one block, and so in one pair of blocks with every block.
     blocks = F.ceil(F.col("size") / block).cast("long")
-    dealt = crowded.join(sizes, "anchor").select("anchor", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).alias("own"))
+    dealt = crowded.join(sizes, "key").select(*carried, blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).alias("own"))
     pairs = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with")).select(
-        F.xxhash64("anchor", F.least("own", "with"), F.greatest("own", "with")).alias("pair"), "fp",
-        # Within a block all are compared: both sides then differ for any two.
+        F.xxhash64("key", F.least("own", "with"), F.greatest("own", "with")).alias("key"), *carried[1:],
+        # Within a block all are compared; of two blocks, rows of different ones.
         F.when(F.col("own") == F.col("with"), F.lit(-1).cast("long")).otherwise(F.col("own")).alias("side"),
     )
 
     def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (pair, prints, side) in _runs(batches, 3, 1 << 62):
-            own = side == np.uint64(2**64 - 1)
-            for chosen, sides in ((own, None), (~own, side[~own])):
-                if chosen.any():
-                    a, b = forest(pair[chosen], prints[chosen], sides, bits)
-                    if len(a):
-                        yield _rows(a, b, None)
-
-    second = pairs.repartition("pair").sortWithinPartitions("pair").mapInArrow(compare_blocks, _LINKS)
+        for _, cols in _runs(batches, len(carried) + 1, 1 << 62):
+            within = cols[-1] == np.uint64(2**64 - 1)
+            if within.any():
+                yield from linked([c[within] for c in cols], None)
+            if not within.all():
+                across = [c[~within] for c in cols]
+                yield from linked(across, across[-1])
+
+    second = pairs.repartition("key").sortWithinPartitions("key").mapInArrow(compare_blocks, schema)
     return found.unionByName(keep(second, "block-links", rows=10_000).select("a", "b"))
 
 
+def links(points: DataFrame, bits: int = LINK_BITS, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that join the components of the distinct fingerprints in column `fp`; written."""
+
+    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            index, keys = anchor_keys(prints)
+            yield _rows(["key", "fp"], [keys, prints[index]])
+
+    return _met(points.select("fp").mapInArrow(replicate, "key long, fp long"), ["fp"], bits, block)
+
+
+def wide_links(points: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) of (fp, wide) rows that share a band and whose wide fingerprints are as close as `similarity` makes them.
+
+    `wide` holds the words of the fingerprint and then the bands, as longs.
+    """
+    words = [f"w{k}" for k in range(WIDE_WORDS)]
+    met = points.select(
+        F.explode(F.slice("wide", WIDE_WORDS + 1, BANDS)).alias("key"), "fp", *[F.get("wide", k).alias(w) for k, w in enumerate(words)],
+    )
+    return _met(met, words, wide_bits(similarity), block)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(point, root) for all points of the links: alternating large and small stars until nothing changes."""
     state = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
@@ -308,18 +371,42 @@ def near_copies(
     )
 
 
+def with_wide(df: DataFrame, text_col: str, fp: str, wide: str, shingle: int = SHINGLE) -> DataFrame:
+    """`df` with the fingerprint, and the wide fingerprint with its bands as an array of longs."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text_col).to_pylist()
+            prints = np.array([majority(hashes(t, shingle)) for t in texts], dtype=np.uint64)
+            found = [wide_print(t) for t in texts]
+            longs = [np.concatenate([np.array(check, dtype=np.uint64).view(np.int64), bands]) for check, bands in found]
+            more = [pa.array(prints.view(np.int64)), pa.array(longs, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, fp, wide])
+
+    return df.mapInArrow(add, extended(df, **{fp: "long", wide: ArrayType(LongType())}))
+
+
 def one_of_each(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = LINK_BITS, block: int = BLOCK,
+    similarity: float | None = None,
 ) -> DataFrame:
-    """`df` with one row of each component: that of the smallest id, nulls last; of equal ones the first written."""
-    fp, row, least = fresh(df, "fp"), fresh(df, "row"), fresh(df, "least")
+    """`df` with one row of each component: that of the smallest id, nulls last; of equal ones the first written.
+
+    With a `similarity`, texts also link when their five-word shingles are about as similar as that or more: wide
+    fingerprints that share a band tell it, within some hundredths.
+    """
+    fp, row, least, wide = (fresh(df, name) for name in ("fp", "row", "least", "wide"))
+    printed = with_fingerprint(df, text_col, fp, shingle) if similarity is None else with_wide(df, text_col, fp, wide, shingle)
     # Written with row numbers, which then stay as they are.
-    marked = keep(with_fingerprint(df, text_col, fp, shingle).withColumn(row, F.monotonically_increasing_id()), "marked")
-    ids = marked.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    marked = keep(printed.withColumn(row, F.monotonically_increasing_id()), "marked")
     # Numbered by (id, row): a component's smallest pair is the row that stays.
-    first = F.struct(F.col("id").isNull(), "id", "row")
-    points = keep(ids.groupBy("fp").agg(F.min(first).alias("id")), "points")
-    roots = components(links(points, bits, block))
-    joined = points.join(roots.withColumnRenamed("point", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    stay = joined.groupBy("root").agg(F.min("id").alias("id")).select(F.col("id.row").alias(least))
-    return marked.join(stay, F.col(row) == F.col(least), "left_semi").drop(fp, row)
+    first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    ids = marked.select(F.col(fp).alias("fp"), first.alias("id"), *([F.col(wide).alias("wide")] if similarity is not None else []))
+    kept = [F.min("id").alias("id")] + ([F.min_by("wide", "id").alias("wide")] if similarity is not None else [])
+    points = keep(ids.groupBy("fp").agg(*kept), "points")
+    edges = links(points, bits, block)
+    if similarity is not None:
+        edges = edges.unionByName(wide_links(points, similarity, block))
+    joined = points.select("fp", "id").join(components(edges).withColumnRenamed("point", "fp"), "fp", "left")
+    stay = joined.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("id").alias("id")).select(F.col("id.row").alias(least))
+    return marked.join(stay, F.col(row) == F.col(least), "left_semi").select(*df.columns)

@@ -98,3 +98,38 @@ def test_components_of_a_long_chain(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_copies(docs).count() == 0 and simhash.one_of_each(docs).count() == 0
+
+
+def shingle_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_similar_texts_go_and_others_stay(spark):
+    docs = spark.read.parquet(DOCS).where("doc_id < 1000")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    prints = {i: plain_print(t) for i, t in texts.items()}
+    stay = {r.doc_id for r in simhash.one_of_each(docs, similarity=0.8).collect()}
+    similar = {}
+    for i in texts:
+        for j in texts:
+            if i < j and sets[i] & sets[j]:
+                s = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+                if s >= 0.6 or (prints[i] ^ prints[j]).bit_count() <= 3:
+                    similar[i, j] = s
+    assert sum(s >= 0.85 for s in similar.values()) > 20
+    assert not [p for p, s in similar.items() if s >= 0.85 and p[0] in stay and p[1] in stay]
+    relatives = {i for p in similar for i in p}
+    assert all(i in stay for i in texts if i not in relatives)
+
+
+def test_similarity_in_a_crowded_band(spark):
+    rng = np.random.default_rng(6)
+    base = [f"w{k}" for k in rng.integers(0, 5000, 400)]
+    rows = [(i, " ".join(w if k != (7 * i) % 400 else f"new{i}" for k, w in enumerate(base))) for i in range(60)]
+    rows += [(100 + i, " ".join(f"u{k}" for k in rng.integers(0, 5000, 100))) for i in range(20)] + [(200, None), (201, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, wide string").selectExpr("doc_id", "wide AS text", "doc_id AS wide")
+    for block in (4096, 8):
+        got = sorted(r.doc_id for r in simhash.one_of_each(docs, similarity=0.8, block=block).collect())
+        assert got == [0, *range(100, 120), 200]
