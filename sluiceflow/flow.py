@@ -70,5 +70,12 @@ class Flow:
     def match(self, key: str, score: str) -> Flow:
         return Flow(verbs.match(self.df, key, score))
 
+    def write(self, record_format: str, path: str, *order_by: str) -> Flow:
+        """Write the records in a registered format and go on with them."""
+        from sluiceflow.sources.formats import writer
+
+        writer(record_format)(self.df, path, order_by)
+        return self
+
     def result(self) -> DataFrame:
         return self.df

@@ -155,8 +155,8 @@ def read_polygons(spark: SparkSession, path: str) -> DataFrame:
 SPECTRUM = "_id string, _index bigint, cvParam array<struct<_name string, _value string>>"
 
 
-def read_spectra(spark: SparkSession, path: str, level: str | None = "2") -> DataFrame:
-    """(_id, _index, cvParam): spectra of an mzML file, by default those with MS level 2.
+def read_spectra_xml(spark: SparkSession, path: str) -> DataFrame:
+    """(xml): the spectrum elements of an mzML file as they are.
 
     The text is cut at the closing tags, so one large file is shared by many
     tasks; each piece then holds one spectrum's XML.
@@ -165,7 +165,12 @@ def read_spectra(spark: SparkSession, path: str, level: str | None = "2") -> Dat
     empty = F.regexp_extract_all("value", F.lit(r"<spectrum\s[^<>]*/>"), F.lit(0))
     element = F.regexp_extract("value", r"(?s).*(<spectrum\s[^<>]*[^<>/]>.*)", 1)
     whole = F.when(element != "", F.array(F.concat(element, F.lit("</spectrum>")))).otherwise(F.array().cast("array<string>"))
-    pieces = spark.read.text(path, lineSep="</spectrum>").select(F.explode(F.concat(empty, whole)).alias("xml"))
+    return spark.read.text(path, lineSep="</spectrum>").select(F.explode(F.concat(empty, whole)).alias("xml"))
+
+
+def read_spectra(spark: SparkSession, path: str, level: str | None = "2") -> DataFrame:
+    """(_id, _index, cvParam): spectra of an mzML file, by default those with MS level 2."""
+    pieces = read_spectra_xml(spark, path)
     if level is not None:
         # A cheap text test before any XML is parsed; the exact test follows.
         pieces = pieces.where(F.col("xml").contains("ms level"))

@@ -1,9 +1,12 @@
 """Literal files in, exact records out; small splits force records across boundaries."""
 
+from xml.etree import ElementTree
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sluiceflow.flow import Flow
 from sluiceflow.functions import text as fn
 from sluiceflow.operators import sorting
 from sluiceflow.operators.neighbors import merge_lists
@@ -301,3 +304,61 @@ def test_list_folders(spark, put):
     put("b/2.txt", "x")
     folder = put("b/3.txt", "x")
     assert values(records.list_folders(spark, folder), "folder") == ["a", "b"]
+
+
+def rows_of(df):
+    return sorted(str(sorted(r.asDict(recursive=True).items())) for r in df.collect())
+
+
+ROUND_TRIPS = {
+    "new_line": ("a.txt", "first line\nsecond\n"),
+    "bed": ("a.bed", "chr1\t5\t9\nchr2\t1.5\t3\tname\t+\n"),
+    "fasta": ("a.fasta", ">p1 x\nMKV\nLL\n>p2\n"),
+    "blast": ("a.blast", "target_name: t 1\nquery_name: q\noptimal_alignment_score: 12\tsuboptimal_alignment_score: 3\n\ntarget_name: t2\nquery_name: r\noptimal_alignment_score: 7\tsuboptimal_alignment_score: 0\n"),
+    "knn": ("a.knn", "3 1 9 9 9,0.250000 2,0.500000 0\n7 7 1 2 3,0.125000 1\n"),
+    "pixel": ("a.pixel", "0 1 255 3 4\n2 3 4 5 6\n"),
+    "pivot": ("a.pivot", "store\nkey/of/it\n-4\t0\t6\t90"),
+    "percolator": ("a.tsv", "scan\ta\tb\tc\td\te\tf\tq-value\tsequence\n4\t1\t\t3\t4\t5\t6\t0.25\tPEPK\n9\t1\t2\t3\t4\t5\t6\t0.5\tLLR\n"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(ROUND_TRIPS))
+def test_formats_are_written_as_they_are_read(spark, put, tmp_path, name):
+    file, content = ROUND_TRIPS[name]
+    source = put(f"in/{file}", content) + "/in"
+    out = str(tmp_path / "out")
+    kept = lambda df: df.drop("path")
+    Flow.input(spark, name, source).write(name, out)
+    assert rows_of(kept(formats.read(spark, name, out))) == rows_of(kept(formats.read(spark, name, source)))
+
+
+def test_reads_are_written_in_order(spark, put, tmp_path):
+    text = "".join(f"@{i}\n{s}\n+\n{q}\n" for i, s, q in READS)
+    source = put("in/a.fastq", text) + "/in"
+    out = tmp_path / "out"
+    formats.combine(spark, "fastq", [source, source], str(out), "id")
+    assert sorted(values(read_fastq(spark, str(out)), "id", "seq", "qual")) == sorted(READS * 2)
+    merged = "".join(p.read_text() for p in sorted(out.glob("part-*")))
+    assert [line[1:] for line in merged.split("\n")[:-1][::4]] == sorted(i for i, _, _ in READS * 2)
+
+
+def test_merged_spectra_are_one_indexed_file(spark, put, tmp_path):
+    def spectrum(n):
+        return f'<spectrum index="7" id="scan={n}" note="é"><cvParam name="ms level" value="2"/><binary>AA{n}=</binary></spectrum>'
+
+    one = put("in1/a.mzML", f'<mzML><run><spectrumList count="2">{spectrum(1)}{spectrum(3)}</spectrumList></run></mzML>') + "/in1"
+    put("in2/b.mzML", f'<mzML><run><spectrumList count="2">{spectrum(2)}<spectrum index="9" id="scan=4"/></spectrumList></run></mzML>')
+    out = tmp_path / "out"
+    formats.combine(spark, "mzML", [one, one.replace("in1", "in2")], str(out))
+    data = b"".join(p.read_bytes() for p in sorted(out.glob("part-*")))
+    root = ElementTree.fromstring(data)
+    space = "{http://psi.hupo.org/ms/mzml}"
+    spectra = root.findall(f".//{space}spectrum")
+    assert [(s.get("index"), s.get("id")) for s in spectra] == [(str(i), f"scan={i + 1}") for i in range(4)]
+    assert root.find(f".//{space}spectrumList").get("count") == "4"
+    for offset in root.findall(f".//{space}offset"):
+        place = data[int(offset.text) :]
+        assert place.startswith(b"<spectrum ") and f'id="{offset.get("idRef")}"'.encode() in place[:60]
+    index = int(root.find(f"{space}indexListOffset").text)
+    assert data[index:].startswith(b"<indexList ")
+    assert spectra[2].find(f"{space}binary").text == "AA3="
