@@ -6,8 +6,10 @@ partitioned around pivots as in Lu et al., "Efficient Processing of k Nearest
 Neighbor Joins using MapReduce" (VLDB 2012): the triangle inequality bounds how
 far a cell's test vectors can be from their k-th neighbour, and a training
 vector is sent only to the cells within that bound. Cells are cut into blocks
-of bounded size on both sides, so a crowded cell is shared by many tasks, and a
-task only ever emits its k best per test vector.
+of test vectors, which a task holds while the cell's training vectors stream
+past, and it emits the k best once. Only a cell with very many training vectors
+is shared by several tasks per block, so the partial lists do not grow with the
+training blocks.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from sluiceflow.session import at_most, materialize
 
 MAX_PIVOTS = 2048
 # Numbers the driver may hold while bounding the cells: pivots² × (k + 1).
-BOUND_VALUES = 50_000_000
+BOUND_VALUES = 10_000_000
 BLOCK_ROWS = 4096
+# Training blocks that stream past one held test block.
+STREAM_BLOCKS = 256
 SEND_ALL_VALUES = 4_000_000
 _TILE = 2_000_000
 _SLACK = 1e-9
@@ -183,7 +187,7 @@ def _by_cells(
 
     loads = train.mapInPandas(tally, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     train_blocks = np.ones(len(centres), dtype=int)
-    train_blocks[loads["cell"].to_numpy(dtype=int)] = np.maximum(1, np.ceil(loads["n"].to_numpy() / block)).astype(int)
+    train_blocks[loads["cell"].to_numpy(dtype=int)] = np.maximum(1, np.ceil(loads["n"].to_numpy() / (block * STREAM_BLOCKS))).astype(int)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -208,15 +212,38 @@ def _by_cells(
         .withColumn("tb", every(test_blocks))
     )
 
-    def solve(tests: pd.DataFrame, trains: pd.DataFrame) -> pd.DataFrame:
-        if tests.empty or trains.empty:
-            return pd.DataFrame({"test_id": [], "train_id": [], "distance": []})
-        return block_nearest(
-            tests["id"].to_numpy(), matrix(tests["vec"]), trains["id"].to_numpy(), matrix(trains["vec"]), k, skip_same
-        )
-
     keys = ["cell", "tb", "sb"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(solve, _PAIR)
+    both = left.select(*keys, F.lit(0).alias("side"), "id", "vec").unionByName(right.select(*keys, F.lit(1).alias("side"), "id", "vec"))
+    laid = both.repartition(*keys).sortWithinPartitions(*keys, "side")
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        test_side: tuple[np.ndarray, np.ndarray] | None = None
+        best: pd.DataFrame | None = None
+        last = None
+        for batch in batches:
+            for key, rows in batch.groupby([*keys, "side"], sort=False):
+                if key[:3] != last:
+                    if best is not None:
+                        yield best
+                    held, test_side, best, last = [], None, None, key[:3]
+                if key[3] == 0:
+                    held.append(rows[["id", "vec"]])
+                    continue
+                if not held:
+                    continue
+                if test_side is None:
+                    tests = pd.concat(held)
+                    test_side = tests["id"].to_numpy(), matrix(tests["vec"])
+                found = block_nearest(*test_side, rows["id"].to_numpy(), matrix(rows["vec"]), k, skip_same)
+                if best is not None:
+                    found = pd.concat([best, found]).sort_values(["test_id", "distance", "train_id"], kind="stable")
+                    found = found.groupby("test_id", sort=False).head(k)
+                best = found
+        if best is not None:
+            yield best
+
+    return laid.mapInPandas(solve, _PAIR)
 
 
 def _fields(df: DataFrame) -> str:

@@ -329,3 +329,17 @@ def test_shuffles_grow_with_the_input(spark, tmp_path, monkeypatch):
     with session.sized_shuffles(df):
         assert df.repartitionByRange("id").rdd.getNumPartitions() >= 39
     assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
+
+
+def test_partial_neighbours_do_not_grow_with_training_blocks(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "id bigint, vec array<double>")
+    for block in (20, 200):
+        partial = neighbors._by_cells(df, df, 5, True, 4, block)
+        assert partial.count() <= 2 * 600 * 5
+        got = {(r.test_id, r["rank"]): r.train_id for r in neighbors.merge_nearest(partial, 5).collect()}
+        vectors = np.array([v for _, v in rows])
+        away = ((vectors[:, None] - vectors[None]) ** 2).sum(2)
+        np.fill_diagonal(away, np.inf)
+        assert all(got[i, k + 1] == j for i, line in enumerate(away.argsort(axis=1, kind="stable")[:, :5].tolist()) for k, j in enumerate(line))
