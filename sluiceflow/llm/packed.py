@@ -32,10 +32,12 @@ def pieces(
     df: DataFrame, id_col: str, text_col: str, tokenizer: str = WORD_BPE, capacity: int = CAPACITY, end_id: int = END_ID,
     with_ids: bool = False,
 ) -> DataFrame:
-    """A written row per piece; `with_ids` keeps the ids as little-endian bytes of two or four each."""
+    """A written row per piece; `with_ids` keeps the ids, compressed, as little-endian bytes of two or four each."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_ids(tokenizer)
+        import zstandard
+
+        encoder, pack = word_ids(tokenizer), zstandard.ZstdCompressor().compress
         kind = np.dtype("<u2" if encoder.size <= 1 << 16 else "<u4")
         part, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
@@ -47,7 +49,7 @@ def pieces(
                 first = end
                 for k, start in enumerate(range(0, len(own), capacity)):
                     piece = own[start : start + capacity]
-                    row = (doc, k, start, len(piece), zlib.crc32(piece), seen[len(piece)], piece.astype(kind).tobytes() if with_ids else None)
+                    row = (doc, k, start, len(piece), zlib.crc32(piece), seen[len(piece)], pack(piece.astype(kind).tobytes()) if with_ids else None)
                     seen[len(piece)] += 1
                     for column, value in zip(out.values(), row):
                         column.append(value)
@@ -107,12 +109,15 @@ def pack_ids(
         yield from build(held)
 
     def build(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         out, at = [], 0
         while at < len(rows):
             stop = at
             while stop < len(rows) and rows[stop][0] == rows[at][0]:
                 stop += 1
-            own = rows[at:stop]
+            own = [(*r[:6], unpack(r[6])) for r in rows[at:stop]]
             width = len(own[0][6]) // own[0][2]
             matrix = np.full(capacity, pad_id, dtype=f"<u{width}")
             position = np.zeros(capacity, dtype=matrix.dtype)
