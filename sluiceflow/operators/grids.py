@@ -46,12 +46,17 @@ def around(
     )
 
 
-def window_features(cells: DataFrame, value: str, width: int = 1, height: int = 1, outside: int = 0, by: Sequence[str] = ()) -> DataFrame:
-    """The window's values in row order, `outside` where the image ends."""
+def window_features(
+    cells: DataFrame, value: str | Sequence[str], width: int = 1, height: int = 1, outside: int = 0, by: Sequence[str] = (),
+) -> DataFrame:
+    """The window's values in row order, `outside` where the image ends; of several channels, a place's values stand together."""
+    channels = [value] if isinstance(value, str) else list(value)
     slots = (2 * width + 1) * (2 * height + 1)
-    found = [F.max(F.when(F.col("slot") == i, F.col(value))).alias(f"__w{i}") for i in range(slots)]
-    flat = F.array(*[F.coalesce(F.col(f"__w{i}"), F.lit(outside)) for i in range(slots)])
-    return around(cells, [value], found, width, height, by).select(*by, "x", "y", flat.alias("features"))
+    found = [
+        F.max(F.when(F.col("slot") == i, F.col(c))).alias(f"__w{i}_{k}") for i in range(slots) for k, c in enumerate(channels)
+    ]
+    flat = F.array(*[F.coalesce(F.col(f"__w{i}_{k}"), F.lit(outside)) for i in range(slots) for k in range(len(channels))])
+    return around(cells, channels, found, width, height, by).select(*by, "x", "y", flat.alias("features"))
 
 
 def clean_borders(cells: DataFrame, cls: str = "cls", by: Sequence[str] = ()) -> DataFrame:

@@ -68,14 +68,17 @@ def reach(vertices: Column, slack: float = SLACK) -> Column:
 
 
 def pair_with_polygons(
-    points: DataFrame, polygons: DataFrame, condition: Column, cell: float = 100.0, margin: Column | float = 0.0,
+    points: DataFrame, polygons: DataFrame, condition: Column, cell: float | None = None, margin: Column | float = 0.0,
     limit: int = REPLICATE_LIMIT,
 ) -> DataFrame:
     """Points (x, y, …) with the polygons (name, vertices) for which `condition` holds.
 
     Joined by grid cell: a polygon is listed in all cells its box, widened by
-    `margin`, touches, and a point looks in its own cell only. A short list is
-    sent to every executor, so that the points do not move.
+    `margin`, touches, and a point looks in its own cell only. Without a given
+    `cell` its side is the mean extent of the widened boxes, so that an outline
+    has few cells and a cell few outlines. A short list is sent to every
+    executor, so that the points do not move; else a busy cell's points are
+    split by the adaptive skew join.
     """
     margin = F.lit(margin) if isinstance(margin, float) else margin
 
@@ -84,6 +87,13 @@ def pair_with_polygons(
         return F.sequence(F.floor((F.array_min(values) - margin) / cell), F.floor((F.array_max(values) + margin) / cell))
 
     drawn = polygons.where(F.size("vertices") > 0)
+    if cell is None:
+        def width(axis: str) -> Column:
+            values = F.transform("vertices", lambda v: v[axis])
+            return F.array_max(values) - F.array_min(values)
+
+        extent = F.greatest(width("x"), width("y"))
+        cell = drawn.agg(F.avg(extent + 2 * margin)).first()[0] or 1.0
     listed = drawn.withColumn("__cx", F.explode(spanned("x"))).withColumn("__cy", F.explode(spanned("y")))
     placed = points.withColumn("__cx", F.floor(F.col("x") / cell)).withColumn("__cy", F.floor(F.col("y") / cell))
     joined = placed.join(replicated_if_small(listed, limit), ["__cx", "__cy"])

@@ -10,9 +10,9 @@ from sluiceflow.operators.sorting import bin_column
 from sluiceflow.plans.catalog import query
 from sluiceflow.plans.views import GRID, PRICES, SECOND, TASKLOG, grid, tasklog
 from sluiceflow.functions import costs
-from sluiceflow.session import load, materialize, small_table
+from sluiceflow.session import load, materialize, scratch_path, small_table
+from sluiceflow.sources import records
 
-DAY_OF_MONTH = "CAST(day(ts) AS INTEGER)"
 
 
 @query("map_cross", """
@@ -304,6 +304,33 @@ def window_features(spark, d):
     return features.withColumn("features", F.concat_ws(",", F.col("features").cast("array<string>")))
 
 
+@query("window_features_rgb", """
+WITH pixel AS (SELECT vec_id % 25 AS x, vec_id // 25 AS y, [label, vec_id % 7, vec_id % 256] AS rgb FROM embeddings)
+SELECT c.x, c.y, string_agg(CAST(coalesce(g.rgb[k], 0) AS VARCHAR), ',' ORDER BY o.dy, o.dx, k) AS features
+FROM pixel c CROSS JOIN (SELECT dx, dy, k FROM (SELECT unnest(range(-1, 2)) AS dx) CROSS JOIN (SELECT unnest(range(-1, 2)) AS dy)
+  CROSS JOIN (SELECT unnest(range(1, 4)) AS k)) o
+LEFT JOIN pixel g ON g.x = c.x + o.dx AND g.y = c.y + o.dy GROUP BY 1, 2""")
+def window_features_rgb(spark, d):
+    """Windows of three channels: 27 values per pixel, with one shuffle."""
+    pixels = load(spark, d, "embeddings").select(
+        (F.col("vec_id") % 25).alias("x"), F.expr("vec_id div 25").alias("y"), F.col("label").cast("bigint").alias("r"),
+        (F.col("vec_id") % 7).alias("g"), (F.col("vec_id") % 256).alias("b"),
+    )
+    features = grids.window_features(pixels, ["r", "g", "b"])
+    return features.withColumn("features", F.concat_ws(",", F.col("features").cast("array<string>")))
+
+
+@query("map_listing", """
+SELECT n_nationkey, 'o_orderstatus=' || s AS folder, row_number() OVER (PARTITION BY n_nationkey ORDER BY s) AS file_id
+FROM nation CROSS JOIN (SELECT DISTINCT o_orderstatus AS s FROM orders)""")
+def map_listing(spark, d):
+    """Every nation with every folder below a written table: a listing is the key side of `map`."""
+    path = scratch_path(spark, "listed")
+    load(spark, d, "orders").select("o_orderkey", "o_orderstatus").write.partitionBy("o_orderstatus").parquet(path)
+    folders = records.list_folders(spark, path)
+    return op.fan_out(load(spark, d, "nation").select("n_nationkey"), folders, ["folder"]).select("n_nationkey", "folder", "file_id")
+
+
 @query("match_best", """
 SELECT l_suppkey, count(*) FILTER (WHERE l_discount <= 0.01) AS score FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1""")
 def match_best(spark, d):

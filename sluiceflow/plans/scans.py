@@ -329,6 +329,26 @@ def scan_scores(spark, d):
     )
 
 
+@query("scan_score_matrix", """
+WITH cell AS (SELECT 'supplier' || l_suppkey AS species, l_returnflag AS file, count(*) FILTER (WHERE l_discount <= 0.0) AS score FROM lineitem GROUP BY 1, 2),
+every AS (SELECT f.file, s.species FROM (SELECT DISTINCT file FROM cell) f CROSS JOIN (SELECT DISTINCT species FROM cell) s)
+SELECT file, species, coalesce(score, 0) AS score, CAST(NULL AS DOUBLE) AS cost FROM every LEFT JOIN cell USING (file, species)
+UNION ALL SELECT file, 'Cost', NULL, 1.25 FROM (SELECT DISTINCT file FROM cell)""")
+def scan_score_matrix(spark, d):
+    """A wide score table taken apart: blanks are 0, each file gets its own folder with its cost, and is read again."""
+    counted = load(spark, d, "lineitem").groupBy(F.concat(F.lit("supplier"), "l_suppkey").alias("species")).pivot("l_returnflag", ["A", "N", "R"]).agg(
+        F.count(F.when(F.col("l_discount") <= 0.0, F.lit(1)))
+    )
+    files = {f"run/{c}": F.nullif(F.col(c), F.lit(0)).cast("string") for c in ("A", "N", "R")}
+    cost = spark.range(1).select(F.lit("Cost").alias("species"), *[F.lit("1.25").alias(f) for f in files])
+    wide, path = scratch_path(spark, "matrix"), scratch_path(spark, "matrix-files")
+    counted.select("species", *[c.alias(f) for f, c in files.items()]).unionByName(cost).write.option("header", True).csv(wide)
+    logs.write_score_files(logs.read_score_matrix(spark, wide), path)
+    return logs.read_scores(spark, path).select(
+        F.regexp_extract("path", "/file=([^/]+)/", 1).alias("file"), "species", F.col("score").cast("bigint").alias("score"), "cost",
+    )
+
+
 @query("scan_access", """
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events WHERE event_type <> 'error' AND CAST(ts AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-20' GROUP BY 1""")
 def scan_access(spark, d):

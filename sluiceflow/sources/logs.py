@@ -58,6 +58,31 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_score_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """(file, species, score, cost): a wide table with a column per file, a `Cost` row and a row per species.
+
+    Files are named by what follows the first slash of a column's name. A blank
+    score is 0; the cost row has the cost instead of a score.
+    """
+    wide = spark.read.csv(path, header=True)
+    first, files = wide.columns[0], wide.columns[1:]
+    long = wide.select(F.col(f"`{first}`").alias("species"), F.explode(F.array(*[
+        F.struct(F.lit(f.split("/", 1)[-1]).alias("file"), F.trim(F.col(f"`{f}`")).alias("value")) for f in files
+    ])).alias("cell"))
+    value, is_cost = F.nullif(F.col("cell.value"), F.lit("")), F.lower("species") == "cost"
+    return long.select(
+        "cell.file", "species", F.when(~is_cost, F.when(value.isNull(), F.lit(0.0)).otherwise(value.try_cast("double"))).alias("score"),
+        F.when(is_cost, value.try_cast("double")).alias("cost"),
+    )
+
+
+def write_score_files(scores: DataFrame, path: str) -> None:
+    """A folder `file=…` per file with `species,score` lines and its `Cost` line, as `read_scores` reads them."""
+    shown = F.coalesce("cost", "score")
+    text = F.when(shown == F.floor(shown), shown.cast("bigint").cast("string")).otherwise(shown.cast("string"))
+    scores.select("file", F.concat_ws(",", "species", text).alias("value")).write.partitionBy("file").text(path)
+
+
 def read_access(spark: SparkSession, path: str, column: int = 6) -> DataFrame:
     """(at): the timestamps of an access log, leaving out rows that lack a date or a time."""
     names = ", ".join(f"c{i} string" for i in range(column + 1))
