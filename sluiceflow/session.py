@@ -37,6 +37,8 @@ def build_session(app: str = "sluiceflow", master: str | None = None, **conf: st
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Rows can be long texts; a Python worker holds a batch at a time.
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 * 1024 * 1024))
         .config("spark.sql.parquet.compression.codec", "zstd")
     )
     if master:
