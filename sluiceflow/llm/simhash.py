@@ -371,8 +371,15 @@ def near_copies(
     )
 
 
-def with_wide(df: DataFrame, text_col: str, fp: str, wide: str, shingle: int = SHINGLE) -> DataFrame:
-    """`df` with the fingerprint, and the wide fingerprint with its bands as an array of longs."""
+def text_key(text: str | None) -> int:
+    """A 64-bit name of the sequence of words, on which all shingles depend."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(b" ".join((text or "").encode("utf-8", "replace").lower().split()), SEED + 1)
+
+
+def with_wide(df: DataFrame, text_col: str, fp: str, wide: str, point: str, shingle: int = SHINGLE) -> DataFrame:
+    """`df` with the fingerprint, the wide fingerprint with its bands as an array of longs, and the text's key."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -380,10 +387,20 @@ def with_wide(df: DataFrame, text_col: str, fp: str, wide: str, shingle: int = S
             prints = np.array([majority(hashes(t, shingle)) for t in texts], dtype=np.uint64)
             found = [wide_print(t) for t in texts]
             longs = [np.concatenate([np.array(check, dtype=np.uint64).view(np.int64), bands]) for check, bands in found]
-            more = [pa.array(prints.view(np.int64)), pa.array(longs, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, fp, wide])
+            named = np.array([text_key(t) for t in texts], dtype=np.uint64)
+            more = [pa.array(prints.view(np.int64)), pa.array(longs, pa.list_(pa.int64())), pa.array(named.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, fp, wide, point])
+
+    return df.mapInArrow(add, extended(df, **{fp: "long", wide: ArrayType(LongType()), point: "long"}))
+
 
-    return df.mapInArrow(add, extended(df, **{fp: "long", wide: ArrayType(LongType())}))
+def print_links(points: DataFrame, bits: int = LINK_BITS, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that join the (point, fp) rows with close fingerprints; points of one fingerprint link to the smallest of them."""
+    heads = keep(points.groupBy("fp").agg(F.min("point").alias("head")), "heads")
+    a, b = (heads.select(F.col("fp").alias(side), F.col("head").alias(f"head_{side}")) for side in "ab")
+    across = links(heads, bits, block).join(a, "a").join(b, "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    within = points.join(heads, "fp").where("point <> head").select(F.col("point").alias("a"), F.col("head").alias("b"))
+    return keep(across.unionByName(within), "print-links")
 
 
 def one_of_each(
@@ -395,18 +412,20 @@ def one_of_each(
     With a `similarity`, texts also link when their five-word shingles are about as similar as that or more: wide
     fingerprints that share a band tell it, within some hundredths.
     """
-    fp, row, least, wide = (fresh(df, name) for name in ("fp", "row", "least", "wide"))
-    printed = with_fingerprint(df, text_col, fp, shingle) if similarity is None else with_wide(df, text_col, fp, wide, shingle)
+    fp, row, least, wide, point = (fresh(df, name) for name in ("fp", "row", "least", "wide", "point"))
+    printed = with_fingerprint(df, text_col, fp, shingle) if similarity is None else with_wide(df, text_col, fp, wide, point, shingle)
     # Written with row numbers, which then stay as they are.
     marked = keep(printed.withColumn(row, F.monotonically_increasing_id()), "marked")
     # Numbered by (id, row): a component's smallest pair is the row that stays.
-    first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
-    ids = marked.select(F.col(fp).alias("fp"), first.alias("id"), *([F.col(wide).alias("wide")] if similarity is not None else []))
-    kept = [F.min("id").alias("id")] + ([F.min_by("wide", "id").alias("wide")] if similarity is not None else [])
-    points = keep(ids.groupBy("fp").agg(*kept), "points")
-    edges = links(points, bits, block)
-    if similarity is not None:
-        edges = edges.unionByName(wide_links(points, similarity, block))
-    joined = points.select("fp", "id").join(components(edges).withColumnRenamed("point", "fp"), "fp", "left")
-    stay = joined.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("id").alias("id")).select(F.col("id.row").alias(least))
+    first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias("id")
+    if similarity is None:
+        points = keep(marked.select(F.col(fp).alias("point"), first).groupBy("point").agg(F.min("id").alias("id")), "points")
+        edges = links(points.select(F.col("point").alias("fp")), bits, block)
+    else:
+        # Different texts are points of their own, also where their fingerprints are equal.
+        ids = marked.select(F.col(point).alias("point"), F.col(fp).alias("fp"), F.col(wide).alias("wide"), first)
+        points = keep(ids.groupBy("point").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min_by("wide", "id").alias("wide")), "points")
+        edges = print_links(points, bits, block).unionByName(wide_links(points.select(F.col("point").alias("fp"), "wide"), similarity, block))
+    joined = points.select("point", "id").join(components(edges), "point", "left")
+    stay = joined.groupBy(F.coalesce("root", "point").alias("root")).agg(F.min("id").alias("id")).select(F.col("id.row").alias(least))
     return marked.join(stay, F.col(row) == F.col(least), "left_semi").select(*df.columns)

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sluiceflow.llm import simhash
 
@@ -133,3 +134,21 @@ def test_similarity_in_a_crowded_band(spark):
     for block in (4096, 8):
         got = sorted(r.doc_id for r in simhash.one_of_each(docs, similarity=0.8, block=block).collect())
         assert got == [0, *range(100, 120), 200]
+
+
+def test_texts_of_one_fingerprint_keep_their_own_links(spark, monkeypatch):
+    """Two different texts with an equal fingerprint: a third one that is similar to the second alone goes too."""
+    rng = np.random.default_rng(8)
+    first, second = ([f"w{k}" for k in rng.integers(0, 5000, 300)] for _ in range(2))
+    third = [w if k % 150 else f"new{k}" for k, w in enumerate(second)]
+    texts = [" ".join(words) for words in (first, second, third)]
+    same = int(np.uint64(simhash.majority(simhash.hashes(texts[0]))).view(np.int64))
+
+    def forged(df, text_col, fp, *names, **more):
+        made = original(df, text_col, fp, *names, **more)
+        return made.withColumn(fp, F.when(F.col(text_col) == texts[1], F.lit(same)).otherwise(F.col(fp)))
+
+    original = simhash.with_wide
+    monkeypatch.setattr(simhash, "with_wide", forged)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in simhash.one_of_each(docs, similarity=0.8).collect()] == [0]
