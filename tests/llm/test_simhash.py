@@ -148,7 +148,29 @@ def test_texts_of_one_fingerprint_keep_their_own_links(spark, monkeypatch):
         made = original(df, text_col, fp, *names, **more)
         return made.withColumn(fp, F.when(F.col(text_col) == texts[1], F.lit(same)).otherwise(F.col(fp)))
 
-    original = simhash.with_wide
-    monkeypatch.setattr(simhash, "with_wide", forged)
+    original = simhash.with_bands
+    monkeypatch.setattr(simhash, "with_bands", forged)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.doc_id for r in simhash.one_of_each(docs, similarity=0.8).collect()] == [0]
+
+
+def test_both_sides_of_the_similarity(spark):
+    """Lone pairs: those at exactly 0.8 and above link, those just below stay, short and long, edited here and there or in one place."""
+    rng = np.random.default_rng(9)
+    word = lambda: f"w{rng.integers(0, 10**9)}"
+    rows, want = [], set()
+    for size in [9, 13, 40, 94, 300, 900]:
+        for _ in range(12):
+            for spread in (False, True):
+                words = [word() for _ in range(size)]
+                places = rng.permutation(size)[: max(1, size // 45)] if spread else []
+                other = [word() if k in places else w for k, w in enumerate(words)] if spread else [*words, *[word() for _ in range((size - 4) // 4)]]
+                if not spread and rng.random() < 0.5:
+                    other.append(word())  # one shingle too many
+                a, b = shingle_set(" ".join(words)), shingle_set(" ".join(other))
+                close = 5 * len(a & b) >= 4 * len(a | b) or (plain_print(" ".join(words)) ^ plain_print(" ".join(other))).bit_count() <= 3
+                want |= {len(rows)} if close else {len(rows), len(rows) + 1}
+                rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8).collect()}
+    assert len(rows) // 2 + 30 < len(want) < len(rows) - 30
+    assert got == want
