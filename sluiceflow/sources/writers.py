@@ -69,8 +69,11 @@ def write_pivots(df: DataFrame, path: str, order_by: Sequence[str] = ()) -> None
 
 
 def write_scored(df: DataFrame, path: str, order_by: Sequence[str] = ()) -> None:
-    """Tab-separated tables with every column of `fields`, a header in each part."""
-    names = (df.select(F.map_keys("fields")).first() or [[]])[0]
+    """Tab-separated tables with every column that any row has in `fields`, a header in each part; a row without it has an empty cell."""
+    # As many as there are headers, in the order of the rows that have them first.
+    headers = df.select(F.map_keys("fields").alias("header"), F.monotonically_increasing_id().alias("at")).groupBy("header").agg(F.min("at").alias("at"))
+    found = sorted((r for r in headers.collect() if r["header"]), key=lambda r: r["at"])
+    names = list(dict.fromkeys(name for r in found for name in r["header"]))
     laid = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by) if order_by else df
     cells = [F.try_element_at("fields", F.lit(n)).alias(n) for n in names]
     laid.select(*cells).write.option("header", True).option("sep", "\t").option("quote", "").option("emptyValue", "").csv(path)

@@ -11,7 +11,7 @@ from sluiceflow.functions import text as fn
 from sluiceflow.operators import sorting
 from sluiceflow.operators.neighbors import merge_lists
 from sluiceflow.operators.ordered import numbered
-from sluiceflow.sources import formats, logs, records, sinks
+from sluiceflow.sources import formats, logs, records, sinks, writers
 from sluiceflow.sources.reads import read_fastq
 
 READS = [
@@ -362,3 +362,17 @@ def test_merged_spectra_are_one_indexed_file(spark, put, tmp_path):
     index = int(root.find(f"{space}indexListOffset").text)
     assert data[index:].startswith(b"<indexList ")
     assert spectra[2].find(f"{space}binary").text == "AA3="
+
+
+def test_merged_scored_tables_keep_the_columns_of_both(spark, tmp_path):
+    paths = []
+    for name, extra, value in (("one", "first only", "x"), ("two", "second only", "y")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "t.tsv").write_text(f"scan\ta\tb\tc\td\te\tf\tq-value\tsequence\t{extra}\n{name}\t1\t2\t3\t4\t5\t6\t0.25\tPEPK\t{value}\n")
+        paths.append(str(tmp_path / name))
+    out = str(tmp_path / "merged")
+    writers.merge(writers.write_scored, out, *[records.read_percolator(spark, p) for p in paths])
+    rows = {r.scan: r for r in records.read_percolator(spark, out).collect()}
+    assert len(rows) == 2 and all(r.qvalue == 0.25 for r in rows.values())
+    assert rows["one"].fields["first only"] == "x" and rows["two"].fields["second only"] == "y"
+    assert not rows["one"].fields["second only"] and not rows["two"].fields["first only"]
