@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluiceflow.llm import chat, decontaminate, findings, lm_scores, media, packed, simhash, sites, url_rules
+from sluiceflow.llm import (
+    chat, decontaminate, findings, lm_scores, media, overlap_join, packed, simhash, sites, url_rules,
+)
 from sluiceflow.llm.common import keep
 from sluiceflow.session import load, small_table
 
@@ -67,10 +69,14 @@ def op10_site_quality(spark: SparkSession, directory: str) -> DataFrame:
     return sites.quality(load(spark, directory, "documents"), load(spark, directory, "labels"))
 
 
+def op11_jaccard_join(spark: SparkSession, directory: str) -> DataFrame:
+    return overlap_join.similar_sets(load(spark, directory, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_media, op2_simhash, op3_secrets, op4_decontamination, op5_lm_scores, op6_url_rules,
-        op7_chat_windows, op8_token_matrices, op9_grouped_packing, op10_site_quality,
+        op7_chat_windows, op8_token_matrices, op9_grouped_packing, op10_site_quality, op11_jaccard_join,
     )
 }
 
@@ -153,4 +159,24 @@ SELECT b.conv_id, count(*) AS n_turns,
          AS formatted_chars
 FROM begun b LEFT JOIN repeated r ON r.conv_id IS NOT DISTINCT FROM b.conv_id GROUP BY b.conv_id"""
 
-ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL, "op6_url_rules": OP6_SQL, "op7_chat_windows": OP7_SQL}
+OP11_SQL = f"""
+WITH RECURSIVE doc AS MATERIALIZED (
+  SELECT row_number() OVER () AS nr, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_SPACED}') AS words FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT nr, array_to_string(words[i:i + 4], ' ') AS s
+  FROM (SELECT nr, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM doc WHERE len(words) > 0)),
+sizes AS MATERIALIZED (SELECT nr, count(*) AS n FROM shingles GROUP BY nr),
+overlap AS (
+  SELECT a.nr AS a, b.nr AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.nr <> b.nr GROUP BY a.nr, b.nr),
+links AS MATERIALIZED (
+  SELECT a, b FROM overlap JOIN sizes x ON x.nr = a JOIN sizes y ON y.nr = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a, min(doc_id) AS low FROM reach JOIN doc ON nr = b GROUP BY a),
+degree AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN low < doc_id OR doc_id IS NULL THEN low ELSE doc_id END AS component_id,
+       coalesce(n_links, 0) AS n_links
+FROM doc LEFT JOIN sizes USING (nr) LEFT JOIN least ON least.a = nr LEFT JOIN degree ON degree.a = nr"""
+
+ORACLES: dict[str, str] = {
+    "op4_decontamination": OP4_SQL, "op6_url_rules": OP6_SQL, "op7_chat_windows": OP7_SQL, "op11_jaccard_join": OP11_SQL,
+}
