@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sluiceflow.llm import (
     chat, decontaminate, findings, lm_scores, media, overlap_join, packed, simhash, sites, url_rules,
+    variants,
 )
 from sluiceflow.llm.common import keep
 from sluiceflow.session import load, small_table
@@ -73,10 +74,15 @@ def op11_jaccard_join(spark: SparkSession, directory: str) -> DataFrame:
     return overlap_join.similar_sets(load(spark, directory, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, directory: str) -> DataFrame:
+    return variants.grouped(load(spark, directory, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_media, op2_simhash, op3_secrets, op4_decontamination, op5_lm_scores, op6_url_rules,
         op7_chat_windows, op8_token_matrices, op9_grouped_packing, op10_site_quality, op11_jaccard_join,
+        op12_spelling_variants,
     )
 }
 
