@@ -1,6 +1,6 @@
 """Jaccard join of shingle sets by vertical partitioning.
 
-The shingles' 64-bit names are the global order. It is cut into fragments,
+The shingles' names of 56 bits are the global order. It is cut into fragments,
 ranges of equal width whose number grows with the text; a set's part in a
 fragment is its segment. Fragments are counted apart from each other, twice:
 
@@ -33,11 +33,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
 from sluiceflow.llm import words
 from sluiceflow.llm.common import keep
-from sluiceflow.llm.simhash import components
+from sluiceflow.llm.graph import components
 from sluiceflow.operators.ordered import Ordered
 from sluiceflow.session import spread
 
@@ -45,27 +45,30 @@ SHINGLE = 5
 # Links need PERCENT * union <= 100 * intersection.
 PERCENT = 80
 # Shingles of a fragment, about; a task holds one fragment at a time.
-FRAGMENT = 2**21
+FRAGMENT = 2**22
 LEAST_FRAGMENTS = 8
 # Sets of a block, and shingles that a block's sets add up to but for its last one.
 BLOCK, BLOCK_SHINGLES = 1024, 2**22
+# Fragments in which the pairs of a cluster are counted.
+CUTS = 8
 _COLUMNS = 4096
 _SPACE = words.byte_kinds(b" \t\n\x0b\x0c\r")
 
 
 def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
-    """The distinct names of each text's shingles, in order."""
+    """The distinct names of each text's shingles, in order; 56 bits each."""
     found = words.split(column, _SPACE)
     named = words.names(found.distinct)[found.ids]
     n = len(named)
-    runs = words.chained([named[i : n - shingle + 1 + i] for i in range(shingle)]) if n >= shingle else named[:0]
+    top = np.uint64(8)
+    runs = words.chained([named[i : n - shingle + 1 + i] for i in range(shingle)]) >> top if n >= shingle else named[:0]
     bounds = found.bounds().tolist()
     sets = []
     for a, b in zip(bounds[:-1], bounds[1:]):
         if b - a >= shingle:
             sets.append(np.unique(runs[a : b - shingle + 1]))
         else:
-            sets.append(words.chained([named[k : k + 1] for k in range(a, b)]) if b > a else named[:0])
+            sets.append(words.chained([named[k : k + 1] for k in range(a, b)]) >> top if b > a else named[:0])
     return sets
 
 
@@ -83,13 +86,23 @@ def _lists(values: pa.Array, sizes: list[int]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values)
 
 
-def segments(df: DataFrame, id_type, bits: int, shingle: int) -> DataFrame:
+def packed(values: np.ndarray) -> bytes:
+    """Numbers of 56 bits, in seven bytes each."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 7, 8), dtype=np.uint8)
+    wide[:, :7] = np.frombuffer(data, np.uint8).reshape(-1, 7)
+    return wide.reshape(-1).view("<u8")
+
+
+def segments(df: DataFrame, id_type, fragments: int, shingle: int) -> DataFrame:
     """Rows of `slot` 0 and up: segments (point, number of shingles, names) of a fragment; below 0: documents (id, point, size of the set)."""
     schema = (
         StructType().add("slot", "long").add("id", ArrayType(id_type)).add("point", ArrayType(LongType()))
-        .add("n", ArrayType(LongType())).add("names", BinaryType())
+        .add("n", ArrayType(IntegerType())).add("names", BinaryType())
     )
-    shift = np.uint64(64 - bits)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,13 +115,13 @@ def segments(df: DataFrame, id_type, bits: int, shingle: int) -> DataFrame:
             # Documents go along under a slot of their own, another one for each batch.
             yield pa.RecordBatch.from_arrays(
                 [pa.array([-1 - int(points[0] >> np.uint64(40))]), _lists(ids, [len(ids)]), _lists(_longs(points), [len(ids)]),
-                 _lists(pa.array(sizes), [len(ids)]), pa.array([None], pa.binary())],
+                 _lists(pa.array(sizes, pa.int32()), [len(ids)]), pa.array([None], pa.binary())],
                 names=schema.names,
             )
             _, kept = np.unique(points, return_index=True)
             values = np.concatenate([sets[k] for k in kept])
             of = np.repeat(kept, sizes[kept])
-            slot = (values >> shift).astype(np.int64)
+            slot = ((values >> np.uint64(24)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(slot, kind="stable")
             values, of, slot = values[order], of[order], slot[order]
             if not len(values):
@@ -120,7 +133,7 @@ def segments(df: DataFrame, id_type, bits: int, shingle: int) -> DataFrame:
             edges = np.append(begins[rows], len(values)).tolist()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(slot[begins[rows]]), pa.nulls(len(rows), ids_type(ids)), _lists(_longs(points[of[begins]]), per_row),
-                 _lists(pa.array(counts), per_row), pa.array([values[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())],
+                 _lists(pa.array(counts, pa.int32()), per_row), pa.array([packed(values[a:b]) for a, b in zip(edges[:-1], edges[1:])], pa.binary())],
                 names=schema.names,
             )
 
@@ -166,7 +179,7 @@ def shared_segments(cut: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.nulls(len(part), pa.binary())], names=schema.names)
                 continue
             points, sizes = _flat(held, "point"), _flat(held, "n")
-            values = np.frombuffer(b"".join(v.as_buffer() for b in held for v in b.column("names")), np.uint64)
+            values = unpacked(b"".join(v.as_buffer() for b in held for v in b.column("names")))
             # Equal sets have equal segments; the first of each stays.
             _, first = np.unique(points, return_index=True)
             one = np.zeros(len(points), dtype=bool)
@@ -182,7 +195,7 @@ def shared_segments(cut: DataFrame) -> DataFrame:
             if some.any():
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([slot]), pa.nulls(1, held[0].schema.field("id").type), _lists(pa.array(points[some]), [int(some.sum())]),
-                     _lists(pa.array(counts[some]), [int(some.sum())]), pa.array([values[both].tobytes()], pa.binary()),
+                     _lists(pa.array(counts[some], pa.int32()), [int(some.sum())]), pa.array([values[both].tobytes()], pa.binary()),
                      pa.array([times[both].astype(np.uint32).tobytes()], pa.binary())],
                     names=schema.names,
                 )
@@ -226,6 +239,24 @@ def _first_shingles(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("point", "n", "parts").mapInArrow(first, "token long, point long")
 
 
+def _recut(sets: DataFrame) -> DataFrame:
+    """(point, n, copies, names): a set's shared shingles in CUTS fragments, whatever the number was that all texts needed."""
+    edges = (np.arange(1, CUTS, dtype=np.uint64) << np.uint64(32)) // np.uint64(CUTS) << np.uint64(24)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = []
+            for parts in batch.column("parts"):
+                values = np.frombuffer(b"".join(p["names"].as_buffer() for p in parts.values), np.uint64)  # parts are in order
+                at = [0, *np.searchsorted(values, edges).tolist(), len(values)]
+                names.append([values[a:b].tobytes() for a, b in zip(at[:-1], at[1:])])
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in ("point", "n", "copies")], pa.array(names, pa.list_(pa.binary()))], names=["point", "n", "copies", "names"],
+            )
+
+    return sets.select("point", "n", "copies", "parts").mapInArrow(cut, "point long, n long, copies long, names array<binary>")
+
+
 def _linked(counts: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return 100 * counts >= percent * (n[:, None] + m[None, :] - counts)
 
@@ -341,9 +372,9 @@ def _cells(sets: DataFrame, clusters: DataFrame, percent: int, block: int) -> Da
         pairs.where("low < high").select("root", F.col("high").alias("own"), "low", "high", F.lit(True).alias("side"))
     )
     members = dealt.join(sides, ["root", "own"]).select("root", "low", "high", "side", "point")
-    parts = F.concat(F.array(F.struct(F.lit(-1).cast("long").alias("slot"), F.lit(None).cast("binary").alias("names"))), F.transform("parts", lambda p: F.struct(p["slot"], p["names"])))
-    whole = members.join(sets, "point").select("root", "low", "high", "side", "point", "n", "copies", F.explode(parts).alias("part"))
-    return whole.select("root", "low", "high", "side", "point", "n", "copies", "part.slot", "part.names")
+    parts = F.concat(F.array(F.lit(None).cast("binary")), "names")  # a head, then the fragments
+    whole = members.join(_recut(sets), "point").select("root", "low", "high", "side", "point", "n", "copies", F.posexplode(parts).alias("slot", "names"))
+    return whole.withColumn("slot", F.col("slot").cast("long") - 1)
 
 
 def similar_sets(
@@ -354,8 +385,8 @@ def similar_sets(
     source = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
     letters = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(LEAST_FRAGMENTS, letters // (6 * fragment))  # some six letters to a word
-    shared = shared_segments(segments(source, source.schema["id"].dataType, (int(fragments) - 1).bit_length(), shingle))
-    docs = shared.where("slot < 0").select(F.explode(F.arrays_zip("id", "point", "n")).alias("d")).select("d.id", "d.point", "d.n")
+    shared = shared_segments(segments(source, source.schema["id"].dataType, int(fragments), shingle))
+    docs = shared.where("slot < 0").select(F.explode(F.arrays_zip("id", "point", "n")).alias("d")).select("d.id", "d.point", F.col("d.n").cast("long").alias("n"))
     shared = shared.where("slot >= 0")
     points = docs.where("n > 0").groupBy("point").agg(F.first("n").alias("n"), F.count("*").alias("copies"))
     bound = shared.select(F.explode(F.arrays_zip("point", "n")).alias("s")).groupBy("s.point").agg(F.sum("s.n").alias("bound"))

@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sluiceflow.llm import (
-    chat, decontaminate, findings, lm_scores, media, overlap_join, packed, simhash, sites, url_rules,
-    variants,
+    chat, collocations, decontaminate, findings, lm_scores, media, overlap_join, packed, simhash, sites, url_rules, variants,
 )
 from sluiceflow.llm.common import keep
 from sluiceflow.session import load, small_table
@@ -78,11 +77,15 @@ def op12_spelling_variants(spark: SparkSession, directory: str) -> DataFrame:
     return variants.grouped(load(spark, directory, "documents"))
 
 
+def op13_collocations(spark: SparkSession, directory: str) -> DataFrame:
+    return collocations.collocations(load(spark, directory, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_media, op2_simhash, op3_secrets, op4_decontamination, op5_lm_scores, op6_url_rules,
         op7_chat_windows, op8_token_matrices, op9_grouped_packing, op10_site_quality, op11_jaccard_join,
-        op12_spelling_variants,
+        op12_spelling_variants, op13_collocations,
     )
 }
 
@@ -183,6 +186,31 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN low < doc_id OR doc_id IS
        coalesce(n_links, 0) AS n_links
 FROM doc LEFT JOIN sizes USING (nr) LEFT JOIN least ON least.a = nr LEFT JOIN degree ON degree.a = nr"""
 
+OP13_SQL = f"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS nr, lang, regexp_extract_all(piece, '[^ \\t]+') AS words
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\n\\x0b\\f\\r]')) AS piece
+        FROM documents)),
+places AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM pieces),
+grams AS MATERIALIZED (
+  SELECT lang, words[i:i + size - 1] AS g, size, count(*) AS f
+  FROM places, (VALUES (1), (2), (3), (4)) s(size) WHERE i + size - 1 <= len(words) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE size = 1 GROUP BY lang),
+candidate AS MATERIALIZED (SELECT * FROM grams WHERE size > 1 AND f >= 30),
+cuts AS (
+  SELECT c.lang, c.g, c.f, c.k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f) // (x.f + y.f) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidate) c
+  JOIN grams x ON x.lang = c.lang AND x.g = c.g[1:c.k] JOIN grams y ON y.lang = c.lang AND y.g = c.g[c.k + 1:c.size]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_part AS (
+  SELECT lang, g[i:i + n - 1] AS g, max(f) AS around
+  FROM (SELECT lang, g, f, size, n, unnest(range(1, size - n + 2)) AS i FROM candidate, (VALUES (2), (3)) p(n) WHERE n < size) GROUP BY ALL),
+stay AS (
+  SELECT b.lang, array_to_string(b.g, ' ') AS phrase, b.f AS a, l, r, CAST(score AS BIGINT) AS score
+  FROM best b LEFT JOIN inner_part p ON p.lang = b.lang AND p.g = b.g WHERE around IS NULL OR 100 * around < 80 * b.f)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM stay JOIN totals USING (lang) QUALIFY rank <= 2000"""
+
 ORACLES: dict[str, str] = {
-    "op4_decontamination": OP4_SQL, "op6_url_rules": OP6_SQL, "op7_chat_windows": OP7_SQL, "op11_jaccard_join": OP11_SQL,
+    "op4_decontamination": OP4_SQL, "op6_url_rules": OP6_SQL, "op7_chat_windows": OP7_SQL, "op11_jaccard_join": OP11_SQL, "op13_collocations": OP13_SQL,
 }

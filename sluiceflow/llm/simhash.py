@@ -28,9 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
+from sluiceflow.llm import overlap_join
 from sluiceflow.llm.common import extended, fresh, keep
+from sluiceflow.llm.graph import components
 
 SEED = 42
 LINK_BITS = 3
@@ -125,36 +126,6 @@ def anchor_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(index), np.concatenate(keys)
 
 
-WIDE_SHINGLE = 5
-# A pair shares a band of BAND_MINIMA least hashes with probability 1 - (1 - s ** BAND_MINIMA) ** BANDS: 1 - 5e-7 at a Jaccard similarity s of 0.8.
-BANDS, BAND_MINIMA = 48, 6
-_NTH = np.random.default_rng(SEED).integers(0, 2**63, BANDS * BAND_MINIMA, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
-
-
-def grams(text: str | None) -> np.ndarray:
-    """The distinct hashes of the five-word shingles, in order."""
-    return np.unique(hashes(text, WIDE_SHINGLE))
-
-
-def band_keys(values: np.ndarray) -> np.ndarray:
-    """Keys of BANDS bands of least hashes of a set; none if it is empty."""
-    if not len(values):
-        return np.zeros(0, dtype=np.uint64)
-    least = np.full(len(_NTH), 2**64 - 1, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(values), 512):
-            x = values[None, at : at + 512] * _NTH
-            x ^= x >> np.uint64(32)
-            x *= np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(29)
-            np.minimum(least, x.min(axis=1), out=least)
-        keys = np.arange(BANDS, dtype=np.uint64)
-        for minima in least.reshape(BANDS, BAND_MINIMA).T:
-            keys = (keys ^ minima) * np.uint64(0xBF58476D1CE4E5B9)
-            keys ^= keys >> np.uint64(31)
-    return keys
-
-
 def forest(keys: np.ndarray, words: list[np.ndarray], sides: np.ndarray | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows (i, j) whose links join the components of each run of equal keys; with `sides`, only those across sides are compared.
 
@@ -303,99 +274,6 @@ def links(points: DataFrame, bits: int = LINK_BITS, block: int = BLOCK) -> DataF
     return _met(points.select("fp").mapInArrow(replicate, "key long, fp long"), ["fp"], bits, block)
 
 
-def similar_links(points: DataFrame, texts: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that join the components of points whose five-word shingle sets have a Jaccard similarity of `similarity` or more.
-
-    `points` has (point, n, bands): a set's size and its band keys; `texts` has (point, text), one row for each. Bands
-    only give candidates, the sets themselves decide. First each point is held against the smallest of its band; then
-    all pairs of a band that these links leave apart.
-    """
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of keys with several points, with the smallest of them, or of those that came with it."""
-        for _, (key, point, n) in _runs(batches, 3, block):
-            first = np.append(True, key[1:] != key[:-1])
-            yield _rows(["key", "point", "n", "head"], [key, point, n, point[first][np.cumsum(first) - 1]])
-
-    spread = points.select(F.explode("bands").alias("key"), "point", "n")
-    met = keep(
-        spread.repartition("key").sortWithinPartitions("key", "point").mapInArrow(meet, "key long, point long, n long, head long"),
-        "bands", rows=10_000,
-    )
-    near = confirmed(met.where("point <> head").select(F.col("head").alias("a"), F.col("point").alias("b")), texts, similarity)
-    roots = components(near)
-    placed = keep(
-        met.select("key", "point", "n").join(roots, "point", "left").withColumn("root", F.coalesce("root", "point")), "placed", rows=10_000,
-    )
-    sizes = keep(placed.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high"), "apart")
-    # A crowded key is cut into blocks; each pair of blocks is a key of its own.
-    blocks = F.ceil(F.col("size") / block).cast("long")
-    dealt = placed.join(sizes.select("key", "size"), "key").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("point"), "blocks"))
-    cells = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with")).select(
-        "key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "own", "point", "n", "root",
-    )
-    x, y = cells.alias("x"), cells.alias("y")
-    apart = (
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi"))
-        & (F.col("x.point") < F.col("y.point")) & (F.col("x.root") != F.col("y.root"))
-        & ((F.col("x.lo") == F.col("x.hi")) | (F.col("x.own") != F.col("y.own")))
-        # Sets of other sizes are not that similar, whatever they share; with a margin for rounding.
-        & (F.least("x.n", "y.n") >= (similarity - 1e-9) * F.greatest("x.n", "y.n"))
-    )
-    more = x.join(y, apart).select(F.col("x.point").alias("a"), F.col("y.point").alias("b"))
-    return near.unionByName(confirmed(more, texts, similarity))
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The distinct pairs (a, b) of `pairs` whose texts' shingle sets are as similar as that or more; written."""
-    pairs = keep(pairs.distinct(), "candidates", rows=10_000)
-    named = pairs.select(F.explode(F.array("a", "b")).alias("point")).distinct()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [grams(t).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("point"), pa.array(found, pa.binary())], names=["point", "grams"])
-
-    held = keep(texts.join(named, "point", "left_semi").select("point", "text").mapInArrow(sets, "point long, grams binary"), "grams")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = np.zeros(batch.num_rows, dtype=bool)
-            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                near[k] = common / max(len(p) + len(q) - common, 1) >= similarity
-            yield batch.select(["a", "b"]).filter(pa.array(near))
-
-    both = pairs.join(held.select(F.col("point").alias("a"), F.col("grams").alias("x")), "a")
-    both = both.join(held.select(F.col("point").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
-    return keep(both.mapInArrow(check, "a long, b long"), "similar", rows=500)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(point, root) for all points of the links: alternating large and small stars until nothing changes."""
-    state = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
-    mark = _mark(state)
-    while True:
-        both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # Links now point from a larger to a smaller point.
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        state = keep(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        now = _mark(state)
-        if now == mark:
-            break
-        mark = now
-    roots = state.select("v").distinct().select(F.col("v").alias("point"), F.col("v").alias("root"))
-    return state.select(F.col("u").alias("point"), F.col("v").alias("root")).unionByName(roots)
-
-
-def _mark(state: DataFrame) -> tuple:
-    return tuple(state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
 def component_of(prints: DataFrame, bits: int = LINK_BITS, block: int = BLOCK) -> DataFrame:
     """(fp, component) for the distinct fingerprints of (fp, id) rows: the smallest id reachable."""
     points = keep(prints.groupBy("fp").agg(F.min("id").alias("id")), "points")
@@ -427,22 +305,16 @@ def text_key(text: str | None) -> int:
     return xxhash.xxh64_intdigest(b" ".join((text or "").encode("utf-8", "replace").lower().split()), SEED + 1)
 
 
-def with_bands(df: DataFrame, text_col: str, fp: str, point: str, n: str, bands: str, shingle: int = SHINGLE) -> DataFrame:
-    """`df` with the fingerprint, the text's key, and the size and band keys of its set of five-word shingles."""
+def with_prints(df: DataFrame, text_col: str, fp: str, point: str, shingle: int = SHINGLE) -> DataFrame:
+    """`df` with the fingerprint and the text's key."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
-            prints = np.array([majority(hashes(t, shingle)) for t in texts], dtype=np.uint64)
-            named = np.array([text_key(t) for t in texts], dtype=np.uint64)
-            sets = [grams(t) for t in texts]
-            more = [
-                pa.array(prints.view(np.int64)), pa.array(named.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([band_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, fp, point, n, bands])
+            found = [np.array([f(t) for t in texts], dtype=np.uint64) for f in (lambda t: majority(hashes(t, shingle)), text_key)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(v.view(np.int64)) for v in found]], names=[*batch.schema.names, fp, point])
 
-    return df.mapInArrow(add, extended(df, **{fp: "long", point: "long", n: "long", bands: ArrayType(LongType())}))
+    return df.mapInArrow(add, extended(df, **{fp: "long", point: "long"}))
 
 
 def print_links(points: DataFrame, bits: int = LINK_BITS, block: int = BLOCK) -> DataFrame:
@@ -460,26 +332,22 @@ def one_of_each(
 ) -> DataFrame:
     """`df` with one row of each component: that of the smallest id, nulls last; of equal ones the first written.
 
-    With a `similarity`, texts also link when the sets of their five-word shingles have that Jaccard similarity or more.
+    With a `similarity`, in whole hundredths, texts also link when the sets of their five-word shingles have that Jaccard
+    similarity or more; the sets are compared exactly (`overlap_join`).
     """
-    fp, row, least, point, n, bands = (fresh(df, name) for name in ("fp", "row", "least", "point", "n", "bands"))
-    printed = with_fingerprint(df, text_col, fp, shingle) if similarity is None else with_bands(df, text_col, fp, point, n, bands, shingle)
+    fp, row, least, point = (fresh(df, name) for name in ("fp", "row", "least", "point"))
     # Written with row numbers, which then stay as they are.
-    marked = keep(printed.withColumn(row, F.monotonically_increasing_id()), "marked")
+    marked = keep(with_prints(df, text_col, fp, point, shingle).withColumn(row, F.monotonically_increasing_id()), "marked")
     # Numbered by (id, row): a component's smallest pair is the row that stays.
     first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias("id")
-    if similarity is None:
-        points = keep(marked.select(F.col(fp).alias("point"), first).groupBy("point").agg(F.min("id").alias("id")), "points")
-        edges = links(points.select(F.col("point").alias("fp")), bits, block)
-    else:
-        # Different texts are points of their own, also where their fingerprints are equal.
-        ids = marked.select(F.col(point).alias("point"), F.col(fp).alias("fp"), F.col(row).alias("row"), first)
-        points = keep(ids.groupBy("point").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("row").alias("row")), "points")
-        one = points.select(F.col("row").alias(least))
-        each = marked.join(one, F.col(row) == F.col(least), "left_semi")
-        sets = each.select(F.col(point).alias("point"), F.col(n).alias("n"), F.col(bands).alias("bands"))
-        texts = each.select(F.col(point).alias("point"), F.col(text_col).cast("string").alias("text"))
-        edges = print_links(points, bits, block).unionByName(similar_links(sets, texts, similarity, block))
+    # Different texts are points of their own, also where their fingerprints are equal.
+    ids = marked.select(F.col(point).alias("point"), F.col(fp).alias("fp"), first)
+    points = keep(ids.groupBy("point").agg(F.min("id").alias("id"), F.min("fp").alias("fp")), "points")
+    edges = print_links(points, bits, block)
+    if similarity is not None:
+        similar = overlap_join.similar_sets(marked.select(F.col(point).alias("doc_id"), F.col(text_col).alias("text")), percent=round(100 * similarity))
+        alike = similar.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+        edges = keep(edges.unionByName(alike).distinct(), "edges")
     joined = points.select("point", "id").join(components(edges), "point", "left")
     stay = joined.groupBy(F.coalesce("root", "point").alias("root")).agg(F.min("id").alias("id")).select(F.col("id.row").alias(least))
     return marked.join(stay, F.col(row) == F.col(least), "left_semi").select(*df.columns)

@@ -148,8 +148,8 @@ def test_texts_of_one_fingerprint_keep_their_own_links(spark, monkeypatch):
         made = original(df, text_col, fp, *names, **more)
         return made.withColumn(fp, F.when(F.col(text_col) == texts[1], F.lit(same)).otherwise(F.col(fp)))
 
-    original = simhash.with_bands
-    monkeypatch.setattr(simhash, "with_bands", forged)
+    original = simhash.with_prints
+    monkeypatch.setattr(simhash, "with_prints", forged)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.doc_id for r in simhash.one_of_each(docs, similarity=0.8).collect()] == [0]
 
