@@ -55,13 +55,18 @@ class Ordered:
         lag: Mapping[str, Column] | None = None,
         lead: Mapping[str, Column] | None = None,
         whole: Mapping[str, Column] | None = None,
+        latest: Mapping[str, Column] | None = None,
+        least_after: Mapping[str, Column] | None = None,
     ) -> DataFrame:
         """Add a 1-based row number, running sums, previous / next values and sums over the whole group.
 
+        `latest` is the last value that is not null, up to the row itself; `least_after` the smallest from the row on.
+
         Everything that concerns a group is joined per piece of it, so a group
         with most of the rows is still handled by many tasks.
         """
         running, lag, lead, whole = dict(running or {}), dict(lag or {}), dict(lead or {}), dict(whole or {})
+        latest, least_after = dict(latest or {}), dict(least_after or {})
         keys = [*self.within, PIECE]
         pieces = self.rows.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("__n"),
@@ -71,10 +76,12 @@ class Ordered:
             *[F.sum(c).alias(f"__all_{name}") for name, c in whole.items()],
             *[F.max_by(c, SPOT).alias(f"__end_{name}") for name, c in lag.items()],
             *[F.min_by(c, SPOT).alias(f"__begin_{name}") for name, c in lead.items()],
+            *[F.max_by(c, F.when(c.isNotNull(), F.col(SPOT))).alias(f"__latest_{name}") for name, c in latest.items()],
+            *[F.min(c).alias(f"__least_{name}") for name, c in least_after.items()],
         )
         # One row per piece: a group has at most as many as there are partitions.
         along = Window.partitionBy(*self.within).orderBy(PIECE)
-        before = along.rowsBetween(Window.unboundedPreceding, -1)
+        before, after = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
         offsets = pieces.select(
             *[F.col(k).alias(f"__at_{k}") for k in keys],
             "__first",
@@ -84,9 +91,11 @@ class Ordered:
             *[F.sum(f"__all_{n}").over(Window.partitionBy(*self.within)).alias(n) for n in whole],
             *[F.lag(f"__end_{n}").over(along).alias(f"__end_{n}") for n in lag],
             *[F.lead(f"__begin_{n}").over(along).alias(f"__begin_{n}") for n in lead],
+            *[F.last(f"__latest_{n}", ignorenulls=True).over(before).alias(f"__latest_{n}") for n in latest],
+            *[F.min(f"__least_{n}").over(after).alias(f"__least_{n}") for n in least_after],
         )
         rows = self.rows
-        if running or lag or lead:
+        if running or lag or lead or latest or least_after:
             local = Window.partitionBy(*keys).orderBy(SPOT)
             so_far = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
             rows = rows.select(
@@ -94,6 +103,8 @@ class Ordered:
                 *[F.sum(c).over(so_far).alias(f"__here_{n}") for n, c in running.items()],
                 *[F.lag(c).over(local).alias(f"__prev_{n}") for n, c in lag.items()],
                 *[F.lead(c).over(local).alias(f"__next_{n}") for n, c in lead.items()],
+                *[F.last(c, ignorenulls=True).over(so_far).alias(f"__now_{n}") for n, c in latest.items()],
+                *[F.min(c).over(local.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias(f"__on_{n}") for n, c in least_after.items()],
             )
         if not self.within:
             offsets = F.broadcast(offsets)  # one row per partition
@@ -117,6 +128,8 @@ class Ordered:
         for name in lead:
             edge = F.col(SPOT) == F.col("__last")
             added.append(F.when(edge, F.col(f"__begin_{name}")).otherwise(F.col(f"__next_{name}")).alias(name))
+        added += [F.coalesce(F.col(f"__now_{name}"), F.col(f"__latest_{name}")).alias(name) for name in latest]
+        added += [F.least(F.col(f"__on_{name}"), F.col(f"__least_{name}")).alias(name) for name in least_after]
         added += [F.col(name) for name in whole]
         kept = [c for c in self.rows.columns if c not in (PIECE, SPOT)]
         return joined.select(*kept, *added)

@@ -10,6 +10,8 @@ from sluiceflow.session import REPLICATE_LIMIT
 
 # Fixed value: the largest cross product of a point that counts as near an edge.
 SLACK = 10.0
+# Smaller boxes share a level: 2 ** LEAST_LEVEL is their cells' side.
+LEAST_LEVEL = -20
 
 
 def edges(vertices: Column) -> Column:
@@ -68,33 +70,35 @@ def reach(vertices: Column, slack: float = SLACK) -> Column:
 
 
 def pair_with_polygons(
-    points: DataFrame, polygons: DataFrame, condition: Column, cell: float | None = None, margin: Column | float = 0.0,
-    limit: int = REPLICATE_LIMIT,
+    points: DataFrame, polygons: DataFrame, condition: Column, margin: Column | float = 0.0, limit: int = REPLICATE_LIMIT,
 ) -> DataFrame:
     """Points (x, y, …) with the polygons (name, vertices) for which `condition` holds.
 
-    Joined by grid cell: a polygon is listed in all cells its box, widened by
-    `margin`, touches, and a point looks in its own cell only. Without a given
-    `cell` its side is the mean extent of the widened boxes, so that an outline
-    has few cells and a cell few outlines. A short list is sent to every
-    executor, so that the points do not move; else a busy cell's points are
-    split by the adaptive skew join.
+    Joined by cells of several levels. A polygon is listed on the level whose
+    cell side, a power of two, is just over the extent of its box, widened by
+    `margin`: in four cells at most, however large it is. A point looks in its
+    cell of every level that has polygons; there are as many as the extents have
+    powers of two. A short list is sent to every executor, so that the points do
+    not move; else a busy cell's points are split by the adaptive skew join.
     """
     margin = F.lit(margin) if isinstance(margin, float) else margin
 
-    def spanned(axis: str) -> Column:
+    def bounds(axis: str) -> tuple[Column, Column]:
         values = F.transform("vertices", lambda v: v[axis])
-        return F.sequence(F.floor((F.array_min(values) - margin) / cell), F.floor((F.array_max(values) + margin) / cell))
-
-    drawn = polygons.where(F.size("vertices") > 0)
-    if cell is None:
-        def width(axis: str) -> Column:
-            values = F.transform("vertices", lambda v: v[axis])
-            return F.array_max(values) - F.array_min(values)
-
-        extent = F.greatest(width("x"), width("y"))
-        cell = drawn.agg(F.avg(extent + 2 * margin)).first()[0] or 1.0
-    listed = drawn.withColumn("__cx", F.explode(spanned("x"))).withColumn("__cy", F.explode(spanned("y")))
-    placed = points.withColumn("__cx", F.floor(F.col("x") / cell)).withColumn("__cy", F.floor(F.col("y") / cell))
-    joined = placed.join(replicated_if_small(listed, limit), ["__cx", "__cy"])
-    return joined.where(condition).drop("__cx", "__cy")
+        return F.array_min(values) - margin, F.array_max(values) + margin
+
+    (x0, x1), (y0, y1) = bounds("x"), bounds("y")
+    extent = F.greatest(x1 - x0, y1 - y0, F.lit(2.0**LEAST_LEVEL))
+    drawn = polygons.where(F.size("vertices") > 0).withColumn("__level", F.ceil(F.log2(extent)).cast("int"))
+
+    def cells(low: Column, high: Column) -> Column:
+        side = F.pow(F.lit(2.0), F.col("__level"))
+        return F.sequence(F.floor(low / side), F.floor(high / side))
+
+    listed = drawn.withColumn("__cx", F.explode(cells(x0, x1))).withColumn("__cy", F.explode(cells(y0, y1)))
+    levels = sorted(r[0] for r in drawn.select("__level").distinct().collect())  # powers of two
+    spread = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    side = F.pow(F.lit(2.0), F.col("__level"))
+    placed = spread.withColumn("__cx", F.floor(F.col("x") / side)).withColumn("__cy", F.floor(F.col("y") / side))
+    joined = placed.join(replicated_if_small(listed, limit), ["__level", "__cx", "__cy"])
+    return joined.where(condition).drop("__level", "__cx", "__cy")

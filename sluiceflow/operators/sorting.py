@@ -60,6 +60,30 @@ def pivot_ranges(boundaries: DataFrame, value: str = "boundary") -> DataFrame:
     return placed.where(F.col("hi").isNotNull()).select("bin", F.col(value).alias("lo"), "hi")
 
 
+def range_join(df: DataFrame, value: str, boundaries: DataFrame, boundary: str = "boundary") -> DataFrame:
+    """`df` with (bin, lo, hi): the range, numbered from 1, with lo <= value < hi between neighbouring boundaries; nulls outside.
+
+    Rows and boundaries are laid in one order and the last boundary is carried
+    along, so neither side is sent anywhere whole, however many boundaries
+    there are. Boundaries given twice count once; null values have no range.
+    """
+    kind = dict(df.dtypes)[value]
+    edges = boundaries.select(F.col(boundary).cast(kind).alias("__edge")).where("__edge IS NOT NULL").distinct()
+    whole = F.struct(*[F.col(c) for c in df.columns])
+    both = df.select(F.col(value).alias("__at"), whole.alias("__row"), F.lit(None).cast(kind).alias("__edge")).unionByName(
+        edges.select(F.col("__edge").alias("__at"), F.lit(None).cast(df.schema).alias("__row"), "__edge")
+    )
+    # A boundary comes before the rows equal to it.
+    placed = Ordered(both, ["__at", F.col("__edge").isNull()]).extend(
+        running={"bin": F.col("__edge").isNotNull().cast("bigint")}, latest={"lo": F.col("__edge")}, least_after={"hi": F.col("__edge")},
+    )
+    within = F.col("lo").isNotNull() & F.col("hi").isNotNull()
+    return placed.where("__edge IS NULL").select(
+        *[F.col("__row")[c].alias(c) for c in df.columns],
+        *[F.when(within, F.col(c)).alias(c) for c in ("bin", "lo", "hi")],
+    )
+
+
 def sort_range(df: DataFrame, *order_by: str | Column) -> DataFrame:
     """Total order over range partitions; rows of one partition follow those of the one before."""
     return df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)

@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluiceflow.operators.ordered import numbered, running_total
-from sluiceflow.session import REPLICATE_LIMIT, at_most, materialize
+from sluiceflow.session import PARTITION_BYTES, REPLICATE_LIMIT, at_most, input_bytes, materialize
 
 KEY_BLOCK = 500
+# Salts over which inputs are dealt when the keys are many; more for larger inputs.
+LEAST_SALTS = 8
 
 
 def replicated_if_small(df: DataFrame, limit: int = REPLICATE_LIMIT, settle: bool = False) -> DataFrame:
@@ -94,14 +96,13 @@ def fan_out(
 ) -> DataFrame:
     """Every input with every key, plus the key's position and the number of keys.
 
-    Keys travel in blocks of bounded size. A small key table goes to every
+    Keys travel in blocks of bounded size. A key table of few rows and bytes goes to every
     executor and the inputs do not move. A larger one is joined on (salt,
     block): inputs are dealt over the salts, so no task holds all of them.
     """
-    spark = inputs.sparkSession
-    total = keys.count()
+    total, small = keys.count(), at_most(keys, limit)
     blocks = -(-total // KEY_BLOCK)
-    if total <= limit:
+    if small:
         placed = keys.withColumn("file_id", F.row_number().over(Window.orderBy(*order_by)).cast("bigint"))
     else:
         placed = numbered(keys, order_by, "file_id")
@@ -110,10 +111,10 @@ def fan_out(
         F.collect_list(member).alias("__keys")
     )
     spread = inputs.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))))
-    if total <= limit:
+    if small:
         joined = spread.join(F.broadcast(packed), "__block")
     else:
-        salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        salts = max(LEAST_SALTS, input_bytes(inputs) // PARTITION_BYTES)
         salted = packed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         dealt = spread.withColumn("__salt", F.pmod(F.xxhash64(*inputs.columns), F.lit(salts)).cast("int"))
         joined = dealt.join(salted, ["__salt", "__block"])

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sluiceflow.operators import grids, neighbors as knn, polygons as poly, verbs as op
-from sluiceflow.operators.sorting import bin_column
+from sluiceflow.operators.sorting import bin_column, pivots
+from sluiceflow.operators.sorting import range_join as sorted_ranges
 from sluiceflow.plans.catalog import query
 from sluiceflow.plans.views import GRID, PRICES, SECOND, TASKLOG, grid, tasklog
 from sluiceflow.functions import costs
@@ -153,6 +154,19 @@ def range_bin(spark, d):
     )
 
 
+@query("range_join", """
+WITH v AS (SELECT l_extendedprice AS v, count(*) AS n FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY 1),
+p AS (SELECT v, row_number() OVER (ORDER BY v) AS place, sum(n) OVER () AS rows, lead(v) OVER (ORDER BY v) AS following FROM v),
+b AS (SELECT CASE WHEN following IS NULL THEN v + 1 ELSE v END AS lo FROM p WHERE following IS NULL OR (place - 1) % greatest(1, rows // 100000) = 0),
+r AS (SELECT row_number() OVER (ORDER BY lo) AS bin, lo, lead(lo) OVER (ORDER BY lo) AS hi FROM b)
+SELECT bin, lo, hi, count(*) AS n FROM lineitem ASOF JOIN r ON l_extendedprice >= lo WHERE hi IS NOT NULL GROUP BY 1, 2, 3""")
+def range_join(spark, d):
+    """Rows by the range they fall in, of a table of up to 100,000 boundaries."""
+    rows = load(spark, d, "lineitem").select("l_extendedprice").where("l_extendedprice IS NOT NULL")
+    boundaries = pivots(rows, "l_extendedprice", 100_000)
+    return sorted_ranges(rows, "l_extendedprice", boundaries).groupBy("bin", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+
+
 # The two example outlines.
 OUTLINES = {
     "triangle": [(5.0, 20.0), (45.0, 60.0), (10.0, 180.0)],

@@ -104,3 +104,30 @@ def stream_initiate(spark, d):
     path = scratch_path(spark, "next-run")
     flows.drain_each(released, flows.initiate(first, ["user_id"], path), "initiate")
     return spark.read.schema("user_id bigint, event_id bigint").parquet(path).select("user_id", "event_id")
+
+
+SILENT_MS = 3_000
+
+
+@query("stream_silent_starts", """
+SELECT user_id, max(epoch_us(ts)) AS since_us FROM events GROUP BY user_id
+HAVING arg_max(event_type, struct_pack(ts := ts, start := event_type = 'signup')) = 'signup'""")
+def stream_silent_starts(spark, d):
+    """Users whose last event is a signup, told by timers once nothing arrives any more."""
+    stream = flows.silent_starts(event_stream(spark, d), "user_id", "at", F.col("event_type") == "signup", SILENT_MS)
+    found = flows.drain_silence(stream, 2 * SILENT_MS, "silent-starts")
+    return found.select("user_id", F.unix_micros("since").alias("since_us"))
+
+
+@query("stream_replay", """
+WITH first AS (
+  SELECT user_id, min_by(CAST(json_extract_string(props, '$.k') AS BIGINT), struct_pack(ts := ts, k := CAST(json_extract_string(props, '$.k') AS BIGINT))) AS k
+  FROM events GROUP BY user_id),
+child AS (SELECT user_id, unnest(['run-' || k, 'merge-' || k // 10]) AS payload FROM first)
+SELECT user_id, payload, count(*) AS sends, CAST(1 AS BIGINT) AS first_sends FROM child JOIN events USING (user_id) GROUP BY 1, 2""")
+def stream_replay(spark, d):
+    """A user's first event makes two payloads, which every further event of that user sends again."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    made = F.array(F.concat(F.lit("run-"), k), F.concat(F.lit("merge-"), F.floor(k / 10)))
+    sent = flows.drain(flows.replayed(event_stream(spark, d), ["user_id"], "at", made), "replay")
+    return sent.groupBy("user_id", "payload").agg(F.sum("sends").alias("sends"), F.sum("first_sends").alias("first_sends"))

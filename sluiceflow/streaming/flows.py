@@ -6,6 +6,7 @@ rows is first reduced, in the tasks that read it, to one row per distinct member
 
 from __future__ import annotations
 
+import time as clock
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
@@ -13,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from pyspark.sql.types import StructType
 
 from sluiceflow.session import scratch_path
@@ -30,7 +32,8 @@ def arrivals(
 ) -> DataFrame:
     """Rows of every file that appears below a folder, as a built-in streaming source of that kind reads them.
 
-    `files_per_batch=None` takes all that has arrived as one batch.
+    `files_per_batch=None` takes all that has arrived as one batch. Files come in
+    the order of their modification times; those of equal time in no order.
     """
     reader = spark.readStream.format(kind).schema(schema).option("pathGlobFilter", pattern).options(**options)
     if files_per_batch is not None:
@@ -173,6 +176,144 @@ def overdue(stream: DataFrame, key: str, time: str, started: Column, timeout: st
     return sessions.where("last.is_start").select(key, F.col("last.at").alias("since"))
 
 
+DAY_MS = 24 * 3_600_000
+
+
+class _Silence(StatefulProcessor):
+    """The last row of a key in state; a start sets a timer, any later row takes it back."""
+
+    def __init__(self, names: list[str], timeout_ms: int, ttl_ms: int) -> None:
+        self.names, self.timeout_ms, self.ttl_ms = names, timeout_ms, ttl_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at timestamp, is_start boolean", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # By position: names of the plan's columns do not arrive.
+        newest = max((row for batch in rows for row in zip(batch.iloc[:, -2], batch.iloc[:, -1])), default=None)
+        held = self.last.get() if self.last.exists() else None
+        # Rows that are older than one that came before say nothing about silence.
+        if newest is not None and (held is None or newest[0] >= pd.Timestamp(held[0])):
+            for due in list(self.handle.listTimers()):
+                self.handle.deleteTimer(due)
+            self.last.update((newest[0].to_pydatetime(), bool(newest[1])))
+            if newest[1]:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists():
+            since = self.last.get()[0]
+            yield pd.DataFrame([[*key, since]], columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
+def silent_starts(stream: DataFrame, key: str, time: str, started: Column, timeout_ms: int, ttl_ms: int = 7 * DAY_MS) -> DataFrame:
+    """(key, since): starts after which the key was silent for `timeout_ms` on the clock of the cluster.
+
+    Unlike `overdue`, this needs no later rows of anyone: timers fire while
+    nothing arrives, so the last start of a stream that ends is reported too. A
+    start is given out once. Keys without a row for `ttl_ms` are forgotten.
+    Every task first keeps only a key's newest row of what it reads.
+    """
+    kinds = dict(stream.dtypes)
+    rows = stream.select(key, F.col(time).cast("timestamp").alias("__at"), started.alias("__start")).where("__at IS NOT NULL AND __start IS NOT NULL")
+
+    def newest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.sort_values(["__at", "__start"]).drop_duplicates(key, keep="last")
+
+    last = rows.mapInPandas(newest, f"`{key}` {kinds[key]}, __at timestamp, __start boolean")
+    return last.groupBy(key).transformWithStateInPandas(
+        _Silence([key, "since"], timeout_ms, ttl_ms), f"`{key}` {kinds[key]}, since timestamp", "append", "ProcessingTime",
+    )
+
+
+class _Replay(StatefulProcessor):
+    """A task's payloads, as its first arrival made them."""
+
+    def __init__(self, keys: list[str], ttl_ms: int | None) -> None:
+        self.names, self.ttl_ms = [*keys, "payload", "sends", "first_sends"], ttl_ms
+
+    def init(self, handle) -> None:
+        self.payloads = handle.getListState("payloads", "payload string", self.ttl_ms)
+        self.ran = handle.getValueState("ran", "yes boolean", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        arrived = [row for batch in rows for row in zip(*(batch.iloc[:, k] for k in (-3, -2, -1)))]
+        count = int(sum(n for *_, n in arrived))
+        ran = self.ran.exists()
+        if ran:
+            made = [p for (p,) in self.payloads.get()] if self.payloads.exists() else []
+        else:
+            first = min(arrived, key=lambda row: (row[0], list(row[1])))
+            made = list(first[1])
+            if made:
+                self.payloads.put([(p,) for p in made])
+            self.ran.update((True,))
+        yield pd.DataFrame([[*key, p, count, 0 if ran else 1] for p in made], columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
+def replayed(stream: DataFrame, keys: list[str], time: str, payloads: Column, ttl_ms: int | None = None) -> DataFrame:
+    """(keys…, payload, sends, first_sends): what each arrival of a task sends on.
+
+    A task's first arrival runs it: `payloads`, an array of strings, is kept as
+    its result. Every later arrival (within `ttl_ms`) sends the same payloads
+    again instead of running, whatever it carries itself. Without `ttl_ms` a task
+    is known for ever. With it, Spark looks for what has run out at every
+    trigger, so that a query over all that is available does not end by itself. Of several arrivals in
+    one batch that with the least time is first. `sends` counts the arrivals of
+    the batch, `first_sends` is 1 where the task ran. Every task first reduces
+    a key's rows to the first one and their number.
+    """
+    kinds = dict(stream.dtypes)
+    typed = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    rows = stream.select(*keys, F.col(time).cast("timestamp").alias("__at"), payloads.cast("array<string>").alias("__payloads"), F.lit(1).cast("long").alias("__n"))
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                ordered = batch.assign(__order=batch["__payloads"].map(tuple)).sort_values(["__at", "__order"]).drop(columns="__order")
+                grouped = ordered.groupby(keys, sort=False, dropna=False)
+                yield grouped.head(1).assign(__n=grouped["__n"].transform("sum"))
+
+    once = rows.mapInPandas(reduce, f"{typed}, __at timestamp, __payloads array<string>, __n long")
+    return once.groupBy(*keys).transformWithStateInPandas(
+        _Replay(keys, ttl_ms), f"{typed}, payload string, sends long, first_sends long", "append", "None" if ttl_ms is None else "ProcessingTime",
+    )
+
+
+def drain_silence(stream: DataFrame, quiet_ms: int, label: str = "silence", partitions: int | None = None, every: str = "500 milliseconds") -> DataFrame:
+    """Process what has arrived and then wait until nothing has come in, nor gone out, for `quiet_ms`; for streams with timers."""
+    spark = stream.sparkSession
+    path, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
+    with stream_settings(spark, partitions):
+        writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+        query = writer.format("parquet").option("path", path).trigger(processingTime=every).start()
+        try:
+            last, since, started = None, clock.monotonic(), False
+            while (clock.monotonic() - since) * 1000 < quiet_ms or not started:
+                if query.awaitTermination(0.2):
+                    break
+                progress = query.lastProgress
+                if progress is not None and progress.batchId != last:
+                    last = progress.batchId
+                    active = progress.numInputRows > 0 or any(s.numRowsUpdated or s.numRowsRemoved for s in progress.stateOperators)
+                    if active:
+                        started, since = True, clock.monotonic()
+                    elif not started and progress.batchId > 0:
+                        started = True
+        finally:
+            query.stop()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
 def utilisation(stream: DataFrame, time: str, first: Column, second: Column, period: str, delay: str) -> DataFrame:
     """(begin, cpu, memory, busiest): means of two measures per closed period.
 

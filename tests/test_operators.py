@@ -1,5 +1,6 @@
 """Operators against brute force, with hot groups and with the large-table paths forced."""
 
+import bisect
 import itertools
 import random
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluiceflow import Flow
+from sluiceflow import Flow, session
 from sluiceflow.operators import curves, grids, neighbors, polygons, reports, sorting, verbs
 from sluiceflow.operators.ordered import PIECE, Ordered, numbered
 from sluiceflow.operators.overlap import top_overlaps
@@ -215,7 +216,7 @@ def test_points_in_polygons(spark, limit):
     spots = [(i, RANDOM.uniform(0, 300), RANDOM.uniform(-300, 300)) for i in range(300)]
     shapes = spark.createDataFrame([(n, [{"x": x, "y": y} for x, y in r]) for n, r in rings.items()], "name string, vertices array<struct<x double, y double>>")
     points = spark.createDataFrame(spots, "id bigint, x double, y double")
-    found = polygons.pair_with_polygons(points, shapes, polygons.inside(F.col("vertices"), F.col("x"), F.col("y")), cell=70.0, limit=limit)
+    found = polygons.pair_with_polygons(points, shapes, polygons.inside(F.col("vertices"), F.col("x"), F.col("y")), limit=limit)
     rows = [(r.id, r.name) for r in found.collect()]
     assert len(rows) == len(set(rows))
     assert set(rows) == {(i, n) for i, x, y in spots for n, r in rings.items() if inside(r, x, y)}
@@ -314,7 +315,7 @@ def test_points_near_edges_across_cells(spark):
     shapes = spark.createDataFrame([(n, [{"x": x, "y": y} for x, y in r]) for n, r in rings.items()], "name string, vertices array<struct<x double, y double>>")
     points = spark.createDataFrame(spots, "id bigint, x double, y double")
     hit = polygons.near_edge(F.col("vertices"), F.col("x"), F.col("y"))
-    found = polygons.pair_with_polygons(points, shapes, hit, cell=20.0, margin=polygons.reach(F.col("vertices")))
+    found = polygons.pair_with_polygons(points, shapes, hit, margin=polygons.reach(F.col("vertices")))
     rows = [(r.id, r.name) for r in found.collect()]
     assert len(rows) == len(set(rows))
     assert set(rows) == {(i, n) for i, x, y in spots for n, r in rings.items() if near(r, x, y)}
@@ -343,3 +344,56 @@ def test_partial_neighbours_do_not_grow_with_training_blocks(spark):
         away = ((vectors[:, None] - vectors[None]) ** 2).sum(2)
         np.fill_diagonal(away, np.inf)
         assert all(got[i, k + 1] == j for i, line in enumerate(away.argsort(axis=1, kind="stable")[:, :5].tolist()) for k, j in enumerate(line))
+
+
+def test_one_huge_outline_among_small_ones(spark):
+    """An extent of a million beside extents of one: few cells each, no grid over the large one."""
+    rng = random.Random(3)
+    square = lambda x, y, side: [(x, y), (x + side, y), (x + side, y + side), (x, y + side)]
+    shapes = [("huge", square(-5e5, -5e5, 1e6)), ("point", [(7.5, 7.5)]), ("empty", [])]
+    shapes += [(f"s{k}", square(rng.uniform(-5e5, 5e5), rng.uniform(-5e5, 5e5), 1.0)) for k in range(3000)]
+    spots = [(0, 7.5, 7.5), (1, None, 0.0), (2, 6e5, 0.0)] + [(3 + k, v[0][0] + 0.5, v[0][1] + 0.25) for k, (_, v) in enumerate(shapes[3:])]
+    table = spark.createDataFrame([(n, [dict(x=a, y=b) for a, b in v]) for n, v in shapes], "name string, vertices array<struct<x:double,y:double>>")
+    points = spark.createDataFrame(spots, "id long, x double, y double")
+    for limit in (0, 10_000):
+        hit = polygons.inside(F.col("vertices"), F.col("x"), F.col("y"))
+        found = {(r.name, r.id) for r in polygons.pair_with_polygons(points, table, hit, limit=limit).collect()}
+        want = {("huge", i) for i, x, y in spots if x is not None and abs(x) <= 5e5}
+        for name, v in shapes[3:]:
+            want |= {(name, i) for i, x, y in spots if x is not None and v[0][0] <= x <= v[2][0] and v[0][1] <= y <= v[2][1]}
+        assert found == want
+
+
+def test_range_join_with_many_boundaries(spark):
+    rng = random.Random(4)
+    edges = sorted({rng.randrange(10_000) / 4 for _ in range(2500)})
+    values = [rng.randrange(-100, 11_000) / 4 for _ in range(6000)] + [None, edges[0], edges[-1]]
+    rows = spark.createDataFrame([(i, v, "b") for i, v in enumerate(values)], "lo long, v double, bin string").toDF("id", "v", "boundary")
+    table = spark.createDataFrame([(e,) for e in edges * 2] + [(None,)], "boundary double")
+    got = {r.id: (r.bin, r.lo, r.hi) for r in sorting.range_join(rows, "v", table).collect()}
+    for i, v in enumerate(values):
+        k = bisect.bisect_right(edges, v) if v is not None else 0
+        assert got[i] == ((k, edges[k - 1], edges[k]) if 0 < k < len(edges) else (None, None, None))
+    assert len(got) == len(values)
+    assert sorting.range_join(rows, "v", table.where("false")).where("bin IS NULL").count() == len(values)
+
+
+def test_latest_and_least_after_cross_pieces(spark):
+    rng = random.Random(5)
+    rows = [(g, i, rng.choice([None, rng.random()])) for g in (1, 2, 3) for i in range(400 if g == 2 else 30)]
+    df = spark.createDataFrame(rows, "g int, i int, v double")
+    got = {(r.g, r.i): (r.seen, r.ahead) for r in Ordered(df, ["i"], ["g"]).extend(latest={"seen": F.col("v")}, least_after={"ahead": F.col("v")}).collect()}
+    for g, i, _ in rows:
+        before = [v for h, j, v in rows if h == g and j <= i and v is not None]
+        after = [v for h, j, v in rows if h == g and j >= i and v is not None]
+        assert got[g, i] == (before[-1] if before else None, min(after, default=None))
+
+
+def test_wide_keys_are_not_copied_to_every_executor(spark, monkeypatch):
+    keys = spark.createDataFrame([(k, "x" * 1000) for k in range(700)], "k int, wide string")
+    inputs = spark.range(20).toDF("i")
+    monkeypatch.setattr(verbs, "at_most", lambda df, limit: session.at_most(df, limit, 100_000))
+    out = verbs.fan_out(inputs, keys, ["k"])
+    # The only copied table is that of one row per partition, which numbers the keys.
+    assert out._jdf.queryExecution().analyzed().toString().count("strategy=broadcast") == 1
+    assert out.count() == 14_000 and out.select("file_id").distinct().count() == 700
