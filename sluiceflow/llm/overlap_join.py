@@ -45,7 +45,7 @@ SHINGLE = 5
 # Links need PERCENT * union <= 100 * intersection.
 PERCENT = 80
 # Shingles of a fragment, about; a task holds one fragment at a time.
-FRAGMENT = 2**22
+FRAGMENT = 3 * 2**19
 LEAST_FRAGMENTS = 8
 # Sets of a block, and shingles that a block's sets add up to but for its last one.
 BLOCK, BLOCK_SHINGLES = 1024, 2**22
@@ -184,11 +184,17 @@ def shared_segments(cut: DataFrame) -> DataFrame:
             _, first = np.unique(points, return_index=True)
             one = np.zeros(len(points), dtype=bool)
             one[first] = True
-            values = values[np.repeat(one, sizes)]
-            points, sizes = points[one], sizes[one]
-            _, inverse, times = np.unique(values, return_inverse=True, return_counts=True)
-            times = times[inverse]
-            both = times > 1
+            if not one.all():
+                values, points, sizes = values[np.repeat(one, sizes)], points[one], sizes[one]
+            # Only the few names that come twice are looked up; a sort of a copy tells which.
+            ordered = np.sort(values)
+            repeats, times = np.unique(ordered[np.append(ordered[1:] == ordered[:-1], False)], return_counts=True) if len(ordered) else (ordered, ordered)
+            del ordered
+            place = np.searchsorted(repeats, values)
+            np.minimum(place, max(len(repeats) - 1, 0), out=place)
+            both = repeats[place] == values if len(repeats) else np.zeros(len(values), dtype=bool)
+            times = times[place[both]] + 1  # each name but its last occurrence was counted
+            del place
             owner = np.repeat(np.arange(len(points)), sizes)[both]
             counts = np.bincount(owner, minlength=len(points))
             some = counts > 0
@@ -196,7 +202,7 @@ def shared_segments(cut: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([slot]), pa.nulls(1, held[0].schema.field("id").type), _lists(pa.array(points[some]), [int(some.sum())]),
                      _lists(pa.array(counts[some], pa.int32()), [int(some.sum())]), pa.array([values[both].tobytes()], pa.binary()),
-                     pa.array([times[both].astype(np.uint32).tobytes()], pa.binary())],
+                     pa.array([times.astype(np.uint32).tobytes()], pa.binary())],
                     names=schema.names,
                 )
 
