@@ -38,10 +38,10 @@ LONGEST = 4
 LEAST, WITHIN, TOP = 30, 80, 2000
 SCALE = 2_000_000
 # Word occurrences of a shard, about.
-SHARD = 2**21
+SHARD = 2**20
 FILTER_BITS = 26
-# Rows of letters to a prefix range, about; copies of a range among which its look-ups are dealt.
-RANGE_LETTERS, SALTS = 2**25, 8
+# Letters of text to a prefix range, about; copies of a range among which its look-ups are dealt.
+RANGE_LETTERS, SALTS = 2**22, 8
 _KINDS = words.byte_kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 _ENDED = np.uint64(0)
 
