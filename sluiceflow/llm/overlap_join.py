@@ -46,7 +46,9 @@ SHINGLE = 5
 PERCENT = 80
 # Shingles of a fragment, about; a task holds one fragment at a time.
 FRAGMENT = 3 * 2**19
-LEAST_FRAGMENTS = 8
+LEAST_FRAGMENTS = 64
+# Counts that a task holds before it sends their sums on.
+HELD_COUNTS = 2**20
 # Sets of a block, and shingles that a block's sets add up to but for its last one.
 BLOCK, BLOCK_SHINGLES = 1024, 2**22
 # Fragments in which the pairs of a cluster are counted.
@@ -209,6 +211,27 @@ def shared_segments(cut: DataFrame) -> DataFrame:
     return keep(cut.repartition("slot").sortWithinPartitions("slot").mapInArrow(count, schema), "fragments", rows=500)
 
 
+def shared_counts(shared: DataFrame) -> DataFrame:
+    """(point, n): how many shared shingles a point has, summed over the fragments that a task reads."""
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            points = np.append(points, batch.column("point").flatten().to_numpy())
+            counts = np.append(counts, batch.column("n").flatten().to_numpy())
+            if len(points) > HELD_COUNTS:
+                points, place = np.unique(points, return_inverse=True)
+                counts = np.bincount(place, weights=counts).astype(np.int64)
+                if 2 * len(points) > HELD_COUNTS:
+                    yield pa.RecordBatch.from_arrays([pa.array(points), pa.array(counts)], names=["point", "n"])
+                    points, counts = points[:0], counts[:0]
+        points, place = np.unique(points, return_inverse=True)
+        counts = np.bincount(place, weights=counts, minlength=len(points)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(points), pa.array(counts)], names=["point", "n"])
+
+    return shared.select("point", "n").mapInArrow(total, "point long, n long")
+
+
 def _parted(shared: DataFrame) -> DataFrame:
     """A row per point and fragment: (point, slot, names, sets)."""
 
@@ -395,7 +418,7 @@ def similar_sets(
     docs = shared.where("slot < 0").select(F.explode(F.arrays_zip("id", "point", "n")).alias("d")).select("d.id", "d.point", F.col("d.n").cast("long").alias("n"))
     shared = shared.where("slot >= 0")
     points = docs.where("n > 0").groupBy("point").agg(F.first("n").alias("n"), F.count("*").alias("copies"))
-    bound = shared.select(F.explode(F.arrays_zip("point", "n")).alias("s")).groupBy("s.point").agg(F.sum("s.n").alias("bound"))
+    bound = shared_counts(shared).groupBy("point").agg(F.sum("n").alias("bound"))
     able = keep(points.join(bound, "point").where(100 * F.col("bound") >= percent * F.col("n")).drop("bound"), "able")
     sets = keep(
         _parted(shared).join(able, "point").groupBy("point", "n", "copies")
