@@ -38,7 +38,9 @@ LONGEST = 4
 LEAST, WITHIN, TOP = 30, 80, 2000
 SCALE = 2_000_000
 # Word occurrences of a shard, about.
-SHARD = 2**20
+SHARD = 2**19
+# Documents of an Arrow batch; the arrays over a batch's letters are what a task holds.
+BATCH = 250
 FILTER_BITS = 26
 # Letters of text to a prefix range, about; copies of a range among which its look-ups are dealt.
 RANGE_LETTERS, SALTS = 2**22, 8
@@ -255,7 +257,7 @@ def phrase_counts(df: DataFrame, depth: int, frequent: Broadcast, pairs: Broadca
                 )
 
     cut = df.mapInArrow(build, "slot long, counts binary")
-    return keep(cut.repartition("slot").sortWithinPartitions("slot").mapInArrow(unite, "slot long, counts binary"), "transducers", rows=500)
+    return keep(cut.repartition("slot").sortWithinPartitions("slot").mapInArrow(unite, "slot long, counts binary"), "transducers", rows=BATCH)
 
 
 def phrases(transducers: DataFrame, depth: int) -> DataFrame:
@@ -368,7 +370,7 @@ def collocations(
     source = spread(df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang")))
     letters = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, int(letters // range_letters).bit_length())
-    counts = keep(word_counts(source), "word-counts")
+    counts = keep(word_counts(source), "word-counts", rows=BATCH)
     totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = counts.where(F.col("f") >= least)
     in_words = bit_filter(frequent)
