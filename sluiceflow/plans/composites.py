@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sluiceflow.flow import Flow
 from sluiceflow.functions import text as fn
+from sluiceflow.operators.confidence import compete, q_values
 from sluiceflow.operators import grids, polygons as poly, reports as rep
 from sluiceflow.operators.ordered import Ordered
 from sluiceflow.operators.overlap import top_overlaps
@@ -49,6 +50,45 @@ def pipe_search(spark, d):
     )
 
 
+RESCORE_LIMIT = 0.6
+
+
+@query("pipe_rescore", f"""
+WITH word AS (SELECT doc_id, source, list_distinct(list_filter(string_split(lower(text), ' '), lambda w: w <> '')) AS words,
+    CAST(floor((sum(n_chars) OVER (ORDER BY doc_id) - n_chars) / 100000.0) + 1 AS BIGINT) AS chunk FROM documents),
+result AS (SELECT doc_id, source, chunk, len(list_filter(words, lambda w: substr(w, 1, 1) BETWEEN 'a' AND 'h')) AS score, FALSE AS decoy FROM word
+  UNION ALL SELECT doc_id, source, chunk, len(list_filter(words, lambda w: substr(w, -1, 1) BETWEEN 'a' AND 'h')), TRUE FROM word),
+best AS (SELECT doc_id, source, chunk, score, decoy FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, decoy DESC) AS r FROM result) WHERE r = 1),
+level AS (SELECT score, sum(count(*) FILTER (WHERE decoy)) OVER w AS d, sum(count(*) FILTER (WHERE NOT decoy)) OVER w AS t
+  FROM best GROUP BY score WINDOW w AS (ORDER BY score DESC)),
+q AS (SELECT score, min(CASE WHEN t > 0 THEN least(1.0, (CAST(d AS DOUBLE) + 1) / t) ELSE 1.0 END) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q FROM level)
+SELECT source, count(DISTINCT chunk) AS chunks, count(*) FILTER (WHERE NOT decoy) AS targets, count(*) FILTER (WHERE decoy) AS decoys,
+  count(*) FILTER (WHERE NOT decoy AND q <= {RESCORE_LIMIT}) AS confident, round(min(q), 6) AS best_q, round(sum(q), 4) AS sum_q
+FROM best JOIN q USING (score) GROUP BY 1""")
+def pipe_rescore(spark, d):
+    """Split, run against targets and decoys, combine, and rescore the merged results by their q-values.
+
+    A document's targets are its words that begin with a to h, its decoys the same words read backwards.
+    """
+    documents = load(spark, d, "documents").select("doc_id", "text", "source", "n_chars")
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), " ", -1), lambda w: w != ""))
+    hits = lambda place: F.size(F.filter(words, lambda w: F.substring(w, place, 1).between("a", "h"))).cast("bigint")
+    searched = (
+        Flow(documents.select("doc_id", "source", "n_chars", hits(1).alias("target"), hits(-1).alias("reverse")))
+        .transform(lambda scores: materialize(scores, "scores"))
+        .split(["doc_id"], 100_000, "n_chars")
+        .result()
+    )
+    runs = [searched.select("doc_id", "source", "chunk", F.col(c).alias("score"), F.lit(c == "reverse").alias("decoy")) for c in ("target", "reverse")]
+    best = materialize(compete(Flow(runs[0]).combine(runs[1]).result(), ["doc_id", "source", "chunk"], "score", "decoy"), "merged")
+    rescored = q_values(best, "score", "decoy", "q")
+    target = ~F.col("decoy")
+    return rescored.groupBy("source").agg(
+        F.count_distinct("chunk").alias("chunks"), F.count_if(target).alias("targets"), F.count_if(F.col("decoy")).alias("decoys"),
+        F.count_if(target & (F.col("q") <= RESCORE_LIMIT)).alias("confident"), F.round(F.min("q"), 6).alias("best_q"), F.round(F.sum("q"), 4).alias("sum_q"),
+    )
+
+
 @query("pipe_route", f"SELECT target, count(*) AS n FROM (SELECT {ROUTE_CASE} AS target FROM documents ORDER BY n_chars DESC, doc_id DESC LIMIT 500) GROUP BY 1")
 def pipe_route(spark, d):
     """The 500 largest documents, each routed by the rules."""

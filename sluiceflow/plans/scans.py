@@ -16,6 +16,7 @@ from sluiceflow.plans.orders import BASE5, PIVOTS, chunk_pivots
 from sluiceflow.plans.views import READS, TASKLOG, reads, tasklog
 from sluiceflow.sources import formats, logs, records, sinks
 from sluiceflow.sources.reads import read_fastq
+from sluiceflow.sources.vectors import read_fixed_vectors, write_fixed_vectors
 from sluiceflow.session import load, scratch_path
 
 
@@ -142,6 +143,24 @@ def scan_vector_bytes(spark, d):
     return found.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(vec_id).alias("ids"), F.sum(F.size("features")).alias("values"))
 
 
+@query("scan_fixed_vectors", """
+SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS size, CAST(list_sum(list_transform(embedding, lambda e: CAST(round(CAST(e AS DOUBLE) * 1000) AS BIGINT))) AS BIGINT) AS total
+FROM embeddings""")
+def scan_fixed_vectors(spark, d):
+    """Vectors in thousandths, written in records of one width and read back; the first feature is the id, of any bytes."""
+    scaled = F.transform("embedding", lambda e: F.round(e.cast("double") * 1000).cast("bigint"))
+    table = load(spark, d, "embeddings").select(F.concat(F.array("vec_id"), scaled).alias("features"), "label")
+    width = table.agg(F.max(F.size("features"))).first()[0] or 1
+    path = scratch_path(spark, "vectors")
+    write_fixed_vectors(table, path, width, 3)
+    found = read_fixed_vectors(spark, path, width, 3)
+    values = F.slice("features", 2, width - 1)
+    return found.select(
+        F.col("features")[0].alias("vec_id"), "label", F.size(values).alias("size"),
+        F.aggregate(values, F.lit(0).cast("bigint"), lambda a, v: a + v).alias("total"),
+    )
+
+
 @query("scan_image", """
 SELECT label AS g, count(*) AS n, CAST(sum(x) AS BIGINT) AS x, CAST(sum(r) AS BIGINT) AS r, max(y) AS y FROM (
   SELECT label, CAST(vec_id % 256 AS INTEGER) AS y, unnest(range(len(embedding))) AS x,

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluiceflow.plans.catalog import query
+from sluiceflow.plans.views import READS, reads
 from sluiceflow.session import load, materialize, scratch_path
+from sluiceflow.sources import records, sinks
+from sluiceflow.sources.arrivals import record_arrivals
 from sluiceflow.streaming import flows
 
 DAYS_NEEDED = 10
@@ -131,3 +134,32 @@ def stream_replay(spark, d):
     made = F.array(F.concat(F.lit("run-"), k), F.concat(F.lit("merge-"), F.floor(k / 10)))
     sent = flows.drain(flows.replayed(event_stream(spark, d), ["user_id"], "at", made), "replay")
     return sent.groupBy("user_id", "payload").agg(F.sum("sends").alias("sends"), F.sum("first_sends").alias("first_sends"))
+
+
+@query("stream_reads", f"""WITH {READS}
+SELECT CAST(doc_id AS VARCHAR) AS id, md5(seq) AS seq, CAST(length(seq) AS INTEGER) AS n FROM reads""")
+def stream_reads(spark, d):
+    """Reads that arrive as FASTQ files, taken in some eight batches whatever their size, with batches ending inside files."""
+    folder = scratch_path(spark, "arriving")
+    sinks.write_lines(reads(spark, d), folder, F.concat_ws("\n", F.concat(F.lit("@"), "doc_id"), "seq", F.lit("+"), F.translate("seq", "ACGT", "@I;+")))
+    size = records.list_objects(spark, folder).agg(F.sum("length")).first()[0] or 0
+    stream = record_arrivals(spark, "fastq", folder, scratch_path(spark, "log"), batch_bytes=size // 8 + 1)
+    return flows.drain_batches(stream.select("id", F.md5(F.col("seq").cast("binary")).alias("seq"), F.length("seq").alias("n")), "reads")
+
+
+@query("stream_spectra", """
+SELECT event_id AS scan, value AS mass FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 0""")
+def stream_spectra(spark, d):
+    """Spectra that arrive as mzML text, those of level 2 parsed batch by batch."""
+    level = 2 - F.get_json_object("props", "$.k").cast("bigint") % 2
+    spectrum = F.format_string(
+        '<spectrum id="scan=%d" index="%d"><cvParam name="ms level" value="%d"/><cvParam name="base peak m/z" value="%s"/></spectrum>',
+        "event_id", "event_id", level, F.col("value").cast("string"),
+    )
+    folder = scratch_path(spark, "arriving")
+    sinks.write_lines(load(spark, d, "events"), folder, spectrum)
+    size = records.list_objects(spark, folder).agg(F.sum("length")).first()[0] or 0
+    stream = record_arrivals(spark, "mzML", folder, scratch_path(spark, "log"), batch_bytes=size // 8 + 1)
+    found = records.parsed_spectra(stream)
+    peak = F.filter("cvParam", lambda p: p["_name"] == "base peak m/z")[0]["_value"].cast("double")
+    return flows.drain_batches(found.select(F.col("_index").alias("scan"), peak.alias("mass")), "spectra")

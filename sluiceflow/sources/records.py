@@ -170,7 +170,11 @@ def read_spectra_xml(spark: SparkSession, path: str) -> DataFrame:
 
 def read_spectra(spark: SparkSession, path: str, level: str | None = "2") -> DataFrame:
     """(_id, _index, cvParam): spectra of an mzML file, by default those with MS level 2."""
-    pieces = read_spectra_xml(spark, path)
+    return parsed_spectra(read_spectra_xml(spark, path), level)
+
+
+def parsed_spectra(pieces: DataFrame, level: str | None = "2") -> DataFrame:
+    """(_id, _index, cvParam) of the spectra in `xml`, from a file or a stream."""
     if level is not None:
         # A cheap text test before any XML is parsed; the exact test follows.
         pieces = pieces.where(F.col("xml").contains("ms level"))

@@ -81,6 +81,20 @@ def drain(stream: DataFrame, label: str = "stream", partitions: int | None = Non
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def drain_batches(stream: DataFrame, label: str = "stream", partitions: int | None = None, checkpoint: str | None = None, path: str | None = None) -> DataFrame:
+    """Like `drain`, batch after batch until nothing is left, for sources that bound their batches themselves."""
+    spark = stream.sparkSession
+    path, checkpoint = path or scratch_path(spark, label), checkpoint or scratch_path(spark, f"{label}-checkpoint")
+    with stream_settings(spark, partitions):
+        writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+        running = writer.format("parquet").option("path", path).start()
+        try:
+            running.processAllAvailable()
+        finally:
+            running.stop()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
 def drain_each(
     stream: DataFrame, handle: Callable[[DataFrame, int], None], label: str = "stream", partitions: int | None = None,
 ) -> None:
