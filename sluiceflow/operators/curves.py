@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from sluiceflow.operators.ordered import Ordered
 
 
+# Repeats of one value that a row makes at a time.
+GAP_STEPS = 10_000
+
+
 def _deltas(df: DataFrame, start: Column, end: Column, weight: Column, by: Sequence[str]) -> DataFrame:
     """Net change per distinct time; most rows are summed away before the shuffle."""
     change = F.array(
@@ -48,10 +52,18 @@ def step_points(curve: DataFrame, gap: int) -> DataFrame:
 
 
 def fill_gaps(curve: DataFrame, step: int, by: Sequence[str] = ()) -> DataFrame:
-    """Repeat each value every `step` until the next change."""
+    """Repeat each value every `step` until the next change.
+
+    A long gap is cut into pieces of `GAP_STEPS` repeats; those after the first are dealt over the tasks.
+    """
     following = Ordered(curve, ["t"], by).extend(lead={"next": F.col("t")})
     until = F.coalesce(F.col("next") - 1, F.col("t"))
-    return following.select(*by, F.explode(F.sequence(F.col("t"), until, F.lit(step))).alias("t"), "active")
+    piece = F.explode(F.sequence(F.col("t"), F.col("__until"), F.lit(step * GAP_STEPS)))
+    pieces = following.select(*by, "t", "active", until.alias("__until")).select("*", piece.alias("__from"))
+    first = F.col("__from") == F.col("t")
+    dealt = pieces.where(first).unionByName(pieces.where(~first).repartition(*by, "__from"))
+    last = F.least(F.col("__from") + step * (GAP_STEPS - 1), F.col("__until"))
+    return dealt.select(*by, F.explode(F.sequence(F.col("__from"), last, F.lit(step))).alias("t"), "active")
 
 
 def ecdf(df: DataFrame, value: Column) -> DataFrame:
@@ -85,11 +97,17 @@ def quartiles(df: DataFrame, value: Column, by: Sequence[str]) -> DataFrame:
 
 
 def normal_cdf(df: DataFrame, value: Column, edges: int) -> DataFrame:
-    """(i, edge, cdf): the fitted normal density at equally spaced edges, summed and scaled to 1."""
+    """(i, edge, cdf): the fitted normal density at equally spaced edges, summed and scaled to 1.
+
+    Without values there are no rows; where all are equal, so are the edges, and all rows lie at or below each.
+    """
     mean, std, low, high = df.agg(F.avg(value), F.stddev_pop(value), F.min(value), F.max(value)).first()
-    edge = F.lit(low) + F.lit((high - low) / (edges - 1)) * F.col("id")
+    places = df.sparkSession.range(edges if low is not None else 0).select("id", F.col("id").cast("int").alias("i"))
+    if not std:
+        return places.select("i", F.lit(low).cast("double").alias("edge"), F.lit(1.0).alias("cdf"))
+    edge = F.lit(low) + F.lit((high - low) / max(1, edges - 1)) * F.col("id")
     density = F.exp(-((edge - F.lit(mean)) ** 2) / F.lit(2 * std * std)) / F.lit(std * math.sqrt(2 * math.pi))
-    points = df.sparkSession.range(edges).select(F.col("id").cast("int").alias("i"), edge.alias("edge"), density.alias("pdf"))
+    points = places.select("i", edge.alias("edge"), density.alias("pdf"))
     so_far = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # `edges` rows
     whole = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return points.select("i", "edge", (F.sum("pdf").over(so_far) / F.sum("pdf").over(whole)).alias("cdf"))

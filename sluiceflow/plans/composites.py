@@ -11,6 +11,7 @@ from sluiceflow.operators import grids, polygons as poly, reports as rep
 from sluiceflow.operators.ordered import Ordered
 from sluiceflow.operators.overlap import top_overlaps
 from sluiceflow.operators.panels import best_panel, panels
+from sluiceflow.operators.verbs import match_within
 from sluiceflow.plans.catalog import query
 from sluiceflow.plans.verbs import ROUTE_CASE, route_column
 from sluiceflow.session import load, materialize, spread
@@ -122,6 +123,34 @@ def pipe_identify(spark, d):
     )
 
 
+@query("pipe_identify_routed", f"""WITH {WORDS},
+panel AS (SELECT lang AS species, word FROM (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS r FROM token GROUP BY lang, word) WHERE r <= {PANEL_WORDS}),
+largest AS (SELECT doc_id, lang, {ROUTE_CASE} AS target FROM documents ORDER BY n_chars DESC, doc_id DESC LIMIT 500),
+score AS (SELECT doc_id, species, count(*) AS overlap FROM (SELECT doc_id, word FROM token JOIN largest USING (doc_id)) JOIN panel USING (word) GROUP BY 1, 2),
+best AS (SELECT doc_id, species, overlap FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, species) AS r FROM score) WHERE r = 1)
+SELECT target, count(*) AS n, count(*) FILTER (WHERE overlap >= 5 AND species = lang) AS correct,
+  count(*) FILTER (WHERE overlap IS NULL OR overlap < 5) AS unknown, count(*) FILTER (WHERE overlap >= 5 AND species <> lang) AS wrong,
+  CAST(sum(coalesce(overlap, 0)) AS BIGINT) AS shared
+FROM largest LEFT JOIN best USING (doc_id) GROUP BY 1""")
+def pipe_identify_routed(spark, d):
+    """The 500 largest documents: top, route, map over the panels of all documents, best match, and a tally per route."""
+    documents = spread(load(spark, d, "documents").select("doc_id", "lang", "source", "n_chars", "text"), "doc_id")
+    found = panels(documents.select("lang", F.explode(fn.words(F.col("text"))).alias("word")), "lang", "word", PANEL_WORDS)
+    largest = (
+        Flow(documents)
+        .top("n_chars", 500, "doc_id")
+        .transform(lambda best: materialize(best.select("doc_id", "lang", route_column().alias("target"), fn.words(F.col("text")).alias("found")), "largest"))
+    )
+    overlap = F.size(F.array_intersect("found", "words")).alias("overlap")
+    pairs = largest.map(lambda met: met.select("doc_id", "species", overlap), materialize(found, "panels"), ["species"]).result()
+    best = match_within(pairs, ["doc_id"], "species", "overlap")
+    known, right = F.coalesce("overlap", F.lit(0)) >= 5, F.col("species") == F.col("lang")
+    return largest.result().drop("found").join(best, "doc_id", "left").groupBy("target").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(known & right).alias("correct"), F.count_if(~known).alias("unknown"),
+        F.count_if(known & ~right).alias("wrong"), F.sum(F.coalesce("overlap", F.lit(0))).alias("shared"),
+    )
+
+
 PAIRS = """a AS (SELECT DISTINCT item_id, word FROM (SELECT item_id, unnest(string_split(lower(text), ' ')) AS word FROM benchmark) WHERE word <> ''),
 b AS (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS word FROM documents) WHERE word <> ''),
 best AS (SELECT item_id, doc_id, count(*) AS score FROM a JOIN b USING (word) GROUP BY 1, 2 ORDER BY score DESC, item_id, doc_id LIMIT 100)"""

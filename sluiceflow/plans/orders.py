@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from sluiceflow.functions import text as fn
 from sluiceflow.operators import reports as rep, sorting, verbs as op
+from sluiceflow.operators.confidence import compete, q_values
 from sluiceflow.operators.ordered import Ordered, numbered
 from sluiceflow.plans.catalog import query
 from sluiceflow.plans.views import READS, reads
 from sluiceflow.plans.verbs import LINE_KEYS, LINE_ORDER
-from sluiceflow.session import load, scratch_path
+from sluiceflow.session import load, materialize, scratch_path
 
 PIVOTS = """chunk AS (SELECT CAST(l_suppkey % 5 AS BIGINT) AS chunk, l_extendedprice AS v FROM lineitem),
 size AS (SELECT chunk, greatest(1, count(*) // 8) AS step, max(v) AS top FROM chunk GROUP BY 1),
@@ -144,3 +145,27 @@ def pipe_sort_search(spark, d):
     lines = load(spark, d, "lineitem").select(*LINE_KEYS, "l_discount")
     runs = op.split_by_count(lines, LINE_KEYS, 1000, "run")
     return runs.groupBy("run").agg(rep.hits("l_discount").alias("hits"))
+
+
+@query("pipe_sort_rescore", f"""
+WITH line AS (SELECT l_partkey, CAST(l_quantity AS DOUBLE) AS score, l_returnflag = 'R' AS decoy, l_discount,
+    CAST((row_number() OVER (ORDER BY {LINE_ORDER}) - 1) // 1000 AS BIGINT) AS run FROM lineitem),
+first AS (SELECT run, l_partkey, score, decoy FROM (SELECT *, row_number() OVER (PARTITION BY run, l_partkey ORDER BY score DESC, decoy DESC) AS r FROM line WHERE l_discount <= 0.05) WHERE r = 1),
+best AS (SELECT l_partkey, score, decoy FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY score DESC, decoy DESC) AS r FROM first) WHERE r = 1),
+level AS (SELECT score, sum(count(*) FILTER (WHERE decoy)) OVER w AS d, sum(count(*) FILTER (WHERE NOT decoy)) OVER w AS t
+  FROM best GROUP BY score WINDOW w AS (ORDER BY score DESC)),
+q AS (SELECT score, min(CASE WHEN t > 0 THEN least(1.0, (CAST(d AS DOUBLE) + 1) / t) ELSE 1.0 END) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q FROM level)
+SELECT l_partkey, score, decoy, round(q, 9) AS q, runs FROM best JOIN q USING (score) JOIN (SELECT l_partkey, count(*) AS runs FROM first GROUP BY 1) USING (l_partkey)""")
+def pipe_sort_rescore(spark, d):
+    """Sort by price, cut into runs, search each run, combine, and rescore the combined results in a second run.
+
+    A run's result for a part is its largest discounted quantity; returned lines are the decoys.
+    """
+    lines = load(spark, d, "lineitem").select(*LINE_KEYS, "l_discount", "l_quantity", "l_returnflag")
+    runs = op.split_by_count(lines, LINE_KEYS, 1000, "run").where(F.col("l_discount") <= 0.05)
+    scored = runs.select("run", "l_partkey", F.col("l_quantity").cast("double").alias("score"), (F.col("l_returnflag") == "R").alias("decoy"))
+    first = compete(scored, ["run", "l_partkey"], "score", "decoy")
+    rank = F.struct("score", F.col("decoy").cast("int").alias("d"))
+    merged = first.groupBy("l_partkey").agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("runs"))
+    best = materialize(merged.select("l_partkey", F.col("best.score").alias("score"), (F.col("best.d") == 1).alias("decoy"), "runs"), "combined")
+    return q_values(best, "score", "decoy", "q").withColumn("q", F.round("q", 9))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sluiceflow import Flow, session
 from sluiceflow.operators import curves, grids, neighbors, polygons, reports, sorting, verbs
+from sluiceflow.operators.panels import best_panel
 from sluiceflow.operators.ordered import PIECE, Ordered, numbered
 from sluiceflow.operators.overlap import top_overlaps
 
@@ -397,3 +398,34 @@ def test_wide_keys_are_not_copied_to_every_executor(spark, monkeypatch):
     # The only copied table is that of one row per partition, which numbers the keys.
     assert out._jdf.queryExecution().analyzed().toString().count("strategy=broadcast") == 1
     assert out.count() == 14_000 and out.select("file_id").distinct().count() == 700
+
+
+@pytest.mark.parametrize(("limit", "size"), [(10_000, 8_000_000), (7, 8_000_000), (10_000, 150), (1, 1)])
+def test_panels_beyond_what_is_copied(spark, limit, size):
+    letters = "abcdefghij"
+    found = [(f"s{i:02d}", sorted(RANDOM.sample(letters, 4))) for i in range(30)]
+    rows = [(i % 3, RANDOM.sample(letters, RANDOM.randrange(6))) for i in range(40)] + [(None, None)]
+    df = spark.createDataFrame(rows, "k int, w array<string>")
+    got = best_panel(df, F.col("w"), spark.createDataFrame(found, "species string, words array<string>"), "best", limit, size).collect()
+
+    def plain(words):
+        return max(((len(set(words) & set(p)), s) for s, p in found), key=lambda e: (e[0], [-ord(c) for c in e[1]]))
+
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or [])
+    expected = sorted(((k, w, plain(w)) for k, w in rows if w is not None), key=key)
+    assert sorted(((r.k, r.w, tuple(r.best)) for r in got if r.w is not None), key=key) == expected
+    assert len(got) == len(rows)
+
+
+def test_long_gaps_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(curves, "GAP_STEPS", 3)
+    curve = spark.createDataFrame([("a", 0, 1), ("a", 25, 2), ("a", 26, 3), ("b", 5, 7), ("b", 11, 8)], "k string, t bigint, active int")
+    got = sorted((r.k, r.t, r.active) for r in curves.fill_gaps(curve, 2, ["k"]).collect())
+    assert got == [*[("a", t, 1) for t in range(0, 25, 2)], ("a", 25, 2), ("a", 26, 3), ("b", 5, 7), ("b", 7, 7), ("b", 9, 7), ("b", 11, 8)]
+
+
+def test_normal_curve_of_nothing_and_of_one_value(spark):
+    for rows in ([], [(None,)]):
+        assert curves.normal_cdf(spark.createDataFrame(rows, "v double"), F.col("v"), 5).collect() == []
+    same = curves.normal_cdf(spark.createDataFrame([(4.0,), (4.0,)], "v double"), F.col("v"), 3).collect()
+    assert [tuple(r) for r in same] == [(0, 4.0, 1.0), (1, 4.0, 1.0), (2, 4.0, 1.0)]
