@@ -156,7 +156,8 @@ def automata(items: DataFrame, id_col: str, text_col: str, window: int = WINDOW,
     How many there are follows from the benchmark; every document passes each.
     """
     spark = items.sparkSession
-    source = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
+    # A repeated row would only be built again, and all of them in one group.
+    source = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).distinct()
     size = source.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = size // (4 * shard_words) + 1  # a word and its gap take four characters or more in running text
 

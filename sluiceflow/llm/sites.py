@@ -1,16 +1,17 @@
 """Quality by hierarchical empirical Bayes: document evidence with host and path posteriors.
 
 A logistic classifier, fitted in numpy on labelled documents, gives each document
-a probability. Grouped sums of these and of the labels give each host, and each
-path within it, a posterior share of good documents: a beta prior at the global
-share shrinks hosts, and a host's posterior shrinks its paths, each with a
+a probability. Grouped sums of the labels, and of these where there is no label,
+give each host, and each path within it, a posterior share of good documents: a
+beta prior at the global share shrinks hosts, and a host's posterior shrinks its paths, each with a
 strength fitted to the spread between groups (method of moments), so sparse
 sites stay near what is above them. A document's posterior odds are its own
 evidence times its path's odds.
 
 Null texts are empty texts and judged by the same features; null hosts and paths
 are groups of their own; repeated rows stay. Labels that are null or disagree
-are left out of the fit. Without labels of both kinds the document evidence is
+are left out of the fit and of the sums, and so are those without an id; all rows
+of a labelled id count with its label. Without labels of both kinds the document evidence is
 neutral. An empty table gives no rows.
 """
 
@@ -81,11 +82,18 @@ def fit(rows: np.ndarray, good: np.ndarray, ridge: float = 1e-3, rounds: int = 4
     return raw
 
 
-def classifier(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, float]:
-    """Weights, and the share of good labels; features are computed in tasks, at most `fit_rows` come to the driver."""
-    voted = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(
+def votes(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(id, good): one row per id whose labels agree."""
+    return labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(
         F.min(label_col).alias("low"), F.max(label_col).alias("high"),
     ).where("low = high AND id IS NOT NULL").select("id", F.col("low").cast("int").alias("good"))
+
+
+def classifier(documents: DataFrame, voted: DataFrame, id_col: str, text_col: str, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, float]:
+    """Weights, and the share of good labels; features are computed in tasks, about `fit_rows` at most come to the driver.
+
+    `voted` is as `votes` gives it. Of several rows of an id the one with the largest text stands for it.
+    """
     n, share = voted.agg(F.count("*"), F.avg("good")).first()
     if not n or share in (0.0, 1.0):
         return np.zeros(WIDTH), share if n else 0.5
@@ -93,14 +101,14 @@ def classifier(documents: DataFrame, labels: DataFrame, id_col: str, text_col: s
     chosen = voted.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(portion * (1 << 20)))
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # Some `fit_rows` pairs of numbers, whatever the input.
-    joined = texts.join(F.broadcast(chosen), "id").select("good", "text")
+    joined = texts.join(F.broadcast(chosen), "id").groupBy("id", "good").agg(F.max("text").alias("text")).select("good", "text")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"good": batch.column("good"), "x": pa.array([r.tobytes() for r in rows], pa.binary())})
 
-    found = keep(joined.mapInArrow(measured, "good int, x binary"), "labelled").limit(2 * fit_rows).toArrow()
+    found = keep(joined.mapInArrow(measured, "good int, x binary"), "labelled").toArrow()
     good = found.column("good").to_numpy().astype(float)
     if not len(good) or good.min() == good.max():
         return np.zeros(WIDTH), share
@@ -141,16 +149,25 @@ def posteriors(
     label_col: str = "quality", fit_rows: int = FIT_ROWS,
 ) -> tuple[DataFrame, str]:
     """`documents` with one struct column (its name is returned too): evidence, host and path posteriors, score."""
-    weights, share = classifier(documents, labels, id_col, text_col, label_col, fit_rows)
+    voted = keep(votes(labels, id_col, label_col), "votes")
+    weights, share = classifier(documents, voted, id_col, text_col, fit_rows)
     ratio, result = fresh(documents, "evidence"), fresh(documents, "judgement")
     scored = evidence(documents, weights, share, text_col, ratio)
     prior = float(np.clip(share, 1e-3, 1 - 1e-3))
     odds = float(np.log(prior / (1 - prior)))
     chance = 1 / (1 + F.exp(-(F.col(ratio) + odds)))
-    # Partial sums before the shuffle: a host with a third of all rows is as cheap as any.
+    # Partial sums before each shuffle: an id or a host with a third of all rows is as cheap as any.
+    judged_rows = keep(
+        scored.select(F.col(id_col).alias("id"), F.col(host).alias("host"), F.col(path).alias("path"), chance.alias("p"))
+        .groupBy("id", "host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("good")), "chances",
+    )
+    # What the labels change in the sums: the label of each of an id's rows in place of its probability.
+    corrected = judged_rows.join(voted.select("id", F.col("good").alias("label")), "id").select(
+        "host", "path", F.lit(0).cast("bigint").alias("n"), (F.col("n") * F.col("label") - F.col("good")).alias("good"),
+    )
     sums = keep(
-        scored.select(F.col(host).alias("host"), F.col(path).alias("path"), chance.alias("p"))
-        .groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("good")), "sites",
+        judged_rows.select("host", "path", "n", "good").unionByName(corrected)
+        .groupBy("host", "path").agg(F.sum("n").alias("n"), F.greatest(F.lit(0.0), F.least(F.sum("n"), F.sum("good"))).alias("good")), "sites",
     )
     hosts = sums.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     total = hosts.agg(F.sum("n"), F.sum("good")).first()

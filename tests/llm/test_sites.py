@@ -47,6 +47,46 @@ def test_sparse_sites_shrink(spark):
     assert 0.1 < shrunk < total and abs((900 + s * total) / (1000 + s) - 0.9) < 0.01
 
 
+def test_posteriors_against_plain_sums(spark):
+    """Shares and scores from the evidence and the labels by plain loops; labels count in place of probabilities."""
+    good, bad = "plain words in a row, and more of them. ", "### $$$ %%% &&& "
+    rows = [(i, (good if i % 7 else bad) * (1 + i % 3), f"h{i % 5}" if i % 5 else None, "en" if i % 2 else "de") for i in range(210)]
+    rows += [(3, bad, "h3", "en"), (3, bad, "h3", "en"), (None, bad, "h1", "en")]
+    votes = {i: int(i % 7 > 0) for i in range(60)} | {i: 0 for i in range(100, 200) if i % 5 == 2}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([*votes.items(), (61, 0), (61, 1), (None, 0), (62, None)], "doc_id long, quality int")
+    judged, name = sites.posteriors(docs, labels)
+    got = [r.asDict(recursive=True) for r in judged.collect()]
+    share = sum(votes.values()) / len(votes)
+    odds = math.log(share / (1 - share))
+    chance = lambda r: votes.get(r["doc_id"], 1 / (1 + math.exp(-(r[name]["evidence"] + odds))))
+
+    def sums(key):
+        held = {}
+        for r in got:
+            n, g = held.get(key(r), (0, 0.0))
+            held[key(r)] = (n + 1, g + chance(r))
+        return held
+
+    def strength(groups):
+        spread = sum(n * (g / n - m) ** 2 for n, g, m in groups)
+        by_chance, room = sum(m * (1 - m) for _, _, m in groups), sum(m * (1 - m) * (n - 1) for n, _, m in groups)
+        return 1 / min(max((spread - by_chance) / room, 1e-4), 0.999) - 1
+
+    hosts, paths = sums(lambda r: r["source"]), sums(lambda r: (r["source"], r["lang"]))
+    mean = sum(g for _, g in hosts.values()) / len(got)
+    s = strength([(n, g, mean) for n, g in hosts.values()])
+    of_host = {h: (g + s * mean) / (n + s) for h, (n, g) in hosts.items()}
+    s = strength([(n, g, of_host[h]) for (h, _), (n, g) in paths.items()])
+    of_path = {k: (g + s * of_host[k[0]]) / (n + s) for k, (n, g) in paths.items()}
+    for r in got:
+        host, path = of_host[r["source"]], of_path[r["source"], r["lang"]]
+        assert r[name]["host_share"] == pytest.approx(host) and r[name]["path_share"] == pytest.approx(path)
+        assert r[name]["score"] == pytest.approx(1 / (1 + math.exp(-(r[name]["evidence"] + math.log(path / (1 - path))))), abs=1e-9)
+    # The host whose labels are bad though its texts look plain falls below its like.
+    assert of_host["h2"] < min(share for h, share in of_host.items() if h != "h2")
+
+
 def test_fit_separates():
     import numpy as np
 
