@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from sluiceflow.llm.common import extended, fresh, keep
 
@@ -92,7 +93,7 @@ def votes(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
 def classifier(documents: DataFrame, voted: DataFrame, id_col: str, text_col: str, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, float]:
     """Weights, and the share of good labels; features are computed in tasks, about `fit_rows` at most come to the driver.
 
-    `voted` is as `votes` gives it. Of several rows of an id the one with the largest text stands for it.
+    `voted` is as `votes` gives it. Of several rows of an id the one with the largest features, by their bytes, stands for it.
     """
     n, share = voted.agg(F.count("*"), F.avg("good")).first()
     if not n or share in (0.0, 1.0):
@@ -101,14 +102,15 @@ def classifier(documents: DataFrame, voted: DataFrame, id_col: str, text_col: st
     chosen = voted.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(portion * (1 << 20)))
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # Some `fit_rows` pairs of numbers, whatever the input.
-    joined = texts.join(F.broadcast(chosen), "id").groupBy("id", "good").agg(F.max("text").alias("text")).select("good", "text")
+    joined = texts.join(F.broadcast(chosen), "id").select("id", "good", "text")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"good": batch.column("good"), "x": pa.array([r.tobytes() for r in rows], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "good": batch.column("good"), "x": pa.array([r.tobytes() for r in rows], pa.binary())})
 
-    found = keep(joined.mapInArrow(measured, "good int, x binary"), "labelled").toArrow()
+    kinds = StructType([joined.schema["id"], joined.schema["good"], StructField("x", BinaryType())])
+    found = keep(joined.mapInArrow(measured, kinds).groupBy("id", "good").agg(F.max("x").alias("x")), "labelled").select("good", "x").toArrow()
     good = found.column("good").to_numpy().astype(float)
     if not len(good) or good.min() == good.max():
         return np.zeros(WIDTH), share
