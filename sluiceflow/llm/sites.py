@@ -6,7 +6,9 @@ give each host, and each path within it, a posterior share of good documents: a
 beta prior at the global share shrinks hosts, and a host's posterior shrinks its paths, each with a
 strength fitted to the spread between groups (method of moments), so sparse
 sites stay near what is above them. A document's posterior odds are its own
-evidence times its path's odds.
+evidence times the odds of its path without it: what it adds to the sums of its
+path and host is taken out first, so that nothing is counted twice. The shares in
+the result are those of all documents.
 
 Null texts are empty texts and judged by the same features; null hosts and paths
 are groups of their own; repeated rows stay. Labels that are null or disagree
@@ -175,23 +177,30 @@ def posteriors(
     total = hosts.agg(F.sum("n"), F.sum("good")).first()
     mean = float(np.clip(total[1] / total[0], 1e-3, 1 - 1e-3)) if total[0] else prior
     of_hosts = strength(hosts, F.lit(mean))
-    hosts = hosts.select(F.col("host").alias("of_host"), ((F.col("good") + of_hosts * mean) / (F.col("n") + of_hosts)).alias("host_share"))
+    hosts = hosts.select(F.col("host").alias("of_host"), F.col("n").alias("host_n"), F.col("good").alias("host_good"), ((F.col("good") + of_hosts * mean) / (F.col("n") + of_hosts)).alias("host_share"))
     paths = sums.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).drop("of_host")
     of_paths = strength(paths, F.col("host_share"))
     share_of = (F.col("good") + of_paths * F.col("host_share")) / (F.col("n") + of_paths)
     # Written first, so that Spark knows its size when it chooses between copying it and shuffling the texts.
     sites = keep(paths.select(
-        F.col("host").alias("site_host"), F.col("path").alias("site_path"), F.struct("host_share", share_of.alias("path_share")).alias("site"),
+        F.col("host").alias("site_host"), F.col("path").alias("site_path"),
+        F.struct("host_n", "host_good", "n", "good", "host_share", share_of.alias("path_share")).alias("site"),
     ), "site-shares")
-    site = fresh(scored, "site")
-    left = scored.alias("d").join(
+    site, vote = fresh(scored, "site"), fresh(scored, "vote")
+    left = scored.join(
         sites.select("site_host", "site_path", F.col("site").alias(site)),
         scored[host].eqNullSafe(F.col("site_host")) & scored[path].eqNullSafe(F.col("site_path")), "left",
-    )
-    path_share = F.col(f"{site}.path_share")
-    log_odds = F.col(ratio) + F.log(path_share / (1 - path_share))
+    ).join(voted.select(F.col("id").alias("voted_id"), F.col("good").alias(vote)), scored[id_col] == F.col("voted_id"), "left")
+    own = F.coalesce(F.col(vote).cast("double"), chance)
+
+    def without(n: str, good: str, strong: float, prior: Column | float) -> Column:
+        rest = F.greatest(F.lit(0.0), F.least(F.col(f"{site}.{n}") - 1, F.col(f"{site}.{good}") - own))
+        return (rest + strong * prior) / (F.col(f"{site}.{n}") - 1 + strong)
+
+    others = without("n", "good", of_paths, without("host_n", "host_good", of_hosts, mean))
+    log_odds = F.col(ratio) + F.log(others / (1 - others))
     judged = F.struct(
-        F.col(ratio).alias("evidence"), F.col(f"{site}.host_share").alias("host_share"), path_share.alias("path_share"),
+        F.col(ratio).alias("evidence"), F.col(f"{site}.host_share").alias("host_share"), F.col(f"{site}.path_share").alias("path_share"),
         (1 / (1 + F.exp(-log_odds))).alias("score"),
     )
     return left.select(*[scored[c] for c in documents.columns], judged.alias(result)), result

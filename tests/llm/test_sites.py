@@ -48,10 +48,13 @@ def test_sparse_sites_shrink(spark):
 
 
 def test_posteriors_against_plain_sums(spark):
-    """Shares and scores from the evidence and the labels by plain loops; labels count in place of probabilities."""
+    """Shares and scores from the evidence and the labels by plain loops; labels count in place of probabilities.
+
+    Each document is scored by what its path and host are without it.
+    """
     good, bad = "plain words in a row, and more of them. ", "### $$$ %%% &&& "
     rows = [(i, (good if i % 7 else bad) * (1 + i % 3), f"h{i % 5}" if i % 5 else None, "en" if i % 2 else "de") for i in range(210)]
-    rows += [(3, bad, "h3", "en"), (3, bad, "h3", "en"), (None, bad, "h1", "en")]
+    rows += [(3, bad, "h3", "en"), (3, bad, "h3", "en"), (None, bad, "h1", "en"), (700, bad, "lone", "xx")]
     votes = {i: int(i % 7 > 0) for i in range(60)} | {i: 0 for i in range(100, 200) if i % 5 == 2}
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     labels = spark.createDataFrame([*votes.items(), (61, 0), (61, 1), (None, 0), (62, None)], "doc_id long, quality int")
@@ -75,14 +78,17 @@ def test_posteriors_against_plain_sums(spark):
 
     hosts, paths = sums(lambda r: r["source"]), sums(lambda r: (r["source"], r["lang"]))
     mean = sum(g for _, g in hosts.values()) / len(got)
-    s = strength([(n, g, mean) for n, g in hosts.values()])
-    of_host = {h: (g + s * mean) / (n + s) for h, (n, g) in hosts.items()}
+    s_host = strength([(n, g, mean) for n, g in hosts.values()])
+    of_host = {h: (g + s_host * mean) / (n + s_host) for h, (n, g) in hosts.items()}
     s = strength([(n, g, of_host[h]) for (h, _), (n, g) in paths.items()])
     of_path = {k: (g + s * of_host[k[0]]) / (n + s) for k, (n, g) in paths.items()}
     for r in got:
         host, path = of_host[r["source"]], of_path[r["source"], r["lang"]]
         assert r[name]["host_share"] == pytest.approx(host) and r[name]["path_share"] == pytest.approx(path)
-        assert r[name]["score"] == pytest.approx(1 / (1 + math.exp(-(r[name]["evidence"] + math.log(path / (1 - path))))), abs=1e-9)
+        (n, g), (n_host, g_host) = paths[r["source"], r["lang"]], hosts[r["source"]]
+        above = (g_host - chance(r) + s_host * mean) / (n_host - 1 + s_host)
+        others = (g - chance(r) + s * above) / (n - 1 + s)
+        assert r[name]["score"] == pytest.approx(1 / (1 + math.exp(-(r[name]["evidence"] + math.log(others / (1 - others))))), abs=1e-9)
     # The host whose labels are bad though its texts look plain falls below its like.
     assert of_host["h2"] < min(share for h, share in of_host.items() if h != "h2")
 
