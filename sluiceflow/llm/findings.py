@@ -1,7 +1,9 @@
 """Secret scans with a random forest that tells real findings from false ones.
 
 Candidates are runs of 16 or more key characters that have a digit, or 20 or more
-that mix cases. A forest of decision trees, grown in numpy from labelled
+that mix cases; values of 6 or more characters of any kind but blanks and quotes
+that a credential's name is given; and what follows a vendor's prefix. Those that
+overlap are one. A forest of decision trees, grown in numpy from labelled
 findings, judges each by its length, character classes and transitions, how much
 of it dictionary words cover, the path around it and the words beside it. The
 letter transitions and the dictionary (the most frequent short words) are
@@ -9,8 +11,10 @@ counted over all documents.
 
 Without labels at hand, `label_findings` marks a candidate as real when it is
 the value of a credential's name or has a vendor's prefix; all others are
-negatives. Every finding is learned from twice, once without its neighbourhood,
-so that shape alone counts too.
+negatives. That rule itself is no feature. Every finding is learned from twice,
+once without its neighbourhood, so that shape alone counts too. The forest is
+grown from distinct values, as many of each label as `fit_rows` halved where
+there are more.
 
 Null and empty texts have no candidates; null ids and repeated rows give rows of
 their own. With labels of one kind only, the forest is that constant.
@@ -35,27 +39,46 @@ from sluiceflow.llm.common import keep
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
 NAMES = re.compile(r"(?i)(token|secret|passw(or)?d|passwd|credential|api[_-]?key|access[_-]?key|private[_-]?key|auth)[a-z_]*['\"]?\s*(=|:|=>|:=)\s*['\"]?$")
-PREFIXES = re.compile(r"^(AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abp]-|sk_live_|rk_live_|AIza)")
+PREFIXES = re.compile(r"(AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abp]-|sk_live_|rk_live_|AIza)")
 PLACEHOLDER = "<SECRET>"
-# Bound on the labelled findings the forest is grown from, spread by hash over all that there are.
+GIVEN = re.compile(r"(?:=>|:=|[=:])\s*['\"]?")
+VALUE = re.compile(r"[^\s'\"]{6,}")
+PREFIXED = re.compile(rf"(?<![A-Za-z0-9]){PREFIXES.pattern}[A-Za-z0-9+/_\-]{{6,}}={{0,2}}")
+# Bound on the labelled findings the forest is grown from, spread by hash over the distinct values of each label.
 FIT_ROWS = 10_000
-DICTIONARY = 5_000
+DICTIONARY = 5_000  # words, by parameter
 TREES, DEPTH, LEAST = 40, 8, 3
 THRESHOLD = 0.5
-NEAR = 60  # characters looked at before a candidate
-_SHAPES, _CONTEXT = 13, 19
+NEAR = 60  # characters looked at on both sides of a candidate, by parameter
+_SHAPES, _CONTEXT = 12, 18
 WIDTH = _SHAPES + _CONTEXT
 _WORD = re.compile(r"\w+")
 _LETTERS = bytes(b if 97 <= b < 123 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
 
 
 def candidates(text: str | None) -> list[tuple[int, int]]:
+    """Spans, in order and disjoint."""
+    text = text or ""
     found = []
-    for m in CANDIDATE.finditer(text or ""):
+    for m in CANDIDATE.finditer(text):
         value = m[0]
         if any(c.isdigit() for c in value) or len(value) >= 20 and value != value.lower() and value != value.upper():
             found.append(m.span())
-    return found
+    found += [m.span() for m in PREFIXED.finditer(text)]
+    upto = 0
+    for m in GIVEN.finditer(text):
+        if m.end() < upto or not NAMES.search(text[max(0, m.start() - NEAR) : m.end()]):
+            continue
+        if value := VALUE.match(text, m.end()):
+            upto = value.end()
+            found.append((m.end(), m.end() + len(value[0].rstrip(",;.)]}>"))))
+    spans: list[tuple[int, int]] = []
+    for start, end in sorted(found):
+        if spans and start < spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(end, spans[-1][1]))
+        elif end > start:
+            spans.append((start, end))
+    return spans
 
 
 @dataclass
@@ -64,10 +87,11 @@ class Language:
 
     transitions: np.ndarray
     words: frozenset[str]
+    near: int = NEAR
 
 
-def language(df: DataFrame, text_col: str, size: int = DICTIONARY) -> Language:
-    """Counted over all texts: letter pairs, and words of 3 to 6 ASCII letters."""
+def language(df: DataFrame, text_col: str, size: int = DICTIONARY, near: int = NEAR) -> Language:
+    """Counted over all texts: letter pairs, and words of 3 to 6 ASCII letters, of which the `size` most frequent stay."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +113,7 @@ def language(df: DataFrame, text_col: str, size: int = DICTIONARY) -> Language:
     for row in totals.where(F.length("key") == 2).collect():  # at most 676
         pairs[ord(row["key"][0]) - 97, ord(row["key"][1]) - 97] += row["n"]
     top = totals.where(F.length("key") > 2).orderBy(F.desc("n"), "key").limit(size).collect()
-    return Language(np.log(pairs / pairs.sum(axis=1, keepdims=True)), frozenset(r["key"] for r in top))
+    return Language(np.log(pairs / pairs.sum(axis=1, keepdims=True)), frozenset(r["key"] for r in top), near)
 
 
 def coverage(value: str, words: frozenset[str]) -> float:
@@ -110,16 +134,15 @@ def describe(text: str, start: int, end: int, known: Language) -> np.ndarray:
     share = {k: kinds.count(k) / n for k in "dulo"}
     counts = np.array(list(Counter(value).values())) / n
     letters = value.lower()
-    moves = [known.transitions[ord(a) - 97, ord(b) - 97] for a, b in zip(letters, letters[1:]) if a.isalpha() and b.isalpha()]
+    moves = [known.transitions[ord(a) - 97, ord(b) - 97] for a, b in zip(letters, letters[1:]) if "a" <= a <= "z" and "a" <= b <= "z"]
     runs = re.findall(r"[A-Za-z]+", value)
-    before, after = text[max(0, start - NEAR) : start], text[end : end + NEAR]
+    before, after = text[max(0, start - known.near) : start], text[end : end + known.near]
     left, right = _WORD.findall(before.lower()), _WORD.findall(after.lower())
     head = before.split()[-1] if before and not before[-1].isspace() and before.split() else ""
     shape = [
         math.log(n), share["d"], share["u"], share["l"], share["o"], float(re.fullmatch(r"[0-9a-fA-F]+", value) is not None),
         len(counts) / n, float(-(counts * np.log2(counts)).sum()), sum(a != b for a, b in zip(kinds, kinds[1:])) / n,
         sum(moves) / len(moves) if moves else 0.0, coverage(value, known.words), max(map(len, runs), default=0) / n,
-        float(PREFIXES.match(value) is not None),
     ]
     buckets = np.zeros(12)
     if left:
@@ -129,7 +152,7 @@ def describe(text: str, start: int, end: int, known: Language) -> np.ndarray:
     context = [
         float(value.count("/")), float("/" in head), float("://" in head), float("@" in head or after[:1] == "@"),
         float(before[-1:] in "'\"" and before != ""), float(re.search(r"[=:]\s*['\"]?$", before) is not None),
-        float(NAMES.search(before) is not None), *buckets,
+        *buckets,
     ]
     return np.array(shape + context)
 
@@ -226,12 +249,21 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, seed: int = 11) -> Fo
 
 
 def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Forest:
-    """A forest from (value_sha, x, label) rows, of which at most about `fit_rows` come to the driver."""
-    labelled = labelled.where("label IS NOT NULL AND x IS NOT NULL")
-    n = labelled.count()
-    portion = min(1.0, fit_rows / n) if n else 1.0
-    rows = labelled.where(F.pmod(F.xxhash64("value_sha"), F.lit(1 << 20)) < int(portion * (1 << 20))).select("x", "label", "value_sha").limit(2 * fit_rows).collect()
-    rows.sort(key=lambda r: (r["value_sha"], bytes(r["x"])))
+    """A forest from (value_sha, x, label) rows, of which about `fit_rows` at most come to the driver.
+
+    They are distinct values, drawn by hash from each label's own; of a value's rows with one label that with the largest
+    features, by their bytes, stands for all, so a hot value is one row.
+    """
+    distinct = keep(
+        labelled.where("label IS NOT NULL AND x IS NOT NULL").groupBy("value_sha", "label").agg(F.max("x").alias("x")), "labelled-values",
+    )
+    counts = distinct.groupBy("label").agg(F.count("*").alias("n")).collect()  # two rows
+    portion = F.lit(0)
+    for row in counts:
+        share = min(1.0, fit_rows / 2 / row["n"])
+        portion = F.when(F.col("label") == row["label"], int(share * (1 << 20))).otherwise(portion)
+    rows = distinct.where(F.pmod(F.xxhash64("value_sha"), F.lit(1 << 20)) < portion).select("x", "label", "value_sha").collect()
+    rows.sort(key=lambda r: (r["value_sha"], r["label"]))
     x = np.stack([np.frombuffer(r["x"], np.float64) for r in rows]) if rows else np.zeros((1, WIDTH))
     y = np.array([float(r["label"]) for r in rows]) if rows else np.zeros(1)
     bare = x.copy()
@@ -251,24 +283,26 @@ def judged(found: DataFrame, forest: Forest) -> Column:
 
 def scan(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: DataFrame | None = None, threshold: float = THRESHOLD,
-    fit_rows: int = FIT_ROWS,
+    fit_rows: int = FIT_ROWS, dictionary: int = DICTIONARY, near: int = NEAR,
 ) -> DataFrame:
     """A row per candidate: doc_id, start, length (characters), value_sha256, score, secret."""
-    found, forest, _ = prepared(df, id_col, text_col, labelled, fit_rows)
+    found, forest, _ = prepared(df, id_col, text_col, labelled, fit_rows, dictionary, near)
     return found.select(
         "doc_id", "start", "length", F.col("value_sha").alias("value_sha256"), judged(found, forest).alias("score"),
     ).withColumn("secret", F.col("score") >= threshold)
 
 
-def prepared(df: DataFrame, id_col: str, text_col: str, labelled: DataFrame | None, fit_rows: int) -> tuple[DataFrame, Forest, Language]:
-    known = language(df, text_col)
+def prepared(
+    df: DataFrame, id_col: str, text_col: str, labelled: DataFrame | None, fit_rows: int, dictionary: int, near: int,
+) -> tuple[DataFrame, Forest, Language]:
+    known = language(df, text_col, dictionary, near)
     found = keep(extract(df, known, id_col, text_col), "candidates")
     return found, train(label_findings(found) if labelled is None else labelled, fit_rows), known
 
 
 def redact(
     df: DataFrame, text_col: str = "text", length_col: str | None = None, labelled: DataFrame | None = None, threshold: float = THRESHOLD,
-    fit_rows: int = FIT_ROWS,
+    fit_rows: int = FIT_ROWS, dictionary: int = DICTIONARY, near: int = NEAR,
 ) -> DataFrame:
     """`df` with the secrets in its texts replaced by a placeholder; all rows and columns stay.
 
@@ -277,7 +311,7 @@ def redact(
     from sluiceflow.llm.decontaminate import _replaced
 
     source = df.select(F.lit(None).cast("long").alias("id"), F.col(text_col).alias("text"))
-    _, forest, known = prepared(source, "id", "text", labelled, fit_rows)
+    _, forest, known = prepared(source, "id", "text", labelled, fit_rows, dictionary, near)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

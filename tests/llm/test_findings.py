@@ -54,6 +54,57 @@ def test_redaction_and_odd_rows(spark):
     assert {r.doc_id for r in rows if r.secret} == changed
 
 
+def test_candidates_of_names_and_prefixes():
+    text = "password = hunter22! api_key: 'aB$9.x#y', x=12 token=\"short\" url: //host/a AKIAQWERTYUI secret := a=b:c;d, auth: user:pass99)."
+    assert [text[a:b] for a, b in findings.candidates(text)] == ["hunter22!", "aB$9.x#y", "AKIAQWERTYUI", "a=b:c;d", "user:pass99"]
+    long = "token=" * 50_000 + "x" * 20 + "1"
+    assert findings.candidates(long) == [(6, len(long))]
+    assert findings.candidates(None) == findings.candidates("") == [] == findings.candidates("token = ......")
+
+
+def test_named_values_can_be_false(spark):
+    """Labels that contradict the naming rule are learned: placeholders of named values are no secrets."""
+    rng = np.random.default_rng(5)
+    real = ["".join(rng.choice(list("0123456789abcdefXYZQ"), 24)) for _ in range(300)]
+    fake = [f"your_{a}_{b}_here_{n:02d}" for n, (a, b) in enumerate(zip(["secret", "token", "value"] * 100, ["place", "holder", "sample"] * 100))]
+    rows = [(i, f"token = '{v}' set", v, int(v in real)) for i, v in enumerate([*real, *fake])]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    known = findings.language(docs, "text")
+    found = findings.extract(docs, known, "doc_id", "text")
+    truth = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, label int")
+    labelled = found.join(truth, "doc_id").where("doc_id % 3 > 0").select("value_sha", "x", "label")
+    said = {r.doc_id: r.secret for r in findings.scan(docs, labelled=labelled).where("doc_id % 3 = 0").collect()}
+    wrong = [i for i, _, _, y in rows if i % 3 == 0 and said[i] != bool(y)]
+    assert len(said) == 200 and len(wrong) <= 4
+
+
+def test_scan_against_plain_loops(spark):
+    """Spans by a search of every text and scores by walking each tree, one finding at a time."""
+    docs = spark.read.parquet(DOCS)
+    found, forest, known = findings.prepared(docs, "doc_id", "text", None, 500, 300, 40)
+    got = {(r.doc_id, r.start, r.length): r.score for r in findings.scan(docs, fit_rows=500, dictionary=300, near=40).collect()}
+    want = {}
+    for doc, text in docs.select("doc_id", "text").collect():
+        for start, end in findings.candidates(text):
+            x = findings.describe(text, start, end, known)
+            total = 0.0
+            for at in forest.roots:
+                while forest.left[at] != at:
+                    at = forest.left[at] if x[forest.feature[at]] <= forest.cut[at] else forest.right[at]
+                total += forest.value[at]
+            want[doc, start, end - start] = total / len(forest.roots)
+    assert len(want) > 30 and got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
+
+
+def test_hot_values_are_one_row(spark):
+    """A value that fills the table takes one place among the rows that the forest grows from."""
+    x = lambda v: np.full(findings.WIDTH, v).tobytes()
+    rows = [("hot", bytearray(x(9.0)), 0)] * 5000 + [(f"n{i}", bytearray(x(i / 100)), 0) for i in range(100)] + [(f"p{i}", bytearray(x(2 + i / 100)), 1) for i in range(100)]
+    forest = findings.train(spark.createDataFrame(rows, "value_sha string, x binary, label int"), fit_rows=400)
+    said = forest.predict(np.stack([np.full(findings.WIDTH, v) for v in (0.5, 2.5)]))
+    assert said[0] < 0.2 and said[1] > 0.8
+
+
 def test_without_rows_or_positives(spark):
     docs = spark.createDataFrame([(1, "card 4785380592391139 only")], "doc_id long, text string")
     assert [r.secret for r in findings.scan(docs).collect()] == [False]
