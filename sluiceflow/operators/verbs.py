@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import queue
 import subprocess
+import tempfile
+import threading
+import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from functools import reduce
+from functools import partial, reduce
+from itertools import chain
+from typing import IO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -141,28 +147,136 @@ def run(
     return df.mapInPandas(apply, schema)
 
 
+# Bytes of answers that may wait for the task that reads them; then the program waits.
+WAITING_BLOCKS, BLOCK_BYTES = 16, 1 << 16
+
+
 def pipe_through(
     df: DataFrame, column: str, command: Sequence[str], retry: Sequence[str] | None = None, name: str = "line"
 ) -> DataFrame:
-    """Feed a text column to an external program, batch by batch, and read its output lines.
-
-    When the program exits with status 1 and `retry` is given, that command gets
-    the same batch. Any other failure fails the task.
+    """Feed a text column to an external program, one per task, and read its output lines.
+
+    The program may answer line by line or only at the end of its input: a thread
+    feeds it while another reads, and neither input nor output is held whole. A
+    null is an empty line, and a task without rows starts no program. When it
+    exits with status 1 and `retry` is given, that command gets the task's rows
+    once more, which are kept in a file meanwhile, and what the first one
+    answered is not used. Any other failure fails the task.
     """
 
-    def call(words: Sequence[str], text: bytes) -> subprocess.CompletedProcess:
-        return subprocess.run(list(words), input=text, capture_output=True, check=False)
-
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
-            text = "".join(f"{value}\n" for value in batch[column]).encode()
-            done = call(command, text)
-            if done.returncode == 1 and retry is not None:
-                done = call(retry, text)
-            if done.returncode != 0:
-                raise RuntimeError(f"{command[0]} failed with {done.returncode}: {done.stderr[-500:]!r}")
-            yield pd.DataFrame({name: done.stdout.decode().splitlines()})
+        texts = ("".join(f"{'' if pd.isna(v) else v}\n" for v in batch[column]).encode() for batch in batches if len(batch))
+        first = next(texts, None)
+        if first is None:
+            return
+        fed = chain([first], texts)
+        if retry is None:
+            yield from _frames(_answers(command, fed), name)
+            return
+        # Whether to use the answers is known only at their end.
+        with tempfile.TemporaryFile() as given, tempfile.TemporaryFile() as told:
+            try:
+                for block in _answers(command, _noted(fed, given)):
+                    told.write(block)
+            except ProgramError as error:
+                if error.status != 1:
+                    raise
+                given.seek(0)
+                yield from _frames(_answers(retry, iter(partial(given.read, BLOCK_BYTES), b"")), name)
+                return
+            told.seek(0)
+            yield from _frames(iter(partial(told.read, BLOCK_BYTES), b""), name)
 
     return df.select(column).mapInPandas(apply, f"{name} string")
+
+
+class ProgramError(RuntimeError):
+    def __init__(self, command: Sequence[str], status: int, said: bytes):
+        super().__init__(f"{command[0]} failed with {status}: {said!r}")
+        self.status = status
+
+
+def _noted(texts: Iterator[bytes], file: IO[bytes]) -> Iterator[bytes]:
+    for text in texts:
+        file.write(text)
+        yield text
+
+
+def _frames(blocks: Iterator[bytes], name: str) -> Iterator[pd.DataFrame]:
+    """The lines of the blocks; the last one may lack its end."""
+    rest = b""
+    for block in blocks:
+        *whole, rest = (rest + block).split(b"\n")
+        if whole:
+            yield pd.DataFrame({name: [line.decode("utf-8", "replace").removesuffix("\r") for line in whole]})
+    if rest:
+        yield pd.DataFrame({name: [rest.decode("utf-8", "replace")]})
+
+
+def _answers(command: Sequence[str], texts: Iterator[bytes]) -> Iterator[bytes]:
+    """What a program writes while it is fed.
+
+    Spark's iterator stays in the task's own thread. Others write to the program, read its answers into a queue of
+    bounded length, and hold the end of what it says on errors. All texts are taken, also when it ends before.
+    """
+    process = subprocess.Popen(list(command), stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE)
+    waiting: queue.Queue[bytes | None] = queue.Queue(WAITING_BLOCKS)
+    feed: queue.Queue[bytes | None] = queue.Queue(1)
+    said = bytearray()
+
+    def read() -> None:
+        while block := process.stdout.read1(BLOCK_BYTES):
+            waiting.put(block)
+        waiting.put(None)
+
+    def complain() -> None:
+        while block := process.stderr.read1(BLOCK_BYTES):
+            said.extend(block)
+            del said[:-500]
+
+    def write() -> None:
+        try:
+            while (text := feed.get()) is not None:
+                process.stdin.write(text)
+            process.stdin.close()
+        except OSError:  # it stopped reading, which its status explains
+            while feed.get() is not None:
+                pass
+
+    threads = [threading.Thread(target=f, daemon=True) for f in (read, complain, write)]
+    for thread in threads:
+        thread.start()
+    try:
+        for text in chain(texts, [None]):
+            while True:
+                try:
+                    feed.put(text, timeout=0.01)
+                    break
+                except queue.Full:
+                    pass
+                # The program may wait for room for its answers.
+                while not waiting.empty():
+                    block = waiting.get()
+                    if block is None:
+                        waiting.put(None)
+                        break
+                    yield block
+        while (block := waiting.get()) is not None:
+            yield block
+        status = process.wait()
+        threads[1].join()
+        if status:
+            raise ProgramError(command, status, bytes(said))
+    finally:
+        if process.poll() is None:
+            process.kill()
+            process.wait()
+        ends_by = time.monotonic() + 2
+        # Threads that still wait on a queue, when the task was left early.
+        for thread in threads:
+            while thread.is_alive() and time.monotonic() < ends_by:
+                while not waiting.empty():
+                    waiting.get()
+                if feed.empty():
+                    feed.put(None)
+                thread.join(0.01)

@@ -46,6 +46,26 @@ def pivots_approx(spark, d):
     return counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("bins"), even.alias("even"))
 
 
+@query("pivots_by_day", """
+SELECT l_returnflag AS flag, count(*) AS n, CAST(8 AS BIGINT) AS bins, true AS even FROM lineitem GROUP BY 1""")
+def pivots_by_day(spark, d):
+    """Chunks that come on different days are summed up one by one; their stored summaries give the boundaries later.
+
+    What holds for good boundaries is returned: all rows in 8 bins, none off its eighth by more than twice the stated error.
+    """
+    rows = load(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_shipdate", "l_extendedprice")
+    parts = materialize(sorting.summaries(rows, "l_extendedprice", ["flag", "l_shipdate"]), "summaries")
+    bounds = sorting.summary_pivots(sorting.merge_summaries(parts, ["flag"]), 8, ["flag"])
+    # One row of at most nine numbers a flag.
+    edges = bounds.groupBy("flag").agg(F.sort_array(F.collect_list("boundary")).alias("edges"))
+    placed = rows.join(op.replicated_if_small(edges, settle=True), "flag").select(
+        "flag", F.size(F.filter("edges", lambda e: e <= F.col("l_extendedprice"))).alias("bin"), F.size("edges").alias("held"),
+    )
+    counts = placed.where("bin > 0 AND bin < held").groupBy("flag", "bin").agg(F.count("*").alias("n"))
+    even = F.max("n") <= (1 / 8 + 2 * 0.005) * F.sum("n") + 1
+    return counts.groupBy("flag").agg(F.sum("n").alias("n"), F.count("*").alias("bins"), even.alias("even"))
+
+
 @query("partition_bounds", """
 SELECT count(*) AS n, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, CAST(0 AS BIGINT) AS overlaps, true AS even FROM lineitem""")
 def partition_bounds(spark, d):

@@ -289,6 +289,14 @@ def pipe_app(spark, d):
     return op.pipe_through(load(spark, d, "customer"), "c_name", ["cat"])
 
 
+@query("pipe_counts", "SELECT count(*) AS n, CAST(sum(strlen(c_name) + 1) AS BIGINT) AS size FROM customer")
+def pipe_counts(spark, d):
+    """A program that answers only at the end of its input, once per task."""
+    counted = op.pipe_through(load(spark, d, "customer"), "c_name", ["wc", "-l", "-c"])
+    cells = F.split(F.trim("line"), r"\s+")
+    return counted.agg(F.sum(cells[0].cast("bigint")).alias("n"), F.sum(cells[1].cast("bigint")).alias("size"))
+
+
 @query("config_merge", """
 SELECT p_partkey, p_size AS memory, CASE WHEN p_size > 25 THEN p_size * 2 ELSE 300 END AS timeout FROM part""")
 def config_merge(spark, d):

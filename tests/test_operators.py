@@ -264,6 +264,49 @@ def test_pipe_retries_and_fails(spark):
         verbs.pipe_through(df, "line", ["sh", "-c", "exit 3"]).collect()
 
 
+def test_one_program_per_task(spark):
+    """Answers line by line, only at the end, or from a program that stops reading; many batches, more than a pipe holds."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    try:
+        df = spark.range(0, 120_000, 1, 3).select(F.concat(F.lit("row-"), F.lpad("id", 30, "0")).alias("line"))
+        echoed = verbs.pipe_through(df, "line", ["cat"])
+        assert echoed.count() == 120_000 and echoed.exceptAll(df).count() == 0
+        assert [int(r.line) for r in verbs.pipe_through(df, "line", ["wc", "-l"]).collect()] == [40_000] * 3
+        backwards = verbs.pipe_through(df.coalesce(1), "line", ["sort", "-r"]).collect()
+        assert len(backwards) == 120_000 and backwards[0].line.endswith("119999")
+        assert verbs.pipe_through(df, "line", ["head", "-n", "1"]).count() == 3
+        # Twice as much out as in, and the answers of a first program that fails late are not used.
+        assert verbs.pipe_through(df, "line", ["sed", "p"]).count() == 240_000
+        again = verbs.pipe_through(df, "line", ["sh", "-c", "cat; exit 1"], retry=["sed", "s/^/x/"])
+        assert again.count() == 120_000 and again.where("line LIKE 'x%'").count() == 120_000
+        assert verbs.pipe_through(df, "line", ["cat"], retry=["false"]).count() == 120_000
+        assert len(verbs.pipe_through(df, "line", ["cat"]).limit(5).collect()) == 5
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    odd = spark.createDataFrame([(None,), ("",), ("é",)], "line string").coalesce(1)
+    assert [r.line for r in verbs.pipe_through(odd, "line", ["cat"]).collect()] == ["", "", "é"]
+    assert verbs.pipe_through(odd.limit(0), "line", ["false"]).count() == 0
+
+
+def test_summaries_merge_to_even_bins(spark):
+    """Chunks of different days: ranks of the merged boundaries against exact ones, one value with a third of the rows."""
+    values = [RANDOM.gauss(0, 50) if i % 3 else 7.0 for i in range(30_000)]
+    df = spark.createDataFrame([(i % 11, "a", v) for i, v in enumerate(values)] + [(0, "b", None), (1, "c", 4.0), (2, "c", 4.0)], "day int, g string, v double")
+    days = [session.materialize(sorting.summaries(df.where(F.col("day") == k), "v", ["g"])) for k in range(11)]
+    left, right = verbs.combine(*days[:4]), verbs.combine(*days[4:])
+    merged = sorting.merge_summaries(verbs.combine(*[sorting.merge_summaries(part, ["g"]) for part in (left, right)]), ["g"])
+    assert {r.g: r.n for r in merged.collect()} == {"a": 30_000, "c": 2}
+    found = sorting.summary_pivots(merged, 10, ["g"]).collect()
+    edges, order = sorted(r.boundary for r in found if r.g == "a"), sorted(values)
+    assert edges[-1] == order[-1] + 1 and sorted(r.boundary for r in found if r.g == "c") == [4.0, 5.0]
+    # A boundary stands for a wanted rank when that lies between its first and last place, or nearly.
+    for i in range(1, 10):
+        assert min(max(bisect.bisect_left(order, e) - 3000 * i, 3000 * i - bisect.bisect_right(order, e), 0) for e in edges) <= 0.005 * len(order)
+    assert sorting.merge_summaries(sorting.summaries(df.limit(0), "v")).count() == 0
+    assert sorting.summary_pivots(sorting.merge_summaries(sorting.summaries(df.limit(0), "v", ["g"]), ["g"]), 4, ["g"]).count() == 0
+
+
 def test_application_may_return_nothing(spark):
     assert verbs.run(spark.range(10), lambda batch, params: None, "id bigint").count() == 0
 
