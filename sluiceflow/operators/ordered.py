@@ -98,13 +98,15 @@ class Ordered:
         if running or lag or lead or latest or least_after:
             local = Window.partitionBy(*keys).orderBy(SPOT)
             so_far = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            # Backwards from the piece's end: a frame that ends there would be gone over anew for every row.
+            from_end = Window.partitionBy(*keys).orderBy(F.desc(SPOT)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
             rows = rows.select(
                 "*",
                 *[F.sum(c).over(so_far).alias(f"__here_{n}") for n, c in running.items()],
                 *[F.lag(c).over(local).alias(f"__prev_{n}") for n, c in lag.items()],
                 *[F.lead(c).over(local).alias(f"__next_{n}") for n, c in lead.items()],
                 *[F.last(c, ignorenulls=True).over(so_far).alias(f"__now_{n}") for n, c in latest.items()],
-                *[F.min(c).over(local.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias(f"__on_{n}") for n, c in least_after.items()],
+                *[F.min(c).over(from_end).alias(f"__on_{n}") for n, c in least_after.items()],
             )
         if not self.within:
             offsets = F.broadcast(offsets)  # one row per partition

@@ -422,6 +422,19 @@ def test_range_join_with_many_boundaries(spark):
     assert sorting.range_join(rows, "v", table.where("false")).where("bin IS NULL").count() == len(values)
 
 
+def test_least_after_goes_over_a_piece_once(spark):
+    """A frame up to a piece's end is gone over anew for every row: minutes for these rows in one piece, and a billion steps."""
+    rows = spark.range(60_000).select("id", F.when(F.col("id") % 7 == 3, F.pmod(F.xxhash64("id"), F.lit(10**6)) + F.col("id") * 100).alias("v"))
+    laid = Ordered(rows.coalesce(1), ["id"])
+    out = laid.extend(least_after={"ahead": F.col("v")})
+    assert "unboundedfollowing" not in out._jdf.queryExecution().executedPlan().toString().lower()
+    got = {r.id: r.ahead for r in out.select("id", "ahead").collect()}
+    least = None
+    for r in sorted(rows.collect(), key=lambda r: -r.id):
+        least = r.v if least is None or (r.v is not None and r.v < least) else least
+        assert got[r.id] == least
+
+
 def test_latest_and_least_after_cross_pieces(spark):
     rng = random.Random(5)
     rows = [(g, i, rng.choice([None, rng.random()])) for g in (1, 2, 3) for i in range(400 if g == 2 else 30)]
