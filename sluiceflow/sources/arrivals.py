@@ -30,27 +30,28 @@ _CLOSE = b"</spectrum>"
 def spectra(raw, start: int, end: int) -> Iterator[bytes]:
     """The XML of every spectrum whose tag begins at a byte in [start, end)."""
     raw.seek(start)
-    held, base, more = b"", start, True
+    # `held` begins at byte `base` of the file; `at` is the place in it up to which it was looked through.
+    held, base, at, more = b"", start, 0, True
     while True:
-        hit = _OPEN.search(held)
-        begin = base + hit.start() if hit else base + max(0, len(held) - 9)
-        if begin >= end or (not hit and not more):
+        hit = _OPEN.search(held, at)
+        begin = hit.start() if hit else max(at, len(held) - 9)
+        if base + begin >= end or (not hit and not more):
             return
-        held, base = held[begin - base :], begin
-        stop = -1
+        at, stop = begin, -1
         if hit:
-            tag = held.find(b">")
+            tag = held.find(b">", at)
             if tag > 0 and held[tag - 1 : tag] == b"/":
                 stop = tag + 1
             elif tag > 0:
                 close = held.find(_CLOSE, tag)
                 stop = close + len(_CLOSE) if close >= 0 else -1
         if stop > 0:
-            yield held[:stop]
-            held, base = held[stop:], base + stop
+            yield held[at:stop]
+            at = stop
         elif more:
+            # What was looked through goes once a block, not with every spectrum.
             block = raw.read(BLOCK_BYTES)
-            held, more = held + block, bool(block)
+            held, base, at, more = held[at:] + block, base + at, 0, bool(block)
         else:
             return  # a spectrum that the file does not end
 
