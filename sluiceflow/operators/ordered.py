@@ -81,7 +81,9 @@ class Ordered:
         )
         # One row per piece: a group has at most as many as there are partitions.
         along = Window.partitionBy(*self.within).orderBy(PIECE)
-        before, after = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+        before = along.rowsBetween(Window.unboundedPreceding, -1)
+        # Backwards, as a frame up to the end would be gone over anew for every row.
+        after = Window.partitionBy(*self.within).orderBy(F.desc(PIECE)).rowsBetween(Window.unboundedPreceding, -1)
         offsets = pieces.select(
             *[F.col(k).alias(f"__at_{k}") for k in keys],
             "__first",
@@ -98,7 +100,6 @@ class Ordered:
         if running or lag or lead or latest or least_after:
             local = Window.partitionBy(*keys).orderBy(SPOT)
             so_far = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            # Backwards from the piece's end: a frame that ends there would be gone over anew for every row.
             from_end = Window.partitionBy(*keys).orderBy(F.desc(SPOT)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
             rows = rows.select(
                 "*",
