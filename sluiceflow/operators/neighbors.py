@@ -30,7 +30,10 @@ BLOCK_ROWS = 4096
 # Training blocks that stream past one held test block.
 STREAM_BLOCKS = 256
 SEND_ALL_VALUES = 4_000_000
-_TILE = 2_000_000
+# Numbers of a temporary matrix in a task.
+_TILE = 1_000_000
+# Candidates per wanted neighbour beyond which a block's own k-th distance is looked up.
+_FEW = 4
 _SLACK = 1e-9
 
 
@@ -43,28 +46,55 @@ def distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squared, 0.0))
 
 
+def exact_distances(left: np.ndarray, right: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Distances of the pairs (left[at], right[of]), of however many pairs, a tile of numbers at a time."""
+    found = np.empty(len(at))
+    step = max(1, _TILE // max(1, left.shape[1]))
+    for low in range(0, len(at), step):
+        own = slice(low, low + step)
+        found[own] = np.sqrt(((left[at[own]] - right[of[own]]) ** 2).sum(1))
+    return found
+
+
+def sliced(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+    """The batches cut so that rows times `width` stay within a tile."""
+    step = max(1, _TILE // max(1, width))
+    for batch in batches:
+        for low in range(0, len(batch), step):
+            yield batch.iloc[low : low + step]
+
+
 def block_nearest(
-    test_ids: np.ndarray, test: np.ndarray, train_ids: np.ndarray, train: np.ndarray, k: int, skip_same: bool
+    test_ids: np.ndarray, test: np.ndarray, train_ids: np.ndarray, train: np.ndarray, k: int, skip_same: bool,
+    within: np.ndarray | None = None,
 ) -> pd.DataFrame:
-    """The k best training rows of this block per test row.
+    """The k best training rows of this block per test row; with `within`, of those no further than that.
 
     The matrix product only selects candidates, with a slack for its rounding;
     their distances are then taken from the differences.
     """
     parts = []
-    norms = (train**2).sum(1)
+    norms, turned = (train**2).sum(1), -2.0 * train.T
     tile = max(1, _TILE // max(1, len(train_ids)))
     for begin in range(0, len(test_ids), tile):
         ids, rows = test_ids[begin : begin + tile], test[begin : begin + tile]
         own = (rows**2).sum(1)
-        squared = own[:, None] + norms[None, :] - 2.0 * rows @ train.T
+        squared = rows @ turned
+        squared += own[:, None]
+        squared += norms[None, :]
         if skip_same:
             squared[ids[:, None] == train_ids[None, :]] = np.inf
-        depth = min(k, squared.shape[1])
-        bound = np.partition(squared, depth - 1, axis=1)[:, depth - 1]
-        bound = bound + _SLACK * (1.0 + own + norms.max())
-        at, of = np.nonzero((squared <= bound[:, None]) & np.isfinite(squared))
-        exact = np.sqrt(((rows[at] - train[of]) ** 2).sum(1))
+        slack = _SLACK * (1.0 + own + norms.max())
+        bound = np.full(len(ids), np.inf) if within is None else within[begin : begin + tile] ** 2 * (1 + _SLACK)
+        near = squared <= (bound + slack)[:, None]
+        if near.sum() > _FEW * k * len(ids):
+            depth = min(k, squared.shape[1])
+            bound = np.minimum(bound, np.partition(squared, depth - 1, axis=1)[:, depth - 1])
+            near = squared <= (bound + slack)[:, None]
+        at, of = np.nonzero(near)
+        other = np.isfinite(squared[at, of])
+        at, of = at[other], of[other]
+        exact = exact_distances(rows, train, at, of)
         found = pd.DataFrame({"test_id": ids[at], "train_id": train_ids[of], "distance": exact})
         found = found.sort_values(["test_id", "distance", "train_id"], kind="stable")
         parts.append(found.groupby("test_id", sort=False).head(k))
@@ -129,9 +159,7 @@ def _by_cells(
     centres = matrix(chosen["vec"])
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
+        for batch in sliced(batches, len(centres)):
             away = distances(matrix(batch["vec"]), centres)
             cell = away.argmin(1)
             yield batch.assign(cell=cell.astype("int32"), reach=away[np.arange(len(cell)), cell])
@@ -180,9 +208,8 @@ def _by_cells(
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(len(centres), dtype=np.int64)
-        for batch in batches:
-            if len(batch):
-                total += wanted_by(batch).sum(0)
+        for batch in sliced(batches, len(centres)):
+            total += wanted_by(batch).sum(0)
         yield pd.DataFrame({"cell": np.arange(len(centres), dtype="int32"), "n": total})
 
     loads = train.mapInPandas(tally, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
@@ -190,11 +217,12 @@ def _by_cells(
     train_blocks[loads["cell"].to_numpy(dtype=int)] = np.maximum(1, np.ceil(loads["n"].to_numpy() / (block * STREAM_BLOCKS))).astype(int)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
+        # A vector may go to every cell, so what is sent of a batch goes out in parts, too.
+        for batch in sliced(batches, len(centres)):
             at, cell = np.nonzero(wanted_by(batch))
-            yield batch.iloc[at].assign(cell=cell.astype("int32"))
+            step = max(1, _TILE // max(1, len(batch["vec"].iloc[0])))
+            for low in range(0, len(at), step):
+                yield batch.iloc[at[low : low + step]].assign(cell=cell[low : low + step].astype("int32"))
 
     def blocks(counts: np.ndarray) -> "F.Column":
         return F.element_at(F.array(*[F.lit(int(c)) for c in counts]), F.col("cell") + 1)
@@ -220,6 +248,7 @@ def _by_cells(
         held: list[pd.DataFrame] = []
         test_side: tuple[np.ndarray, np.ndarray] | None = None
         best: pd.DataFrame | None = None
+        within: np.ndarray | None = None
         last = None
         for batch in batches:
             for key, rows in batch.groupby([*keys, "side"], sort=False):
@@ -235,11 +264,17 @@ def _by_cells(
                 if test_side is None:
                     tests = pd.concat(held)
                     test_side = tests["id"].to_numpy(), matrix(tests["vec"])
-                found = block_nearest(*test_side, rows["id"].to_numpy(), matrix(rows["vec"]), k, skip_same)
+                    held.clear()
+                    held.append(tests[["id"]])
+                    within = None
+                found = block_nearest(*test_side, rows["id"].to_numpy(), matrix(rows["vec"]), k, skip_same, within)
                 if best is not None:
                     found = pd.concat([best, found]).sort_values(["test_id", "distance", "train_id"], kind="stable")
                     found = found.groupby("test_id", sort=False).head(k)
                 best = found
+                full = best.groupby("test_id")["distance"].agg(["size", "max"])
+                kth = full["max"].where(full["size"] >= k, np.inf)
+                within = kth.reindex(test_side[0]).fillna(np.inf).to_numpy()
         if best is not None:
             yield best
 

@@ -3,8 +3,10 @@
 import bisect
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -376,6 +378,30 @@ def test_shuffles_grow_with_the_input(spark, tmp_path, monkeypatch):
     assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
 
 
+def test_neighbours_hold_no_more_than_tiles(spark, monkeypatch):
+    """All pairs of a block may be tied, and a vector may be sent to all cells; neither is held at once."""
+    same = np.ones((1500, 64))
+    ids = np.arange(1500)
+    tracemalloc.start()
+    found = neighbors.block_nearest(ids, same, ids, same, 5, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
+    assert found.groupby("test_id")["train_id"].apply(list).to_dict() == {i: [j for j in range(6) if j != i][:5] for i in range(1500)}
+
+    monkeypatch.setattr(neighbors, "_TILE", 40)
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(300, 4)).round(1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id bigint, vec array<double>")
+    got = {}
+    for r in neighbors.nearest(df, df, 5, skip_same=True, limit=0, pivots=8, block=40).collect():
+        got.setdefault(r.test_id, {})[r["rank"]] = r.train_id
+    pairs = list(enumerate(vectors))
+    assert {i: [ranks[r] for r in sorted(ranks)] for i, ranks in got.items()} == brute_neighbours(pairs, pairs, 5, True)
+    frames = list(neighbors.sliced([pd.DataFrame({"id": range(100)})], 8))
+    assert [len(f) for f in frames] == [5] * 20
+
+
 def test_partial_neighbours_do_not_grow_with_training_blocks(spark):
     rng = np.random.default_rng(8)
     rows = [(i, rng.normal(size=6).tolist()) for i in range(600)]
