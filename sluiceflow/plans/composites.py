@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sluiceflow.flow import Flow
@@ -17,12 +18,17 @@ from sluiceflow.plans.verbs import ROUTE_CASE, route_column
 from sluiceflow.session import load, materialize, spread
 
 
+# Whole texts that a scorer gets in one batch.
+TEXTS = 1000
+
+
 def count_words(batch, params):
-    """Example scorer: words and distinct words of each document."""
-    split = batch["text"].str.split(" ", regex=False)
-    batch["words"] = split.str.len().astype("int64")
-    batch["distinct"] = split.map(lambda words: len(set(words))).astype("int64")
-    return batch[["doc_id", "source", "n_chars", "words", "distinct"]]
+    """Example scorer: words and distinct words of each document; the words of one text are held at a time."""
+    texts = batch["text"]
+    scores = batch[["doc_id", "source", "n_chars"]].copy()
+    scores["words"] = pd.array([t.count(" ") + 1 if isinstance(t, str) else None for t in texts], dtype="Int64")
+    scores["distinct"] = pd.array([len(set(t.split(" "))) if isinstance(t, str) else None for t in texts], dtype="Int64")
+    return scores
 
 
 @query("pipe_search", """
@@ -40,7 +46,7 @@ def pipe_search(spark, d):
     found = (
         Flow(documents)
         .run(count_words, "doc_id bigint, source string, n_chars bigint, words bigint, distinct bigint")
-        .transform(lambda scores: materialize(scores, "scores"))
+        .transform(lambda scores: materialize(scores, "scores", TEXTS))
         .split(["doc_id"], 100_000, "n_chars")
         .result()
     )
@@ -76,7 +82,7 @@ def pipe_rescore(spark, d):
     hits = lambda place: F.size(F.filter(words, lambda w: F.substring(w, place, 1).between("a", "h"))).cast("bigint")
     searched = (
         Flow(documents.select("doc_id", "source", "n_chars", hits(1).alias("target"), hits(-1).alias("reverse")))
-        .transform(lambda scores: materialize(scores, "scores"))
+        .transform(lambda scores: materialize(scores, "scores", TEXTS))
         .split(["doc_id"], 100_000, "n_chars")
         .result()
     )

@@ -15,6 +15,7 @@ from sluiceflow.operators import curves, grids, neighbors, polygons, reports, so
 from sluiceflow.operators.panels import best_panel
 from sluiceflow.operators.ordered import PIECE, Ordered, numbered
 from sluiceflow.operators.overlap import top_overlaps
+from sluiceflow.plans.composites import count_words
 
 RANDOM = random.Random(7)
 
@@ -511,3 +512,15 @@ def test_normal_curve_of_nothing_and_of_one_value(spark):
         assert curves.normal_cdf(spark.createDataFrame(rows, "v double"), F.col("v"), 5).collect() == []
     same = curves.normal_cdf(spark.createDataFrame([(4.0,), (4.0,)], "v double"), F.col("v"), 3).collect()
     assert [tuple(r) for r in same] == [(0, 4.0, 1.0), (1, 4.0, 1.0), (2, 4.0, 1.0)]
+
+
+def test_scored_words_are_not_held_for_a_batch():
+    texts = [" ".join(str(n % 700 + i) for n in range(2000)) for i in range(800)]
+    batch = pd.DataFrame({"doc_id": range(801), "source": "s", "n_chars": 1, "text": [*texts, " a  a"]})
+    tracemalloc.start()
+    found = count_words(batch, {})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10e6
+    assert found["words"].tolist() == [2000] * 800 + [4] and found["distinct"].tolist() == [700] * 800 + [2]
+    assert count_words(batch.iloc[:1].assign(text=None), {})["words"].isna().all()
