@@ -49,6 +49,8 @@ FRAGMENT = 3 * 2**19
 LEAST_FRAGMENTS = 64
 # Counts that a task holds before it sends their sums on.
 HELD_COUNTS = 2**20
+# Buckets of points; a task sends on the sums of a bucket in one row.
+COUNT_BUCKETS = 1024
 # Sets of a block, and shingles that a block's sets add up to but for its last one.
 BLOCK, BLOCK_SHINGLES = 1024, 2**22
 # Fragments in which the pairs of a cluster are counted.
@@ -211,25 +213,63 @@ def shared_segments(cut: DataFrame) -> DataFrame:
     return keep(cut.repartition("slot").sortWithinPartitions("slot").mapInArrow(count, schema), "fragments", rows=500)
 
 
-def shared_counts(shared: DataFrame) -> DataFrame:
-    """(point, n): how many shared shingles a point has, summed over the fragments that a task reads."""
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Points and their sums so far, each time there are HELD_COUNTS of them, and at the end."""
+    points, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        points = np.append(points, batch.column("point").flatten().to_numpy())
+        counts = np.append(counts, batch.column("n").flatten().to_numpy())
+        if len(points) > HELD_COUNTS:
+            points, place = np.unique(points, return_inverse=True)
+            counts = np.bincount(place, weights=counts).astype(np.int64)
+            if 2 * len(points) > HELD_COUNTS:
+                yield points, counts
+                points, counts = points[:0], counts[:0]
+    points, place = np.unique(points, return_inverse=True)
+    yield points, np.bincount(place, weights=counts, minlength=len(points)).astype(np.int64)
+
+
+def partial_counts(shared: DataFrame) -> DataFrame:
+    """(bucket, points, their counts): sums over the fragments that a task reads, a row per bucket of points instead of one per point."""
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        points, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            points = np.append(points, batch.column("point").flatten().to_numpy())
-            counts = np.append(counts, batch.column("n").flatten().to_numpy())
-            if len(points) > HELD_COUNTS:
-                points, place = np.unique(points, return_inverse=True)
-                counts = np.bincount(place, weights=counts).astype(np.int64)
-                if 2 * len(points) > HELD_COUNTS:
-                    yield pa.RecordBatch.from_arrays([pa.array(points), pa.array(counts)], names=["point", "n"])
-                    points, counts = points[:0], counts[:0]
-        points, place = np.unique(points, return_inverse=True)
-        counts = np.bincount(place, weights=counts, minlength=len(points)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(points), pa.array(counts)], names=["point", "n"])
+        for points, counts in _summed(batches):
+            bucket = (points.view(np.uint64) % np.uint64(COUNT_BUCKETS)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            found, sizes = np.unique(bucket, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found), _lists(pa.array(points[order]), sizes.tolist()), _lists(pa.array(counts[order]), sizes.tolist())], names=["bucket", "point", "n"],
+            )
 
-    return shared.select("point", "n").mapInArrow(total, "point long, n long")
+    return shared.select("point", "n").mapInArrow(total, "bucket int, point array<long>, n array<long>")
+
+
+def shared_counts(shared: DataFrame) -> DataFrame:
+    """(point, n): how many shared shingles a point has, a row per point."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, points, counts = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            found, place = np.unique(points, return_inverse=True)
+            return found, np.bincount(place, weights=counts, minlength=len(found)).astype(np.int64)
+
+        limit = HELD_COUNTS
+        for batch in batches:
+            for k, bucket in enumerate(batch.column("bucket").to_pylist()):
+                if bucket != at and len(points):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged()], names=["point", "n"])
+                    points, counts, limit = points[:0], counts[:0], HELD_COUNTS
+                at = bucket
+                points, counts = (np.append(v, batch.column(c)[k].values.to_numpy()) for v, c in ((points, "point"), (counts, "n")))
+                if len(points) > limit:
+                    points, counts = merged()
+                    limit = max(HELD_COUNTS, 2 * len(points))
+        if len(points):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged()], names=["point", "n"])
+
+    laid = partial_counts(shared).repartition("bucket").sortWithinPartitions("bucket")
+    return laid.mapInArrow(add, "point long, n long")
 
 
 def _parted(shared: DataFrame) -> DataFrame:
@@ -418,7 +458,7 @@ def similar_sets(
     docs = shared.where("slot < 0").select(F.explode(F.arrays_zip("id", "point", "n")).alias("d")).select("d.id", "d.point", F.col("d.n").cast("long").alias("n"))
     shared = shared.where("slot >= 0")
     points = docs.where("n > 0").groupBy("point").agg(F.first("n").alias("n"), F.count("*").alias("copies"))
-    bound = shared_counts(shared).groupBy("point").agg(F.sum("n").alias("bound"))
+    bound = shared_counts(shared).withColumnRenamed("n", "bound")
     able = keep(points.join(bound, "point").where(100 * F.col("bound") >= percent * F.col("n")).drop("bound"), "able")
     sets = keep(
         _parted(shared).join(able, "point").groupBy("point", "n", "copies")

@@ -114,3 +114,24 @@ def test_odd_rows(spark):
         (7, "a b c d e"), (8, "A B\nC D E"), (9, "é É"), (10, "é é"), (11, long), (12, long + " end"), (None, None),
     ])
     check(spark, [])
+
+
+def test_counts_of_a_point_are_sent_on_by_buckets(spark, monkeypatch):
+    """A row for every point and task grew with the square of the input, as tasks grow with the points."""
+    monkeypatch.setattr(overlap_join, "COUNT_BUCKETS", 8)
+    rng = np.random.default_rng(2)
+    rows, want = [], {}
+    for _ in range(60):
+        points = (rng.integers(-300, 300, 90) * 2**40 + 1).tolist()
+        counts = rng.integers(1, 9, 90).tolist()
+        rows.append((points, counts))
+        for p, n in zip(points, counts):
+            want[p] = want.get(p, 0) + n
+    for held in (2**20, 50):
+        monkeypatch.setattr(overlap_join, "HELD_COUNTS", held)
+        shared = spark.createDataFrame(rows, "point array<long>, n array<int>").repartition(6)
+        found = overlap_join.shared_counts(shared).collect()
+        assert len(found) == len(want) and {r.point: r.n for r in found} == want
+        if held > 50:
+            assert overlap_join.partial_counts(shared).count() <= 6 * 8
+    assert overlap_join.shared_counts(shared.where("false")).count() == 0
