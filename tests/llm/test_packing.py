@@ -128,3 +128,15 @@ def test_pieces_keep_gapless_places_on_a_table(spark):
         own.sort()
         assert [o for o, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1]] and sum(own[-1]) <= 256
     assert len(places) <= 1.05 * sum(r.length for r in rows) / 256 + 1
+
+
+def test_new_words_are_learned_without_an_array_for_each():
+    """Ids of new words are laid one after the other; parts that are split otherwise than expected go to the full tokenizer."""
+    encoder = WordIds(tokenizer_path(packed.WORD_BPE))
+    parts = ["hello", "x", "über", "unbelievably", "42"]
+    want = [e.ids for e in encoder.full.encode_batch(parts, add_special_tokens=False)]
+    for ends in (encoder.ends, np.zeros_like(encoder.ends)):
+        encoder.ends = ends
+        ids, start, count = encoder._parts(parts)
+        assert [ids[s : s + n].tolist() for s, n in zip(start.tolist(), count.tolist())] == want
+    assert [len(v) for v in encoder._parts([])] == [0, 0, 0]
