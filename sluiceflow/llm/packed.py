@@ -25,6 +25,8 @@ from sluiceflow.llm.tokens import WORD_BPE, word_ids
 
 CAPACITY = 4096
 END_ID = 1
+# Texts of an Arrow batch; their ids and new words are what a task holds besides the words it remembers.
+BATCH = 500
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, nth long"
 
 
@@ -57,13 +59,14 @@ def pieces(
                 del out["ids"]
             columns = out | {"part": [part] * len(out["doc_id"])}
             yield pa.RecordBatch.from_pydict({n: pa.array(columns[n], kinds[n]) for n in kinds})
+        encoder.forget()
 
     kinds = {
         "doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int32(), "ids_crc32": pa.int64(),
         "part": pa.int32(), "nth": pa.int64(),
     } | ({"ids": pa.binary()} if with_ids else {})
     source = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return keep(source.mapInArrow(cut, PIECES + (", ids binary" if with_ids else "")), "pieces")
+    return keep(source.mapInArrow(cut, PIECES + (", ids binary" if with_ids else "")), "pieces", rows=BATCH)
 
 
 def pack_grouped(

@@ -80,6 +80,22 @@ def test_word_ids_are_the_tokenizers(spark):
         assert got == want
 
 
+def test_workers_give_up_words_after_a_task(spark):
+    packed.pieces(spark.createDataFrame([(i, f"a{i} b{i} c{i}") for i in range(400)], "doc_id long, text string").repartition(8), "doc_id", "text").count()
+
+    def remembered(batches):
+        import pyarrow as pa
+        import tokenizers
+
+        list(batches)
+        known = tokenizers.__dict__.get("_word_ids", {})
+        yield pa.RecordBatch.from_pydict({"n": pa.array([len(e.index) for e in known.values()], pa.int64())})
+
+    # Idle workers take turns, so that many tasks meet those that cut pieces.
+    found = [r.n for r in spark.range(0, 64, 1, 64).mapInArrow(remembered, "n long").collect()]
+    assert found and max(found) == 0
+
+
 def docs(spark):
     return spark.createDataFrame([(i, t, "x", 1.5) for i, t in TEXTS], "doc_id long, text string, sequence_id string, nth double")
 
