@@ -39,6 +39,8 @@ LEAST, WITHIN, TOP = 30, 80, 2000
 SCALE = 2_000_000
 # Word occurrences of a shard, about.
 SHARD = 2**19
+# Bytes of transducers of a batch that a task sends on.
+SENT = 2**21
 # Documents of an Arrow batch; the arrays over a batch's letters are what a task holds.
 BATCH = 250
 FILTER_BITS = 26
@@ -217,17 +219,19 @@ def phrase_counts(df: DataFrame, depth: int, frequent: Broadcast, pairs: Broadca
 
     def ranged(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate([p[k] for p in parts]) for k in range(depth)]
+        parts.clear()
         slots = _slots(columns, bits)
-        order = np.lexsort([*columns[::-1], slots])
-        slots, columns = slots[order], [c[order] for c in columns]
-        differ = np.ones(len(slots), dtype=bool)
-        differ[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
-        first = np.flatnonzero(differ)
-        counts = np.diff(np.append(first, len(slots)))
-        slots, columns = slots[first], [c[first] for c in columns]
+        order = np.argsort(slots, kind="stable")
+        slots = slots[order]
         edges = [*np.flatnonzero(np.append(True, slots[1:] != slots[:-1])).tolist(), len(slots)] if len(slots) else []
-        made = [Transducer.of_sorted([c[a:b] for c in columns], counts[a:b]).to_bytes() for a, b in zip(edges[:-1], edges[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(slots[edges[:-1]] if edges else slots), pa.array(made, pa.binary())], names=["slot", "counts"])
+        made, first, size = [], 0, 0
+        # A range is put in order and sent on by itself, so that neither a sorted copy of the shard nor one row of all its bytes is held.
+        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:]), 1):
+            made.append(Transducer.of([c[order[a:b]] for c in columns]).to_bytes())
+            size += len(made[-1])
+            if size >= SENT or k == len(edges) - 1:
+                yield pa.RecordBatch.from_arrays([pa.array(slots[edges[first:k]]), pa.array(made, pa.binary())], names=["slot", "counts"])
+                made, first, size = [], k, 0
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -286,6 +290,18 @@ def phrases(transducers: DataFrame, depth: int) -> DataFrame:
     return transducers.select("counts").mapInArrow(listed, "w1 long, w2 long, w3 long, w4 long, size long, f long")
 
 
+def pair_names(transducers: DataFrame) -> DataFrame:
+    """(name) of the pairs in transducers of two words; read from them at once, as a second Python function in a stage doubles the workers that executors keep."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("counts"):
+                columns, _ = Transducer.of_bytes(data.as_buffer()).rows()
+                yield pa.RecordBatch.from_arrays([pa.array(words.chained(columns).view(np.int64))], names=["name"])
+
+    return transducers.select("counts").mapInArrow(named, "name long")
+
+
 _PLACES = ["w1", "w2", "w3", "w4"]
 
 
@@ -376,13 +392,7 @@ def collocations(
     in_words = bit_filter(frequent)
     pairs = phrase_counts(source, 2, in_words, None, bits, least, shard)
     two = phrases(pairs, 2)
-
-    def pair_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            named = words.chained([batch.column(c).to_numpy().view(np.uint64) for c in ("w1", "w2")])
-            yield pa.RecordBatch.from_arrays([pa.array(named.view(np.int64))], names=["name"])
-
-    in_pairs = bit_filter(two.select("w1", "w2").mapInArrow(pair_names, "name long"))
+    in_pairs = bit_filter(pair_names(pairs))
     longer = phrase_counts(source, LONGEST, in_words, in_pairs, bits, least, shard)
     candidates = keep(two.unionByName(phrases(longer, LONGEST)), "phrases")
     ranges = (

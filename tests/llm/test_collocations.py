@@ -2,12 +2,13 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 
-from sluiceflow.llm import collocations
+from sluiceflow.llm import collocations, words
 from sluiceflow.llm.collocations import Transducer
 
 
@@ -81,3 +82,62 @@ def test_phrases_pieces_and_languages(spark):
 def test_odd_rows(spark):
     check(spark, [(None, "en"), ("", None), (" .,\n", "fr"), ("a b " * 20_000, "en"), ("a b c d e" * 50, "en"), ("x y. " * 40, None), ("x y. " * 40, None)])
     check(spark, [])
+
+
+def test_ranges_of_a_shard_are_sent_on_in_small_batches(monkeypatch):
+    class Passed:
+        def mapInArrow(self, function, schema):
+            passes.append(function)
+            return self
+
+        def repartition(self, *_):
+            return self
+
+        sortWithinPartitions = repartition
+
+    class Shared:
+        value = np.full(1 << 20, 2**64 - 1, dtype=np.uint64)
+
+    passes = []
+    monkeypatch.setattr(collocations, "keep", lambda df, *_, **__: df)
+    collocations.phrase_counts(Passed(), 4, Shared, Shared, 6, 1, 1 << 30)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 20_000, 1000)) for _ in range(200)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "lang": ["en"] * 200})
+    sent = list(passes[0](iter([batch])))
+    assert sum(b.nbytes for b in sent) > 3 * 2**21
+    # A batch ends with the range that takes it over the limit.
+    assert max(b.nbytes for b in sent) < 1.5 * 2**21
+    slots = [s for b in sent for s in b.column("slot").to_pylist()]
+    assert slots == sorted(set(slots))
+    made = [Transducer.of_bytes(v.as_buffer()).rows() for b in sent for v in b.column("counts")]
+    want = Counter(tuple(map(int, g)) for g in zip(*_quadruples(batch)))
+    assert Counter({tuple(int(c[k]) for c in columns): int(w) for columns, weights in made for k, w in enumerate(weights)}) == want
+
+
+def _quadruples(batch):
+    """Names of three words and the one that follows, if any, in texts without pieces."""
+    found, named, _ = collocations.named_words(batch)
+    at = [i for i in range(len(named) - 2) if found.text[i] == found.text[i + 2]]
+    more = [named[i + 3] if i + 3 < len(named) and found.text[i + 3] == found.text[i] else 0 for i in at]
+    return [named[i] for i in at], [named[i + 1] for i in at], [named[i + 2] for i in at], more
+
+
+def test_a_filter_takes_one_python_function(spark, monkeypatch):
+    plans = []
+    plain_filter = collocations.bit_filter
+    monkeypatch.setattr(collocations, "bit_filter", lambda names: plans.append(names._jdf.queryExecution().optimizedPlan().toString()) or plain_filter(names))
+    check(spark, [("a b c a b c", "en")] * 40)
+    assert len(plans) == 2
+    assert max(plan.count("MapInArrow") for plan in plans) == 1
+
+
+def test_splitting_counts_bytes_in_short_numbers():
+    data = pa.array(["one two, three " * 20_000] * 10)
+    tracemalloc.start()
+    found = words.split(data, collocations._KINDS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found.ids) == 600_000 and len(np.unique(found.piece)) == 200_010
+    # Of three million bytes; long numbers per byte took 33 times as much.
+    assert peak < 25 * 3_000_000
