@@ -9,17 +9,21 @@ from sluiceflow.llm.common import keep
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(point, root) for all points of the links: alternating large and small stars until nothing changes."""
-    state = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
+    """(point, root) for all points of the links: alternating large and small stars until nothing changes.
+
+    A link leads from a larger to a smaller point, and stays one link in both
+    stars: no round has more links than the first, and repeats go at its end.
+    """
+    state = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), "stars")
     mark = _mark(state)
     while True:
-        both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # Links now point from a larger to a smaller point.
+        # Large star: a link's smaller end gives way to the least that it links to itself.
+        lower = state.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "v")
+        large = state.join(lower, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        # Small star: of a point's smaller ends the least takes the others and the point.
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        state = keep(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        small = large.join(lowest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        state = keep(small.distinct(), "stars")
         now = _mark(state)
         if now == mark:
             break

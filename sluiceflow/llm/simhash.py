@@ -347,7 +347,7 @@ def one_of_each(
     if similarity is not None:
         similar = overlap_join.similar_sets(marked.select(F.col(point).alias("doc_id"), F.col(text_col).alias("text")), percent=round(100 * similarity))
         alike = similar.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-        edges = keep(edges.unionByName(alike).distinct(), "edges")
+        edges = edges.unionByName(alike)
     joined = points.select("point", "id").join(components(edges), "point", "left")
     stay = joined.groupBy(F.coalesce("root", "point").alias("root")).agg(F.min("id").alias("id")).select(F.col("id.row").alias(least))
     return marked.join(stay, F.col(row) == F.col(least), "left_semi").select(*df.columns)

@@ -96,6 +96,33 @@ def test_components_of_a_long_chain(spark):
     assert all(got[i] == 0 for i in range(301)) and got[1001] == got[1000] == 1000
 
 
+def test_a_round_of_stars_has_few_joins_and_no_more_links(spark, monkeypatch):
+    """The driver holds something for every stage and task, so a round has few of them; it never has more links than the one before."""
+    from sluiceflow.llm import graph
+
+    steps, rows, plain = [], [], graph.keep
+
+    def kept(df, label):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        steps.append(plan.count("Aggregate") + plan.count("Join"))
+        out = plain(df, label)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "keep", kept)
+    rng = np.random.default_rng(8)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(900, k) for k in range(500, 800, 3)] + [(2, 1), (1, 2), (1, 2), (5, 5)]
+    got = {r.point: r.root for r in graph.components(spark.createDataFrame([*edges, (None, 3)], "a long, b long")).collect()}
+    want = {p: p for e in edges if e[0] != e[1] for p in e}
+    for _ in want:
+        for a, b in edges:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    assert got == want
+    assert max(steps) <= 7  # it was eleven
+    assert rows == sorted(rows, reverse=True)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_copies(docs).count() == 0 and simhash.one_of_each(docs).count() == 0
