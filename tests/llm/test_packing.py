@@ -156,3 +156,24 @@ def test_new_words_are_learned_without_an_array_for_each():
         ids, start, count = encoder._parts(parts)
         assert [ids[s : s + n].tolist() for s, n in zip(start.tolist(), count.tolist())] == want
     assert [len(v) for v in encoder._parts([])] == [0, 0, 0]
+
+
+def test_parts_are_remembered_apart_from_their_words():
+    """A known part with another mark after it is not encoded again, also next to words that go to the full tokenizer."""
+    encoder = WordIds(tokenizer_path(packed.WORD_BPE))
+    sent, plain = [], encoder._parts
+    encoder._parts = lambda parts: sent.append(parts) or plain(parts)
+    texts = ["gezeiten. \u6f22\u5b57 it's", "gezeiten, (gezeiten) IT'S \u00dcber", "gezeiten.", None]
+    for text in texts:
+        ids, ends = encoder.encode([text])
+        assert ids.tolist() == encoder.full.encode(text or "", add_special_tokens=False).ids and ends.tolist() == [len(ids)]
+    assert sent == [["gezeiten", ".", "it", "'s"], [",", "(", ")", "\u00fcber"]]
+
+
+def test_plain_words_are_cut_as_the_tokenizer_cuts_them():
+    """All pairs of characters that are lower-cased and cut here, some of whose lower case lies in other blocks."""
+    encoder = WordIds(tokenizer_path(packed.WORD_BPE))
+    letters = [c for c in map(chr, range(0x21, 0x250)) if encoder.plain(c) and c not in "<|"]
+    for a in letters:
+        text = " ".join(a + b for b in letters)
+        assert encoder.encode([text])[0].tolist() == encoder.full.encode(text, add_special_tokens=False).ids
